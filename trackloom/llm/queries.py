@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from trackloom.llm import mixing, secrets
+from trackloom.llm import mixing, near_dedup, secrets
 
 QUERIES = {
+    "op4_near_duplicates": near_dedup.op4_near_duplicates,
     "op5_secret_scan": secrets.op5_secret_scan,
     "op8_mix_sources": mixing.op8_mix_sources,
 }
