@@ -55,15 +55,17 @@ def chance(seed: str, doc_id: Column, text: Column) -> Column:
     return F.conv(digits, 16, 10).cast("long") / F.lit(float(2**48))
 
 
-def mix_sources(docs: DataFrame, seed: str = "mix", cap: int = 3, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+def mix_sources(
+    docs: DataFrame, seed: str = "mix", cap: int = 3, weights: tuple[int, ...] = (1, 2, 3), carry: tuple[str, ...] = ()
+) -> DataFrame:
     """docs(doc_id, text, source, ...) -> doc_id, source, text, size, source_size, target, copies, taken.
 
     A null source is a source of its own, null or empty text has size 0 and target share 0.
-    Repeated rows of one id draw alike, as reruns do. Other columns of `docs` are left out, so
-    none can clash. Documents are never shuffled: the source table is joined by broadcast if it
+    Repeated rows of one id draw alike, as reruns do. Of the other columns
+    only those named in `carry` stay, so none can clash. Documents are never shuffled: the source table is joined by broadcast if it
     is counted to be within BROADCAST_SOURCES, and by Spark's own choice if not.
     """
-    sized = docs.select("doc_id", "source", "text", word_count(F.col("text")).alias("size"))
+    sized = docs.select("doc_id", "source", "text", *carry, word_count(F.col("text")).alias("size"))
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, cap, weights).withColumnRenamed("source", "of_source").persist()
     side = F.broadcast(targets) if targets.count() <= BROADCAST_SOURCES else targets
@@ -78,6 +80,12 @@ def mix_sources(docs: DataFrame, seed: str = "mix", cap: int = 3, weights: tuple
     )
 
 
+def emit_copies(mixed: DataFrame) -> DataFrame:
+    """Each row of mix_sources `copies` times, numbered from 1 in `copy`."""
+    taken = mixed.filter("copies > 0")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+
+
 def op8_mix_sources(spark, sf_dir: str) -> DataFrame:
     """The contract's digest of mix_sources over all documents."""
     from trackloom.llm.common import read

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import checkpoint, row_key
+from trackloom.llm.common import WORD, checkpoint, row_key
 from trackloom.llm.components import connected_components
 
 BANDS, ROWS = 36, 5
@@ -169,8 +169,8 @@ def _alike(a: str, b: str) -> str:
     )
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text, ...) -> one row per row: doc_id, n_shingles, component_id, kept.
+def near_duplicate_groups(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text, ...) -> one row per row: doc_id, key, n_shingles, component (null without shingles).
 
     Rows with equal shingle sets are one class, so exact copies never meet again. In each bucket
     the member with the most bucket mates is tested against the others. Components of those links
@@ -178,8 +178,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     leaves out only pairs that are already connected: no component is lost by it.
 
     Null or white-space texts have no shingle and link with nothing. Rows of one doc_id count as
-    one document. A row without doc_id takes part; its component is the smallest id it reaches,
-    or null, and it is kept only in that last case, one such row or more. Other columns are left out.
+    one document. A row without doc_id takes part, as a node above NO_ID. Other columns are left out.
     """
     docs = docs.select("doc_id", "text", row_key().alias("key"))
     rows = checkpoint(docs.mapInArrow(_sketch, _SKETCH))
@@ -241,16 +240,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .select("set1", "set2", F.coalesce("root", "node").alias("part")).join(merged, "part", "left")
         .select("set1", "set2", F.coalesce("top", "part").alias("component"))
     )
+    return rows.select("doc_id", "key", "n_shingles", "set1", "set2").join(placed, ["set1", "set2"], "left").drop("set1", "set2")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """near_duplicate_groups as doc_id, n_shingles, component_id (the smallest doc_id reachable), kept.
+
+    A row without doc_id is kept only if it reaches no id, and its component_id is null then.
+    """
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(
         F.when(F.col("component") < NO_ID, F.col("component"))
     )
-    return (
-        rows.select("doc_id", "n_shingles", "set1", "set2").join(placed, ["set1", "set2"], "left")
-        .select("doc_id", "n_shingles", component.alias("component_id"))
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return near_duplicate_groups(docs).select(
+        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
     )
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs with one row of each group left, that with the smallest doc_id, and every row without words."""
+    groups = near_duplicate_groups(docs).filter("component IS NOT NULL")
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "key"))["key"]
+    chosen = groups.groupBy("component").agg(first.alias("__chosen")).select("__chosen")
+    keyed = docs.withColumn("__key", row_key())
+    worded = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    one = keyed.filter(worded).join(chosen, F.col("__key") == F.col("__chosen"), "left_semi").dropDuplicates(["__key"])
+    return one.drop("__key").unionByName(docs.filter(~worded))
+
+
 def op4_near_duplicates(spark, sf_dir: str) -> DataFrame:
     """near_duplicates over all documents."""
     from trackloom.llm.common import read

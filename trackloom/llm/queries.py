@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from trackloom.llm import mixing, near_dedup, secrets
+from trackloom.llm import decontam, mixing, near_dedup, quality_crf, secrets
 
 QUERIES = {
+    "op2_quality_crf": quality_crf.op2_quality_crf,
     "op4_near_duplicates": near_dedup.op4_near_duplicates,
     "op5_secret_scan": secrets.op5_secret_scan,
+    "op9_decontaminate": decontam.op9_decontaminate,
     "op8_mix_sources": mixing.op8_mix_sources,
 }
 ORACLES = {"op8_mix_sources": mixing.OP8_SQL}
