@@ -46,19 +46,29 @@ def fast_tables(net: Network) -> list[list[np.ndarray]]:
     return [[_pairs(t[j : j + 2]) if j + 1 < len(t) else t[j] for j in range(0, len(t), 2)] for t in net.taps]
 
 
-def answers(data: np.ndarray, tables: list[list[np.ndarray]]) -> np.ndarray:
-    """Pooled answers of windows: data is windows x WINDOW bytes; zero bytes pad a text's last window."""
-    pair = (data[:, :-1].astype(np.int32) << 8) | data[:, 1:]
-    pooled = []
-    for width, steps in zip(WIDTHS, tables):
-        n = data.shape[1] - width + 1
-        total = None
-        for k, table in enumerate(steps):
-            at = (pair if len(table) == 65536 else data)[:, 2 * k : 2 * k + n]
-            part = table[at]
-            total = part if total is None else np.add(total, part, out=total)
-        pooled.append(total.max(1))
-    return np.concatenate(pooled, 1)
+def answers(data: np.ndarray, tables: list[list[np.ndarray]], step: int = 64) -> np.ndarray:
+    """Pooled answers of windows: data is windows x WINDOW bytes; zero bytes pad a text's last window.
+
+    Position comes first and few windows go at once, so that look-ups stay in the cache and the
+    pooling runs along contiguous rows."""
+    out = np.empty((len(data), len(WIDTHS) * FILTERS), np.float32)
+    room = np.empty((2, data.shape[1], step, FILTERS), np.float32)
+    for i in range(0, len(data), step):
+        one = np.ascontiguousarray(data[i : i + step].T).astype(np.intp)
+        pair = (one[:-1] << 8) | one[1:]
+        for w, (width, steps) in enumerate(zip(WIDTHS, tables)):
+            n = data.shape[1] - width + 1
+            total, part = room[:, :n, : one.shape[1]]
+            for k, table in enumerate(steps):
+                at = (pair if len(table) == 65536 else one)[2 * k : 2 * k + n]
+                if one.shape[1] == step:
+                    np.take(table, at, 0, out=part if k else total, mode="clip")
+                else:
+                    (part if k else total)[...] = np.take(table, at, 0)
+                if k:
+                    np.add(total, part, out=total)
+            out[i : i + step, w * FILTERS : (w + 1) * FILTERS] = total.max(0)
+    return out
 
 
 def log_probabilities(net: Network, pooled: np.ndarray) -> np.ndarray:
