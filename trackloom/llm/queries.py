@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from trackloom.llm import decontam, mixing, near_dedup, quality_crf, secrets
+from trackloom.llm import decontam, fertility, language, mixing, near_dedup, quality_crf, secrets, token_counts
 
 QUERIES = {
+    "op1_language_id": language.op1_language_id,
     "op2_quality_crf": quality_crf.op2_quality_crf,
+    "op3_fertility_rules": fertility.op3_fertility_rules,
     "op4_near_duplicates": near_dedup.op4_near_duplicates,
     "op5_secret_scan": secrets.op5_secret_scan,
+    "op6_token_counts": token_counts.op6_token_counts,
     "op9_decontaminate": decontam.op9_decontaminate,
     "op8_mix_sources": mixing.op8_mix_sources,
 }
