@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trackloom.llm import decontam, fertility, language, mixing, near_dedup, quality_crf, secrets, token_counts
+from trackloom.llm import decontam, fertility, language, licenses, lm_score, mixing, near_dedup, quality_crf, secrets, token_counts
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
@@ -11,7 +11,9 @@ QUERIES = {
     "op4_near_duplicates": near_dedup.op4_near_duplicates,
     "op5_secret_scan": secrets.op5_secret_scan,
     "op6_token_counts": token_counts.op6_token_counts,
+    "op7_license_scan": licenses.op7_license_scan,
     "op9_decontaminate": decontam.op9_decontaminate,
     "op8_mix_sources": mixing.op8_mix_sources,
+    "op10_lm_score": lm_score.op10_lm_score,
 }
 ORACLES = {"op8_mix_sources": mixing.OP8_SQL}
