@@ -17,13 +17,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import checkpoint, row_key
+from trackloom.llm.common import row_key
 from trackloom.llm.near_dedup import BLOCK, mix
 
 #: Tokens in a window, and the fewest of them that must be ordinary words.
 WINDOW, LEAST_LITERAL = 8, 5
 #: The membership filter has this many bits whatever the benchmark's size: 2 MB to broadcast.
 FILTER_BITS = 1 << 24
+#: Words that a task remembers at most; they are then forgotten, which changes no result.
+MEMO = 1 << 19
 #: A passage whose text differs in its slots needs this many windows on its diagonal.
 LEAST_CHANGED = 3
 
@@ -36,45 +38,65 @@ UNITS = frozenset(
 _NUMBER = re.compile(rb"[+-]?[$]?\d[\d.,:/]*%?$")
 _EDGE = b"""!"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"""
 _NUM, _NAME, _UNIT = (xxhash.xxh3_64_intdigest(b"\0" + x) for x in (b"number", b"name", b"unit"))
-_LITERAL, _IS_NUM, _IS_NAME, _IS_UNIT, _STOP = 0, 1, 2, 3, 4
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _classify(raw: bytes) -> tuple[int, int, bytes]:
-    """(hash of the lower-cased core, flags, core): number 1, capitalised 2, unit 4, ends a sentence 8, no core 16."""
+def _classify(raw: bytes) -> tuple[int, int]:
+    """(hash of the lower-cased core, flags): number 1, unit 2, capitalised 4, ends a sentence 8, no core 16."""
     core = raw.strip(_EDGE)
-    low = core.decode("utf-8", "replace").lower().encode()
-    flags = 8 * (raw[-1:] in b".!?" or raw.rstrip(b"\"')]")[-1:] in b".!?")
+    flags = 8 * (raw.rstrip(b"\"')]")[-1:] in (b".", b"!", b"?"))
     if not core:
-        return 0, 16 | flags, core
+        return 0, 16 | flags
+    text = core.decode("utf-8", "replace")
+    low = text.lower().encode()
     if _NUMBER.match(core):
         flags |= 1
     elif low in UNITS:
-        flags |= 4
-    text = core.decode("utf-8", "replace")
-    if len(text) > 1 and text[0].isupper() and text[1:].islower():
         flags |= 2
-    return xxhash.xxh3_64_intdigest(low), flags, low
+    if len(text) > 1 and text[0].isupper() and text[1:].islower():
+        flags |= 4
+    return xxhash.xxh3_64_intdigest(low), flags
+
+
+class Lexicon:
+    """Remembers what words are: a code for each, with its hash and flags in arrays."""
+
+    def __init__(self) -> None:
+        self.codes: dict[bytes, int] = {}
+        self.hashes, self.flags = np.empty(0, np.uint64), np.empty(0, np.int64)
+
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.codes) > MEMO:
+            self.__init__()
+        if new := list(set(words).difference(self.codes)):
+            self.codes.update(zip(new, range(len(self.codes), len(self.codes) + len(new))))
+            if len(self.codes) > len(self.hashes):
+                room = 2 * len(self.codes) - len(self.hashes)
+                self.hashes = np.concatenate([self.hashes, np.empty(room, np.uint64)])
+                self.flags = np.concatenate([self.flags, np.empty(room, np.int64)])
+            at = slice(len(self.codes) - len(new), len(self.codes))
+            hashes, flags = zip(*map(_classify, new))
+            self.hashes[at], self.flags[at] = hashes, flags
+        codes = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
+        return self.hashes[codes], self.flags[codes]
 
 
 class Canonical:
     """Canonical tokens of a text: `code` (hash or placeholder), `slot` (what a placeholder stands for, else 0)."""
 
-    def __init__(self, text: str | None, memo: dict):
-        if len(memo) > 500_000:
-            memo.clear()
-        found = []
-        for w in (text or "").encode("utf-8", "surrogatepass").split():
-            if (one := memo.get(w)) is None:
-                one = memo[w] = _classify(w)[:2]
-            found.append(one)
-        pairs = np.array(found, np.uint64).reshape(-1, 2)
-        pairs = pairs[(pairs[:, 1] & np.uint64(16)) == 0]
-        own, flags = pairs[:, 0], pairs[:, 1].astype(np.int64)
-        after_stop = np.concatenate([[True], (flags[:-1] & 8) > 0]) if len(flags) else np.zeros(0, bool)
-        after_number = np.concatenate([[False], (flags[:-1] & 1) > 0]) if len(flags) else np.zeros(0, bool)
-        number, name = (flags & 1) > 0, ((flags & 2) > 0) & ~after_stop
-        unit = ((flags & 4) > 0) & after_number
-        self.code = np.select([number, unit, name], [np.uint64(_NUM), np.uint64(_UNIT), np.uint64(_NAME)], own)
+    def __init__(self, text: str | None, lexicon: Lexicon):
+        own, flags = lexicon((text or "").encode("utf-8", "surrogatepass").split())
+        if (flags & 16).any():
+            solid = (flags & 16) == 0
+            own, flags = own[solid], flags[solid]
+        number, unit, name = (flags & 1) > 0, (flags & 2) > 0, (flags & 4) > 0
+        unit[1:] &= number[:-1]
+        unit[:1] = False
+        name[1:] &= (flags[:-1] & 8) == 0
+        name[:1] = False
+        self.code = own.copy()
+        for which, mark in ((name, _NAME), (unit, _UNIT), (number, _NUM)):
+            self.code[which] = mark
         self.slot = np.where(number | unit | name, own, np.uint64(0))
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
@@ -84,12 +106,12 @@ class Canonical:
             return np.empty(0, np.int64), np.empty(0, np.uint64)
         width = min(WINDOW, n)
         h = np.full(n - width + 1, width, np.uint64)
-        literal = np.zeros(n - width + 1, np.int64)
-        for j in range(width):
-            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + self.code[j : n - width + 1 + j])
-            literal += self.slot[j : n - width + 1 + j] == 0
-        starts = np.flatnonzero(literal >= LEAST_LITERAL * width / WINDOW)
-        return starts, h[starts]
+        for j in range(width):  # polynomial over 64-bit hashes
+            h *= _BASE
+            h += self.code[j : n - width + 1 + j]
+        literal = np.concatenate([[0], np.cumsum(self.slot == 0)])
+        starts = np.flatnonzero(literal[width:] - literal[:-width] >= LEAST_LITERAL * width / WINDOW)
+        return starts, mix(h[starts])
 
 
 def _emit(rows: list, ids: list) -> pa.RecordBatch:
@@ -107,11 +129,11 @@ def _windows(membership=None):
     """Rows of windows (those in the filter, if one is given) with their start and slots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, memo = membership and np.frombuffer(membership.value, np.uint8), {}
+        bits, lexicon = membership and np.frombuffer(membership.value, np.uint8), Lexicon()
         for batch in batches:
             rows, ids = [], []
             for key, text in zip(batch.column("key").to_pylist(), batch.column("text")):
-                canonical = Canonical(text.as_py(), memo)
+                canonical = Canonical(text.as_py(), lexicon)
                 starts, hashes = canonical.windows()
                 if bits is not None:
                     at = hashes % np.uint64(FILTER_BITS)
@@ -152,15 +174,15 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     keyed = docs.select("doc_id", "text", row_key().alias("key"))
-    items = checkpoint(
+    items = (
         benchmark.filter("item_id IS NOT NULL").groupBy("item_id", "text").agg(F.first("item_id").alias("key")).select("key", "text")
         .mapInArrow(_windows(), _WINDOWS)
         .select(F.col("key").alias("item_id"), "window", F.col("start").alias("item_start"), F.col("slots").alias("item_slots"))
         .distinct()
-    )
+    ).persist()
     counts = items.groupBy("item_id").agg(F.count_distinct("item_start").alias("item_windows"))
     membership = spark.sparkContext.broadcast(_filter(items))
-    hits = checkpoint(keyed.select("key", "text").mapInArrow(_windows(membership), _WINDOWS).distinct().join(items, "window"))
+    hits = keyed.select("key", "text").mapInArrow(_windows(membership), _WINDOWS).distinct().join(items, "window").persist()
     hits = hits.withColumns(
         {"diagonal": F.col("start") - F.col("item_start"), "same": F.col("slots") == F.col("item_slots")}
     )
