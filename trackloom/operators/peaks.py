@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trackloom.config import CONFIG, Config
 from trackloom.functions.folds import keep_apart, strongest_apart
 from trackloom.functions.series import by_frame, video
+from trackloom.functions.stages import keep
 
 _EVENT = "struct<frame:int,score:double>"
 
@@ -100,9 +101,9 @@ def strongest(peaks: DataFrame, gap: int = CONFIG.nms_frames) -> DataFrame:
 
 def find_peaks(scores: DataFrame, params: DataFrame, config: Config = CONFIG) -> DataFrame:
     """(video_id, frame, score): fence, local maxima of enough height, distance, prominence, then the stronger of neighbours."""
-    work = suppressed(scores, config)
+    work = keep(suppressed(scores, config))
     tall = local_maxima(work).join(work.select("video_id", "height").distinct(), "video_id").filter("work >= height")
-    far = apart(tall.select("video_id", "frame", F.col("work").alias("score")), params)
+    far = keep(apart(tall.select("video_id", "frame", F.col("work").alias("score")), params))
     prominent = prominences(far, work).filter(F.col("prominence") >= config.prominence)
     return strongest(prominent.select("video_id", "frame", "score"), config.nms_frames)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trackloom.config import CONFIG, Config
 from trackloom.functions.geometry import corner, homographies, net_line
+from trackloom.functions.stages import keep
 from trackloom.operators import cleaning, crossings, impulse, owners, peaks, players, pose, rallies
 from trackloom.sources.trajectories import normalised
 
@@ -34,12 +35,12 @@ def detect(
     frames = normalised(frames)
     points = cleaning.valid_points(frames)
     # Tables that several operators read are kept, so that none is worked out twice.
-    cleaned = cleaning.clean(points, config).persist()
-    params = cleaning.adaptive_parameters(cleaned, videos).persist()
+    cleaned = keep(cleaning.clean(points, config))
+    params = keep(cleaning.adaptive_parameters(cleaned, videos))
     wrists = pose.wrist_points(pose_full) if pose_full is not None else None
     judged = impulse.judged_points(cleaned, params, wrists, config)
-    scores = impulse.impulse_scores(frames, judged).persist()
-    hits = peaks.candidates(peaks.find_peaks(scores, params, config), frames, videos, owner_y).persist()
+    scores = keep(impulse.impulse_scores(frames, judged))
+    hits = keep(peaks.candidates(peaks.find_peaks(scores, params, config), frames, videos, owner_y))
     if crossed is not None:
         hits = crossings.apply_crossing_owners(hits, crossed, config)
     if pose_full is not None:
@@ -87,8 +88,8 @@ def analyze(frames: DataFrame, videos: DataFrame, calibration: DataFrame | None
         near = pose.pose_window(pose_rows, hits.select("video_id", "frame"), videos)
         hits = pose.apply_pose_owners(hits, pose.nearest_wrists(hits, frames, near, videos, config), owner_y)
         hits = pose.rescue_hits(hits, found.scores, found.params, frames, pose_rows, videos, owner_y, config)
-    rallied = rallies.alternate_owners(rallies.rallies(hits, videos, config)).persist()
-    drops = rallies.judge_drops(rallies.landings(rallies.last_hits(rallied), found.points, videos), maps).persist()
+    rallied = keep(rallies.alternate_owners(rallies.rallies(hits, videos, config)))
+    drops = keep(rallies.judge_drops(rallies.landings(rallies.last_hits(rallied), found.points, videos), maps))
     out = {"hits": rallied, "drops": drops, "maps": maps, "params": found.params, "scores": found.scores, "marks": rallies.drop_marks(frames, drops, rallied)}
     if crossed is not None:
         out |= {"crossings": crossed, "faults": faults}

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.config import CONFIG as C
-from trackloom.functions.geometry import project, signed_distance, quad_of
+from trackloom.functions.geometry import project, quad_of, signed_distance
+from trackloom.functions.stages import keep
 from trackloom.operators import cleaning, crossings, impulse, owners, peaks, players, pose, rallies, render
 from trackloom.plans import analysis
 from trackloom.sources import adapters
@@ -19,9 +20,9 @@ class Clip:
     def __init__(self, spark, sf_dir: str):
         self.spark, self.sf_dir, self._made = spark, sf_dir, {}
 
-    def _get(self, name: str, make, keep: bool = True) -> DataFrame:
+    def _get(self, name: str, make, kept: bool = True) -> DataFrame:
         if name not in self._made:
-            self._made[name] = make().persist() if keep else make()
+            self._made[name] = keep(make()) if kept else make()
         return self._made[name]
 
     @property
@@ -34,7 +35,7 @@ class Clip:
 
     @property
     def points(self):
-        return self._get("points", lambda: cleaning.valid_points(self.frames), keep=False)
+        return self._get("points", lambda: cleaning.valid_points(self.frames), kept=False)
 
     @property
     def cleaned(self):
@@ -54,7 +55,7 @@ class Clip:
 
     @property
     def nets(self):
-        return self._get("nets", lambda: self.videos.select("video_id", F.lit(0.0).alias("slope"), F.lit(EVENTS.net_y).alias("intercept")), keep=False)
+        return self._get("nets", lambda: self.videos.select("video_id", F.lit(0.0).alias("slope"), F.lit(EVENTS.net_y).alias("intercept")), kept=False)
 
     @property
     def crossings(self):
@@ -62,7 +63,7 @@ class Clip:
 
     @property
     def owner_y(self):
-        return self._get("owner_y", lambda: self.videos.select("video_id", F.lit(EVENTS.net_y).alias("owner_y")), keep=False)
+        return self._get("owner_y", lambda: self.videos.select("video_id", F.lit(EVENTS.net_y).alias("owner_y")), kept=False)
 
     @property
     def peaks(self):
@@ -391,7 +392,7 @@ def removed_points(c: Clip) -> DataFrame:
 def long_hits(spark, sf_dir: str) -> DataFrame:
     """Hits of the long line-item videos: the detection at its full length."""
     clip = adapters.LINEITEM
-    frames = adapters.lineitem_frames(spark, sf_dir).persist()
+    frames = keep(adapters.lineitem_frames(spark, sf_dir))
     videos = adapters.videos_of(frames, clip)
     owner_y = videos.select("video_id", F.lit(clip.net_y).alias("owner_y"))
     found = analysis.detect(frames, videos, owner_y, alternation=False)
@@ -401,7 +402,7 @@ def long_hits(spark, sf_dir: str) -> DataFrame:
 def long_crossings(spark, sf_dir: str) -> DataFrame:
     """Net crossings of the long line-item videos."""
     clip = adapters.LINEITEM
-    frames = adapters.lineitem_frames(spark, sf_dir).persist()
+    frames = keep(adapters.lineitem_frames(spark, sf_dir))
     videos = adapters.videos_of(frames, clip)
     nets = videos.select("video_id", F.lit(0.0).alias("slope"), F.lit(clip.net_y).alias("intercept"))
     return crossings.net_crossings(frames, videos, nets).select("video_id", "frame", _r("time_sec"), "direction")
