@@ -37,27 +37,52 @@ def corner(array: Column, i: int, axis: str) -> Column:
     return F.get(array, F.lit(i))[axis]
 
 
-def _unit_to_quad(q: Column) -> list[Column]:
+def let(value: Column, f) -> Column:
+    """f(value) with the value worked out once, however often f mentions it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _at(array: Column) -> list[Column]:
+    return [F.get(array, F.lit(i)) for i in range(9)]
+
+
+def _unit_to_quad(q: Column) -> Column:
     """The nine entries of the map from the unit square (0,0) (1,0) (1,1) (0,1) to a quadrilateral."""
-    x, y = [corner(q, i, "x") for i in range(4)], [corner(q, i, "y") for i in range(4)]
-    dx1, dx2, sx = x[1] - x[2], x[3] - x[2], x[0] - x[1] + x[2] - x[3]
-    dy1, dy2, sy = y[1] - y[2], y[3] - y[2], y[0] - y[1] + y[2] - y[3]
-    d = dx1 * dy2 - dx2 * dy1
-    g, h = F.try_divide(sx * dy2 - dx2 * sy, d), F.try_divide(dx1 * sy - sx * dy1, d)
-    return [x[1] - x[0] + g * x[1], x[3] - x[0] + h * x[3], x[0], y[1] - y[0] + g * y[1], y[3] - y[0] + h * y[3], y[0], g, h, F.lit(1.0)]
 
+    def entries(quad: Column) -> Column:
+        x, y = [corner(quad, i, "x") for i in range(4)], [corner(quad, i, "y") for i in range(4)]
+        dx1, dx2, sx = x[1] - x[2], x[3] - x[2], x[0] - x[1] + x[2] - x[3]
+        dy1, dy2, sy = y[1] - y[2], y[3] - y[2], y[0] - y[1] + y[2] - y[3]
+        d = dx1 * dy2 - dx2 * dy1
+        tilt = F.struct(F.try_divide(sx * dy2 - dx2 * sy, d).alias("g"), F.try_divide(dx1 * sy - sx * dy1, d).alias("h"))
+        return let(
+            tilt,
+            lambda t: F.array(
+                x[1] - x[0] + t["g"] * x[1], x[3] - x[0] + t["h"] * x[3], x[0],
+                y[1] - y[0] + t["g"] * y[1], y[3] - y[0] + t["h"] * y[3], y[0],
+                t["g"], t["h"], F.lit(1.0),
+            ),
+        )
 
-def _adjugate(m: list[Column]) -> list[Column]:
-    a, b, c, d, e, f, g, h, i = m
-    return [e * i - f * h, c * h - b * i, b * f - c * e, f * g - d * i, a * i - c * g, c * d - a * f, d * h - e * g, b * g - a * h, a * e - b * d]
+    return let(q, entries)
+
+
+def _adjugate(array: Column) -> Column:
+    a, b, c, d, e, f, g, h, i = _at(array)
+    return F.array(e * i - f * h, c * h - b * i, b * f - c * e, f * g - d * i, a * i - c * g, c * d - a * f, d * h - e * g, b * g - a * h, a * e - b * d)
 
 
 def homography(src: Column, dst: Column) -> Column:
     """array<double> of 9, last entry 1: the projective map that takes four points to four points, in
-    closed form by way of the unit square. Null for corners that don't make a quadrilateral."""
-    a, b = _unit_to_quad(dst), _adjugate(_unit_to_quad(src))
-    m = [sum((a[3 * r + k] * b[3 * k + c] for k in range(1, 3)), a[3 * r] * b[c]) for r in range(3) for c in range(3)]
-    return F.array(*(F.try_divide(v, m[8]) for v in m))
+    closed form by way of the unit square. Null entries for corners that don't make a quadrilateral."""
+
+    def times(one: Column, two: Column) -> Column:
+        a, b = _at(one), _at(two)
+        return F.array(*(a[3 * r] * b[c] + a[3 * r + 1] * b[3 + c] + a[3 * r + 2] * b[6 + c] for r in range(3) for c in range(3)))
+
+    back = let(_unit_to_quad(src), _adjugate)
+    whole = let(_unit_to_quad(dst), lambda d: let(back, lambda s: times(d, s)))
+    return let(whole, lambda m: F.transform(m, lambda v: F.try_divide(v, F.get(m, F.lit(8)))))
 
 
 def project(matrix: Column, x: Column, y: Column) -> tuple[Column, Column]:
@@ -74,7 +99,7 @@ def project_pixel(matrix: Column, x: Column, y: Column) -> tuple[Column, Column]
 
 
 def homographies(corners: Column, w: Column, h: Column) -> dict[str, Column]:
-    """All maps of a video: src_pts, minimap_pts, to_minimap, to_normalized, net_y_minimap, coordinate_mode.
+    """All maps of a video: src_pts, minimap_pts, to_minimap, to_normalized, to_court (minimap to metres), net_y_minimap, coordinate_mode.
 
     With corners (TL, TR, BR, BL) they are the singles court's; without, fixed shares of the frame
     stand for the whole padded canvas."""
@@ -90,6 +115,7 @@ def homographies(corners: Column, w: Column, h: Column) -> dict[str, Column]:
         "minimap_pts": dst,
         "to_minimap": homography(src, dst),
         "to_normalized": homography(src, points([(0, 0), (1, 0), (1, 1), (0, 1)])),
+        "to_court": homography(dst, points(court)),
         "net_y_minimap": F.when(given, court_to_canvas(0, NET_Y)[1]).otherwise((pad + mh - pad) / 2),
         "coordinate_mode": F.when(given, "user_singles").otherwise("auto_ratio"),
     }
@@ -137,23 +163,34 @@ def quad_of(array: Column, whole: bool = True) -> list[tuple[Column, Column]]:
 LINES = ("좌측 사이드라인", "우측 사이드라인", "엔드라인(far)", "엔드라인(near)")
 
 
-def drop_verdict(minimap_pts: Column, net_y: Column, mx: Column, my: Column) -> dict[str, Column]:
-    """location (in_top, in_bottom, out), nearest_line, margin_cm (positive inside), court_x, court_y in metres."""
+def drop_place(minimap_pts: Column, to_court: Column, net_y: Column, mx: Column, my: Column) -> dict[str, Column]:
+    """What the verdict reads: the place in metres, and the court's sides at the net's height."""
     x, y = [corner(minimap_pts, i, "x") for i in range(4)], [corner(minimap_pts, i, "y") for i in range(4)]
-    left, right = edge_x(x[0], y[0], x[3], y[3], net_y), edge_x(x[1], y[1], x[2], y[2], net_y)
+    bx, by = project(to_court, mx.cast("double"), my.cast("double"))
+    return {
+        "court_x": single(bx),
+        "court_y": single(by),
+        "net_left": edge_x(x[0], y[0], x[3], y[3], net_y),
+        "net_right": edge_x(x[1], y[1], x[2], y[2], net_y),
+    }
+
+
+def half_distances(minimap_pts: Column, net_y: Column, left: Column, right: Column, mx: Column, my: Column) -> dict[str, Column]:
+    """Signed distances of a drop to the two halves of the court, whose corners are whole pixels."""
+    tl, tr, br, bl = quad_of(minimap_pts)
     cut = lambda c: c.cast("int").cast("double")
-    top = [(cut(a), cut(b)) for a, b in ((x[0], y[0]), (x[1], y[1]), (right, net_y), (left, net_y))]
-    bottom = [(cut(a), cut(b)) for a, b in ((left, net_y), (right, net_y), (x[2], y[2]), (x[3], y[3]))]
-    court = points([(SINGLES_LEFT, END_FAR), (SINGLES_RIGHT, END_FAR), (SINGLES_RIGHT, END_NEAR), (SINGLES_LEFT, END_NEAR)])
+    net_l, net_r = (cut(left), cut(net_y)), (cut(right), cut(net_y))
     px, py = mx.cast("double"), my.cast("double")
-    bx, by = (single(v) for v in project(homography(minimap_pts, court), px, py))
-    margins = [bx - SINGLES_LEFT, SINGLES_RIGHT - bx, END_FAR - by, by - END_NEAR]
-    least = F.least(*(F.abs(m) for m in margins))
-    pick = lambda values: F.coalesce(*(F.when(F.abs(m) == least, v) for m, v in zip(margins, values)))
+    return {"top_distance": signed_distance(px, py, [tl, tr, net_r, net_l]), "bottom_distance": signed_distance(px, py, [net_l, net_r, br, bl])}
+
+
+def drop_verdict(x: Column, y: Column, top: Column, bottom: Column) -> dict[str, Column]:
+    """location (in_top, in_bottom, out), nearest_line and margin_cm (positive inside) of a place in metres."""
+    margins = F.array(x - SINGLES_LEFT, SINGLES_RIGHT - x, END_FAR - y, y - END_NEAR)
+    ranked = F.transform(margins, lambda m, i: F.struct(F.abs(m).alias("away"), i.alias("line"), m.alias("margin")))
+    nearest = F.array_min(ranked)
     return {
-        "location": F.when(signed_distance(px, py, top) >= 0, "in_top").when(signed_distance(px, py, bottom) >= 0, "in_bottom").otherwise("out"),
-        "nearest_line": pick([F.lit(name) for name in LINES]),
-        "margin_cm": pick(margins) * 100,
-        "court_x": bx,
-        "court_y": by,
+        "location": F.when(top >= 0, "in_top").when(bottom >= 0, "in_bottom").otherwise("out"),
+        "nearest_line": F.get(F.array(*map(F.lit, LINES)), nearest["line"]),
+        "margin_cm": nearest["margin"] * 100,
     }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trackloom.config import CONFIG, COURT_X, END_FAR, END_NEAR, NET_Y, SINGLES_LEFT, SINGLES_RIGHT, Config
 from trackloom.functions.geometry import homography, points, project, project_pixel, quad_of, signed_distance, single
 from trackloom.functions.series import by_frame
+from trackloom.functions.stages import keep
 from trackloom.operators.pose import foot_center
 
 
@@ -109,6 +110,6 @@ def view_maps(maps: DataFrame, videos: DataFrame, config: Config = CONFIG) -> Da
     down = config.shift_px - config.shift_ratio * F.col("frame_h")
     shifted = F.transform("src_pts", lambda p: F.struct(p["x"].alias("x"), single(p["y"] + down).alias("y")))
     court = points([(SINGLES_LEFT, END_FAR), (SINGLES_RIGHT, END_FAR), (SINGLES_RIGHT, END_NEAR), (SINGLES_LEFT, END_NEAR)])
-    m = m.withColumn("view_pts", shifted).withColumns({"to_view": homography(F.col("src_pts"), F.col("view_pts")), "court_view": homography(court, F.col("view_pts"))})
+    m = keep(m.withColumn("view_pts", shifted)).withColumns({"to_view": homography(F.col("src_pts"), F.col("view_pts")), "court_view": homography(court, F.col("view_pts"))})
     _, net = project(F.col("court_view"), F.lit(COURT_X["center"]), F.lit(NET_Y))
-    return m.withColumn("view_net_y", net.cast("float").cast("int").cast("double")).drop("frame_h")
+    return keep(m.withColumn("view_net_y", net.cast("float").cast("int").cast("double")).drop("frame_h"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.config import CONFIG, Config
-from trackloom.functions.geometry import drop_verdict, project_pixel
+from trackloom.functions.geometry import drop_place, drop_verdict, half_distances, project_pixel
 from trackloom.functions.series import by_frame, angle, distance
 
 
@@ -73,18 +73,22 @@ def landings(last: DataFrame, points: DataFrame, videos: DataFrame) -> DataFrame
 
 
 def judge_drops(drops: DataFrame, maps: DataFrame) -> DataFrame:
-    """drops with the verdict: maps(video_id, to_minimap, minimap_pts, net_y_minimap).
+    """drops with the verdict: maps(video_id, to_minimap, to_court, minimap_pts, net_y_minimap).
 
     `rally_idx` counts a video's drops from 1. mx, my are the whole pixels that the verdict reads."""
-    d = drops.join(maps.select("video_id", "to_minimap", "minimap_pts", "net_y_minimap"), "video_id")
+    d = drops.join(maps.select("video_id", "to_minimap", "to_court", "minimap_pts", "net_y_minimap"), "video_id")
     mx, my = project_pixel(F.col("to_minimap"), F.col("sx"), F.col("sy"))
     d = d.withColumns({"mx": mx, "my": my, "rally_idx": F.row_number().over(Window.partitionBy("video_id").orderBy("rally"))})
-    d = d.withColumns(drop_verdict(F.col("minimap_pts"), F.col("net_y_minimap"), F.col("mx"), F.col("my")))
+    pts, net, at = F.col("minimap_pts"), F.col("net_y_minimap"), (F.col("mx"), F.col("my"))
+    d = d.withColumns(drop_place(pts, F.col("to_court"), net, *at))
+    d = d.withColumns(half_distances(pts, net, F.col("net_left"), F.col("net_right"), *at))
+    d = d.withColumns(drop_verdict(F.col("court_x"), F.col("court_y"), F.col("top_distance"), F.col("bottom_distance")))
+    d = d.drop("net_left", "net_right", "top_distance", "bottom_distance")
     away = F.abs(F.bround("margin_cm", 1))
     text = F.when(F.bround("margin_cm", 1) >= 0, F.format_string("%s까지 약 %.1fcm", "nearest_line", away)).otherwise(
         F.format_string("%s 밖 약 %.1fcm", "nearest_line", away)
     )
-    return d.withColumns({"is_in": F.col("location") != "out", "verdict": text}).drop("to_minimap", "minimap_pts", "net_y_minimap")
+    return d.withColumns({"is_in": F.col("location") != "out", "verdict": text}).drop("to_minimap", "to_court", "minimap_pts", "net_y_minimap")
 
 
 def drop_marks(frames: DataFrame, drops: DataFrame, rallied: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ def calibrated(videos: DataFrame, calibration: DataFrame | None) -> DataFrame:
         wrong = (F.size("corners") != 4) | (F.size("net") != 2)
         checked = calibration.withColumn("corners", F.when(F.coalesce(wrong, F.lit(False)), F.raise_error(F.lit("a court has 4 corners and a net 2 points"))).otherwise(F.col("corners")))
         v = videos.join(checked.select("video_id", "corners"), "video_id", "left")
-    return v.select("video_id", *(c.alias(name) for name, c in homographies(F.col("corners"), F.col("frame_w"), F.col("frame_h")).items()))
+    return keep(v.select("video_id", *(c.alias(name) for name, c in homographies(F.col("corners"), F.col("frame_w"), F.col("frame_h")).items())))
 
 
 def nets(calibration: DataFrame) -> DataFrame:

@@ -83,7 +83,7 @@ class Clip:
 
     @property
     def maps(self):
-        return self._get("maps", lambda: analysis.calibrated(self.videos, None))
+        return self._get("maps", lambda: analysis.calibrated(self.videos, None), kept=False)
 
     @property
     def drops(self):
@@ -103,7 +103,7 @@ class Clip:
 
     @property
     def view(self):
-        return self._get("view", lambda: players.view_maps(self.maps, self.videos))
+        return self._get("view", lambda: players.view_maps(self.maps, self.videos), kept=False)
 
 
 def _r(column: str, places: int = 6):
