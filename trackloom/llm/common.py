@@ -40,6 +40,10 @@ def id_fold(modulus: int, doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus, F.lit(-1))
 
 
+#: Files of a checkpoint at most, for each core of the cluster.
+FILES_A_CORE = 4
+
+
 def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cuts lineage into the shared folder named by spark.checkpoint.dir; where that is unset
     (tests on one machine) a temporary folder is taken once per session."""
@@ -48,4 +52,4 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-")
         context.setCheckpointDir(folder)
-    return df.checkpoint(eager)
+    return df.coalesce(FILES_A_CORE * context.defaultParallelism).checkpoint(eager)

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from trackloom.llm.common import checkpoint
 
 
+#: Links in a partition of a checkpoint: few files for few links, many for many.
+LINKS_A_FILE = 1_000_000
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """links(a, b) of long nodes -> (node, root): every node of a link but the roots themselves,
     with the smallest node that it reaches. No link gives no row.
@@ -16,10 +20,13 @@ def connected_components(links: DataFrame) -> DataFrame:
     among the smaller ones; minima are combined before the shuffle, and a table of links never
     grows. Lineage is cut each pass; only a count and a checksum come to the driver.
     """
-    links = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
-    links, before = checkpoint(links), None
+    links = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct().persist()
+    before, state = None, (F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
+    now = links.agg(*state).first()
+    kept, links = links, checkpoint(links.coalesce(1 + now[0] // LINKS_A_FILE))
+    kept.unpersist()
     while True:
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = links.agg(*state).first()
         if now == before or not now[0]:
             return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
@@ -28,4 +35,5 @@ def connected_components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = checkpoint(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        hung = small.union(least.select("u", F.col("m").alias("v"))).distinct()
+        links = checkpoint(hung.coalesce(1 + now[0] // LINKS_A_FILE))

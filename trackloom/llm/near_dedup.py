@@ -6,7 +6,7 @@ practice after a few, and the share of equal coordinates concentrates around the
 sampled without replacement. BANDS bands of ROWS coordinates give candidate buckets.
 
 Links are confirmed on the full shingle sets. A pair at a similarity of 0.8 meets in no band with
-probability (1 - 0.8^5)^36 < 1e-6, and fails the test of sketch bits with probability < 1e-6.
+probability (1 - 0.8^5)^36 < 1e-6, and fails the tests of sketch bits with probability < 1e-5.
 """
 
 from __future__ import annotations
@@ -26,6 +26,9 @@ BANDS, ROWS = 36, 5
 T = BANDS * ROWS
 #: Of T one-bit coordinates a pair at 0.8 differs in 18 on average, in over MOST_BITS almost never.
 MOST_BITS = 44
+#: Pairs that no leader could join are held against WIDE more such bits, of which a pair at 0.8
+#: differs in 205 on average, with a deviation of 13.6; few pairs below 0.73 pass.
+WIDE, MOST_WIDE = 2048, 273
 #: Nodes of rows without doc_id lie above all ids.
 NO_ID = 1 << 62
 #: Bytes of text that a task sketches at once.
@@ -59,21 +62,25 @@ def shingle_hashes(tokens: list[bytes], k: int = 4) -> np.ndarray:
     return np.unique(out)
 
 
-def sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """One row of T uint64 coordinates for each non-empty set."""
+def sketches(sets: list[np.ndarray], t: int = T) -> np.ndarray:
+    """One row of t uint64 coordinates for each non-empty set."""
     lengths = np.array([len(s) for s in sets])
     flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), lengths)
-    out = np.full(len(sets) * T, _FULL)
-    for i in range(2 * T):
+    out, alive = np.full(len(sets) * t, _FULL), np.arange(len(sets))
+    for i in range(2 * t):
         x = mix(flat + np.uint64((i + 1) * int(_GOLD) % 2**64))
-        bins = ((x >> np.uint64(32)) * np.uint64(T) >> np.uint64(32)).astype(np.int64) if i < T else i - T
-        np.minimum.at(out, owner * T + bins, (np.uint64(i) << np.uint64(32)) | (x & np.uint64(0xFFFFFFFF)))
-        open_sets = (out.reshape(-1, T) == _FULL).any(1)
-        if not open_sets.any():
+        bins = ((x >> np.uint64(32)) * np.uint64(t) >> np.uint64(32)).astype(np.int64) if i < t else i - t
+        np.minimum.at(out, owner * t + bins, (np.uint64(i) << np.uint64(32)) | (x & np.uint64(0xFFFFFFFF)))
+        if i % 16 and i > 3:  # a few rounds too many change nothing: their values are higher
+            continue
+        still = (out.reshape(-1, t)[alive] == _FULL).any(1)
+        if not still.any():
             break
-        keep = open_sets[owner]
-        flat, owner = flat[keep], owner[keep]
-    return out.reshape(-1, T)
+        if not still.all():
+            alive = alive[still]
+            keep = np.isin(owner, alive)
+            flat, owner = flat[keep], owner[keep]
+    return out.reshape(-1, t)
 
 
 def _bands(sketch: np.ndarray) -> np.ndarray:
@@ -131,6 +138,17 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start = stop
 
 
+def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, len(batch), 256):
+            rows = batch.slice(start, 256)
+            sketch = sketches([shingle_hashes(words(t.as_py())) for t in rows.column("text")], WIDE)
+            bits = np.packbits((mix(sketch) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
+            ends = np.arange(len(rows) + 1, dtype=np.int32) * (WIDE // 64)
+            wide = pa.ListArray.from_arrays(pa.array(ends), pa.array(bits.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([rows.column("node"), wide], ["node", "wide"])
+
+
 def _shingles(text: str, k: int = 4) -> set[tuple[bytes, ...]]:
     w = words(text)
     return set(zip(*(w[j:] for j in range(k)))) if len(w) >= k else {tuple(w)}
@@ -151,11 +169,15 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
 
+def _texts(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of the nodes asked for."""
+    keys = classes.join(nodes.distinct(), "node").select("node", "key")
+    return docs.join(keys, "key").groupBy("node").agg(F.first("text").alias("text"))
+
+
 def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose full shingle sets are at least 0.8 alike."""
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    keys = classes.join(needed, "node").select("node", "key")
-    texts = docs.join(keys, "key").groupBy("node").agg(F.first("text").alias("text"))
+    texts = _texts(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), classes, docs)
     side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_linked, "a long, b long")
 
@@ -193,6 +215,7 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
         )
     )
     sketched = classes.select("node", "n_shingles", "b1", "b2", "b3")
+    placed_in = classes.select("node", "bands")
     entries = classes.select("node", F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count("*").alias("mates")).filter("mates > 1")
     members = checkpoint(entries.join(shared, "bucket"))
@@ -209,11 +232,11 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
         .select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
     )
     x, y = sketched.alias("x"), sketched.alias("y")
-    likely = checkpoint(
+    likely = (
         stars.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node"))
         .filter(_alike("x", "y")).select("a", "b")
-    )
-    first = checkpoint(connected_components(_confirm(likely, classes, docs)))
+    ).persist()
+    first = connected_components(_confirm(likely, classes, docs))
 
     # Then whatever pairs of a bucket are still apart.
     placed = (
@@ -221,14 +244,19 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
         .select("bucket", "node", F.coalesce("root", "node").alias("part"))
     )
     still = placed.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi")
-    apart = checkpoint(placed.join(still.select("bucket"), "bucket").join(sketched, "node"))
+    opened = checkpoint(placed.join(still.select("bucket"), "bucket"))
+    wide = _texts(opened.select("node"), classes, docs).mapInArrow(_wide, "node long, wide array<long>")
+    apart = checkpoint(opened.join(sketched, "node").join(placed_in, "node").join(wide, "node"))
+    # A pair that shares several buckets is looked at in the first of them only.
+    once = "x.bucket = array_min(array_intersect(x.bands, y.bands))"
+    differ = "aggregate(zip_with(x.wide, y.wide, (p, q) -> bit_count(p ^ q)), 0, (n, d) -> n + d)"
     x, y = apart.alias("x"), apart.alias("y")
     rest = (
-        x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & F.expr(f"x.node < y.node AND x.part <> y.part AND {_alike('x', 'y')}"))
+        x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & F.expr(f"x.node < y.node AND x.part <> y.part AND {_alike('x', 'y')} AND {differ} <= {MOST_WIDE} AND {once}"))
         .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
         .join(likely, ["a", "b"], "left_anti")
     )
-    second = _confirm(checkpoint(rest), classes, docs)
+    second = _confirm(rest.persist(), classes, docs)
     part = lambda c: first.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     between = second.join(part("a"), "a", "left").join(part("b"), "b", "left").select(
         F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")
