@@ -383,3 +383,63 @@ ORACLES: dict[str, str] = {
         "removed_points": "SELECT video_id, frame FROM points EXCEPT ALL SELECT video_id, frame FROM cleaned",
     }.items()
 }
+
+
+def _away(quad: list[tuple[int, int]], x: str, y: str) -> str:
+    """Signed distance of a point to a convex polygon, positive inside, as SQL."""
+    edges, sides = [], []
+    for (ax, ay), (bx, by) in zip(quad, quad[1:] + quad[:1]):
+        ex, ey = float(bx - ax), float(by - ay)
+        t = f"greatest(0.0::DOUBLE, least(1.0::DOUBLE, (({x} - {ax}) * ({ex}) + ({y} - {ay}) * ({ey})) / {ex * ex + ey * ey}::DOUBLE))"
+        edges.append(f"sqrt(({ax} + {t} * ({ex}) - {x}) ** 2 + ({ay} + {t} * ({ey}) - {y}) ** 2)")
+        sides.append(f"({ex}) * ({y} - {ay}) - ({ey}) * ({x} - {ax})")
+    inside = f"(least({', '.join(sides)}) >= 0 OR greatest({', '.join(sides)}) <= 0)"
+    return f"(CASE WHEN {inside} THEN 1 ELSE -1 END * least({', '.join(edges)}))"
+
+
+_QUAD = [(int(np.float32(x)), int(np.float32(y))) for x, y in _SRC]
+_VIEW = _solve(_COURT, [(x, y + 360) for x, y in _SRC])
+_NET_VIEW = int((_VIEW[3] * 3.05 + _VIEW[4] * 6.7 + _VIEW[5]) / (_VIEW[6] * 3.05 + _VIEW[7] * 6.7 + 1.0))
+
+_STEPS |= {
+    "stood": f"""
+  SELECT p.video_id, p.frame, p.person_idx, trunc(f.x)::INT AS tx, trunc(f.y + 360)::INT AS ty FROM people p JOIN feet f USING (frame, person_idx)
+  WHERE f.x > 0 AND f.y > 0 AND {_away(_QUAD, "f.x", "f.y")} >= 0""",
+    "stood_ranked": f"""
+  SELECT *, ty < {_NET_VIEW} AS above, count(*) OVER v AS n, sum((ty < {_NET_VIEW})::INT) OVER v AS up, row_number() OVER (PARTITION BY video_id, frame ORDER BY ty, person_idx) AS high
+  FROM stood WINDOW v AS (PARTITION BY video_id, frame)""",
+    "stood_top": """
+  SELECT * FROM (SELECT *, 'top' AS side, row_number() OVER (PARTITION BY video_id, frame ORDER BY ty, person_idx) AS r FROM stood_ranked
+    WHERE CASE WHEN n >= 2 AND (up = 0 OR up = n) THEN high = 1 ELSE above END) WHERE r = 1""",
+    "stood_bottom": """
+  SELECT * FROM (SELECT *, 'bottom' AS side, row_number() OVER (PARTITION BY video_id, frame ORDER BY ty DESC, CASE WHEN n >= 2 AND up = n THEN -person_idx ELSE person_idx END) AS r
+    FROM stood_ranked WHERE CASE WHEN n >= 2 AND up = 0 THEN high > 1 WHEN n >= 2 AND up = n THEN true ELSE NOT above END) WHERE r = 1""",
+    "bone_list": "SELECT * FROM (VALUES "
+    + ", ".join(f"({i}, {a - 1}, {b - 1})" for i, (a, b) in enumerate(((16, 14), (14, 12), (17, 15), (15, 13), (12, 13), (6, 12), (7, 13), (6, 7), (6, 8), (7, 9), (8, 10), (9, 11))))
+    + ") t(bone, a, b)",
+}
+_BONE = "round(f.{0} + {2} + ({1}.{0} - f.{0}) * 1.2::DOUBLE, 2)"
+_PX, _PY = "(x * 6)", "y"
+
+
+def _long(text: str) -> str:
+    """The same rules for the adapter of long videos: its frames, rate, height and net."""
+    frames = """
+  SELECT l_suppkey::VARCHAR AS video_id, (row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey) - 1)::INT AS frame,
+    l_quantity * 20.0::DOUBLE AS x, l_extendedprice / 150.0::DOUBLE AS y FROM lineitem"""
+    for old, new in ((_STEPS["frames"], frames), ("5.0::DOUBLE AS fps", "30.0::DOUBLE AS fps"), ("/ 5.0::DOUBLE", "/ 30.0::DOUBLE"), ("50.5", "350.0"), ("span / 100 /", "span / 720 /")):
+        text = text.replace(old, new)
+    return text
+
+
+ORACLES |= {
+    "point_in_court": _sql(f"SELECT video_id, frame, round({_away(_QUAD, _PX, _PY)}, 4) AS away, {_away(_QUAD, _PX, _PY)} >= 0 AS inside, {_away(_QUAD, _PX, _PY)} >= -30 AS near FROM points"),
+    "court_player_select": _sql("SELECT video_id, frame, side, person_idx, tx, ty FROM stood_top UNION ALL SELECT video_id, frame, side, person_idx, tx, ty FROM stood_bottom"),
+    "bone_segments": _sql(
+        f"""SELECT p.video_id, p.frame, p.person_idx, l.bone, {_BONE.format("x", "a", 0)} AS x1, {_BONE.format("y", "a", 360)} AS y1, {_BONE.format("x", "b", 0)} AS x2, {_BONE.format("y", "b", 360)} AS y2
+        FROM people p JOIN feet f USING (frame, person_idx) CROSS JOIN bone_list l JOIN kp a ON a.frame = p.frame AND a.person_idx = p.person_idx AND a.i = l.a
+        JOIN kp b ON b.frame = p.frame AND b.person_idx = p.person_idx AND b.i = l.b WHERE f.x > 0 AND f.y > 0 AND a.conf >= 0.3 AND b.conf >= 0.3"""
+    ),
+    "long_crossings": _long(_sql("SELECT video_id, frame, round(time_sec, 6) AS time_sec, direction FROM crossings")),
+    "long_hits": _long(_sql("SELECT video_id, hit_number, frame, round(time_sec, 6) AS time_sec, round(score, 6) AS score, owner FROM hits")),
+}
