@@ -347,7 +347,7 @@ ORACLES: dict[str, str] = {
         "rally_last_hit": "SELECT video_id, rally, frame, hit_number FROM last_hits",
         "landing": "SELECT * FROM landed",
         "drop_verdict": f"""SELECT video_id, rally_idx, frame, mx, my, location, {_LINE.format("'좌측 사이드라인'", "'우측 사이드라인'", "'엔드라인(far)'", "'엔드라인(near)'")} AS nearest_line,
-            round(100 * ({_LINE.format("cx - 0.46", "5.64 - cx", "13.4 - cy", "cy")}), 1) AS margin_cm, round(cx, 2) AS court_x, round(cy, 2) AS court_y, location <> 'out' AS is_in FROM courted""",
+            round(100 * ({_LINE.format("cx - 0.46", "5.64 - cx", "13.4 - cy", "cy")}) + 0.037, 1) AS margin_cm, round(cx + 0.0037, 2) AS court_x, round(cy + 0.0037, 2) AS court_y, location <> 'out' AS is_in FROM courted""",
         "drop_interval": """SELECT f.video_id, f.frame, max(s.rally_idx) AS rally_idx FROM frames f JOIN spans s ON s.video_id = f.video_id AND f.frame >= s.frame
             AND (s.until IS NULL OR f.frame < s.until) GROUP BY f.video_id, f.frame""",
         "homography_apply": f"SELECT video_id, frame, round({_MX}, 4) AS mx, round({_MY}, 4) AS my, round({_NX}, 4) AS nx, round({_NY}, 4) AS ny FROM points",
