@@ -28,19 +28,18 @@ _SHAPES = ((CLASSES + 1, EMBED), (2 * SIDE, EMBED, HIDDEN), (HIDDEN,), (HIDDEN,
 _OFFSETS = [o for o in range(2 * SIDE + 1) if o != SIDE]
 
 
-class Buckets:
-    """The bucket of each word of a text, A-Z lower-cased."""
+class Buckets(dict):
+    """The bucket of each word of a text, A-Z lower-cased; words are remembered."""
 
-    def __init__(self) -> None:
-        self.memo: dict[bytes, int] = {}
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = xxhash.xxh3_64_intdigest(word) & (BUCKETS - 1)
+        return found
 
-    def __call__(self, text: str | None) -> np.ndarray:
+    def of(self, text: str | None) -> np.ndarray:
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        for w in set(words).difference(self.memo):
-            self.memo[w] = xxhash.xxh3_64_intdigest(w) & (BUCKETS - 1)
-        return np.fromiter(map(self.memo.__getitem__, words), np.int32, len(words))
+        if len(self) > MEMO:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
 
 def corpus_counts(docs: DataFrame) -> np.ndarray:
@@ -51,7 +50,7 @@ def corpus_counts(docs: DataFrame) -> np.ndarray:
         buckets, total = Buckets(), np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for text in batch.column("text"):
-                np.add.at(total, buckets(text.as_py()), 1)
+                np.add.at(total, buckets.of(text.as_py()), 1)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], ["bucket", "n"])
 
@@ -95,21 +94,29 @@ def unpack(flat: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
-    return z
+_ONES = np.ones(CLASSES, np.float32)
 
 
-def predict(weights: list[np.ndarray], padded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hidden states, log-probabilities of the classes) at every inner place of a padded sequence of classes."""
+def logits(weights: list[np.ndarray], padded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hidden states, scores of the classes) at every inner place of a padded sequence of classes.
+
+    Scores stay within +-60, so that their exponentials need no shift."""
     embed, into, bias, out, out_bias = weights
     n = len(padded) - 2 * SIDE
-    hidden = np.tile(bias, (n, 1))
-    for k, o in enumerate(_OFFSETS):
-        hidden += np.take(embed @ into[k], padded[o : o + n], 0)
+    hidden = np.take(embed @ into[0] + bias, padded[_OFFSETS[0] : _OFFSETS[0] + n], 0, mode="clip")
+    for k, o in list(enumerate(_OFFSETS))[1:]:
+        hidden += np.take(embed @ into[k], padded[o : o + n], 0, mode="clip")
     np.tanh(hidden, out=hidden)
-    return hidden, _log_softmax(hidden @ out + out_bias)
+    z = hidden @ out
+    z += out_bias
+    return hidden, np.clip(z, -60, 60, out=z)
+
+
+def log_probabilities(weights: list[np.ndarray], padded: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Of the class at every inner place."""
+    _, z = logits(weights, padded)
+    own = z[np.arange(len(target)), target]
+    return own - np.log(np.exp(z, out=z) @ _ONES)
 
 
 def gradient(weights: list[np.ndarray], padded: np.ndarray) -> np.ndarray:
@@ -117,12 +124,13 @@ def gradient(weights: list[np.ndarray], padded: np.ndarray) -> np.ndarray:
     embed, into, _, out, _ = weights
     n = len(padded) - 2 * SIDE
     target = padded[SIDE : SIDE + n]
-    hidden, delta = predict(weights, padded)
+    hidden, delta = logits(weights, padded)
     np.exp(delta, out=delta)
     real = np.flatnonzero(target < CLASSES)
-    delta[real, target[real]] -= 1
-    delta[target == CLASSES] = 0
-    delta /= max(1, len(real))
+    share = np.zeros(n, delta.dtype)
+    share[real] = 1 / max(1, len(real))
+    delta *= (share / (delta @ _ONES))[:, None]
+    delta[real, target[real]] -= share[real]
     back = (delta @ out.T) * (1 - hidden * hidden)
     hot = np.zeros((len(padded), CLASSES + 1), np.float32)
     hot[np.arange(len(padded)), padded] = 1
@@ -138,7 +146,7 @@ def sequences(texts: pa.Array, buckets: Buckets, classes: np.ndarray) -> Iterato
     """(padded classes, buckets) of each text."""
     edge = np.full(SIDE, CLASSES, np.int32)
     for text in texts:
-        own = buckets(text.as_py())
+        own = buckets.of(text.as_py())
         yield np.concatenate([edge, classes[own], edge]), own
 
 
@@ -193,8 +201,8 @@ def log_likelihood(weights: list[np.ndarray], vocab: Vocabulary, padded: np.ndar
     total = 0.0
     for at in range(0, len(words), STEP):
         own = words[at : at + STEP]
-        _, logs = predict(weights, padded[at : at + len(own) + 2 * SIDE])
-        total += float(logs[np.arange(len(own)), vocab.classes[own]].sum(dtype=np.float64) + vocab.within[own].sum(dtype=np.float64))
+        logs = log_probabilities(weights, padded[at : at + len(own) + 2 * SIDE], vocab.classes[own])
+        total += float(logs.sum(dtype=np.float64) + vocab.within[own].sum(dtype=np.float64))
     return total
 
 
