@@ -80,14 +80,14 @@ def analyze(frames: DataFrame, videos: DataFrame, calibration: DataFrame | None
     crossed = faults = None
     if calibration is not None:
         net = nets(calibration)
-        crossed = crossings.net_crossings(frames, videos, net.drop("center_x"), config)
+        crossed = keep(crossings.net_crossings(frames, videos, net.drop("center_x"), config))
         faults = crossings.net_faults(crossed, frames, net.drop("center_x"), net.select("video_id", "center_x"))
     found = detect(frames, videos, owner_y, crossed, alternation=False, config=config)
     hits = found.hits
     if pose_rows is not None:
         near = pose.pose_window(pose_rows, hits.select("video_id", "frame"), videos)
-        hits = pose.apply_pose_owners(hits, pose.nearest_wrists(hits, frames, near, videos, config), owner_y)
-        hits = pose.rescue_hits(hits, found.scores, found.params, frames, pose_rows, videos, owner_y, config)
+        hits = keep(pose.apply_pose_owners(hits, pose.nearest_wrists(hits, frames, near, videos, config), owner_y))
+        hits = keep(pose.rescue_hits(hits, found.scores, found.params, frames, pose_rows, videos, owner_y, config))
     rallied = keep(rallies.alternate_owners(rallies.rallies(hits, videos, config)))
     drops = keep(rallies.judge_drops(rallies.landings(rallies.last_hits(rallied), found.points, videos), maps))
     out = {"hits": rallied, "drops": drops, "maps": maps, "params": found.params, "scores": found.scores, "marks": rallies.drop_marks(frames, drops, rallied)}
