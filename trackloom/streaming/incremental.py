@@ -21,15 +21,12 @@ _STATE = "frame int, x double, y double, above boolean, last int"
 def stream_crossings(frames: DataFrame, slope: float, intercept: float, cooldown: int = CONFIG.cooldown) -> DataFrame:
     """A stream of (video_id, frame, x, y), in frame order within a video -> its net crossings.
 
-    The state is one row per video: the last valid frame, its side and the last crossing; it is
-    dropped after an hour without frames. Rows of a batch are sorted by frame; frames that come
+    The state is one small row per video, the last valid frame, its side and the last crossing, and
+    stays for good: a processing-time limit would keep an available-now run from ending. Rows of a batch are sorted by frame; frames that come
     after a later batch was handled are taken as they come.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         prev = state.get if state.exists else None
         last = prev[4] if prev else -cooldown
         prev = prev[:4] if prev and prev[0] is not None else None
@@ -47,10 +44,9 @@ def stream_crossings(frames: DataFrame, slope: float, intercept: float, cooldown
                 out.append((key[0], last, frame, "top_to_bottom" if was else "bottom_to_top", x0 + t * (x - x0)))
             prev = (frame, x, y, above)
         state.update((*(prev or (None, None, None, None)), last))
-        state.setTimeoutDuration(3_600_000)
         yield pd.DataFrame(out, columns=["video_id", "frame", "trigger", "direction", "cross_x"])
 
-    return frames.groupBy("video_id").applyInPandasWithState(step, _CROSSINGS, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return frames.groupBy("video_id").applyInPandasWithState(step, _CROSSINGS, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_rallies(hits: DataFrame, gap_sec: float = CONFIG.rally_gap_sec, late: str = "10 seconds") -> DataFrame:
