@@ -77,25 +77,23 @@ def license_spans(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES)
     """(key, label, base, start, coverage): one row per phrase or template found in a text, by row key.
 
     `start` is the first word, `coverage` the share of the template's pairs that agree. Votes of one
-    text and template are windowed together, which is bounded by the text.
+    text and template are windowed together, which is bounded by the text. A phrase's diagonal stays
+    a group of its own, so that phrases and templates share one pass over the texts.
     """
-    votes = _votes(docs, templates)
-    lines = votes.groupBy("key", "template", "pairs", "label", "base", "diagonal").agg(
-        F.count("*").alias("agree"), F.collect_set("place").alias("places")
-    )
-    phrases = lines.filter("base AND agree = pairs").select("key", "label", "base", F.col("diagonal").alias("start"), F.lit(1.0).alias("coverage"))
+    lines = _votes(docs, templates).groupBy("key", "template", "pairs", "label", "base", "diagonal").agg(F.collect_set("place").alias("places"))
     order = Window.partitionBy("key", "template").orderBy("diagonal")
+    apart = F.col("base") | (F.col("diagonal") - F.lag("diagonal").over(order) > SLACK)
     merged = (
-        lines.filter("NOT base")
-        .withColumn("new", (F.col("diagonal") - F.lag("diagonal").over(order) > SLACK).cast("int"))
-        .withColumn("group", F.sum(F.coalesce("new", F.lit(0))).over(order))
+        lines.withColumn("new", F.coalesce(apart.cast("int"), F.lit(0)))
+        .withColumn("group", F.sum("new").over(order))
         .groupBy("key", "template", "pairs", "label", "base", "group")
         .agg(F.min("diagonal").alias("diagonal"), F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
-        .withColumn("coverage", F.size("places") / F.col("pairs"))
-        .filter(F.col("coverage") >= COVERAGE)
+    )
+    return (
+        merged.withColumn("coverage", F.size("places") / F.col("pairs"))
+        .filter(F.col("coverage") >= F.when(F.col("base"), F.lit(1.0)).otherwise(F.lit(COVERAGE)))
         .select("key", "label", "base", (F.col("diagonal") + F.array_min("places")).alias("start"), "coverage")
     )
-    return phrases.unionByName(merged)
 
 
 def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
