@@ -365,5 +365,23 @@ def test_lm_scores(spark):
     assert lm_score.pseudo_likelihood(table(spark, [])).count() == 0
 
 
+SAME_BUCKET = ("w73", "w239")
+
+
+def test_lm_counts_real_words(spark, monkeypatch):
+    # These met in one of 65,536 hash buckets before; the rarer must not borrow the other's count.
+    first, second = SAME_BUCKET
+    rows = [(1, first, "en", "s", 0), (2, second, "en", "s", 0), (2, second, "en", "s", 0), (3, f"{first} " * 500, "en", "s", 0)]
+    rows += [(i + 10, sentence(random.Random(i), 200, EN), "en", "s", 0) for i in range(9)]
+    found = by_id(lm_score.pseudo_likelihood(table(spark, rows)).collect())
+    assert found[1]["log_prob"] > found[2]["log_prob"] + 0.1
+    monkeypatch.setattr(lm_score, "BUCKETS", 2)  # nearly all words joined: in one class and context, counts alone differ
+    rows = [(1, "abcde", "en", "s", 0), (2, "vwxyz", "en", "s", 0), (3, "abcde abcde abcde", "en", "s", 0), (4, "the of " * 50, "en", "s", 0)]
+    out = lm_score.pseudo_likelihood(table(spark, rows + [rows[1]])).collect()
+    found = by_id(out)
+    assert len(out) == 5 and abs(found[1]["log_prob"] - found[2]["log_prob"] - np.log(4 / 2)) < 1e-4
+    assert lm_score.own_words(10**8) > lm_score.own_words(10**7) > lm_score.own_words(10**6) > lm_score.OWN
+
+
 def test_sha_of_no_span(spark):
     assert hashlib.sha256(b"").hexdigest() == hashlib.sha256(_plain_spans("").encode()).hexdigest()

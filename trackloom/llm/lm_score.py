@@ -2,101 +2,154 @@
 
 A window network in numpy sees the two words before and the two after a masked word and predicts it:
 first the word's class, then the word within its class by corpus counts. A document's score is the
-sum of the log-probabilities of all its words, each masked in turn. Counts come from all documents;
+sum of the log-probabilities of all its words, each masked in turn. Counts are of real words, in a
+table keyed by word that is never collected; the commonest go to every task, the others are joined
+by word. The words that are classes of their own grow with the corpus. Counts come from all documents;
 the network is trained on all documents too, each task on its own part from a shared start, and the
 parts' weights are averaged by the words they saw.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words are known by one of BUCKETS hashes; CLASSES classes, the first OWN of them single buckets.
-BUCKETS, CLASSES, OWN = 1 << 16, 64, 48
+from trackloom.llm.common import checkpoint
+
+#: Tasks hold the BUCKETS commonest words at most; the others are joined. A small corpus has CLASSES
+#: classes of these, the first OWN of them single words; own_words() tells how they grow, to MOST_OWN.
+BUCKETS, CLASSES, OWN, MOST_OWN = 1 << 18, 64, 48, 1024
+#: Classes of the words that tasks don't hold, by shape.
+SHAPES = 8
 EMBED, HIDDEN, SIDE = 8, 24, 2
 #: Words of a training step, and words that a task remembers at most (forgetting changes no result).
 STEP, MEMO = 4096, 1 << 19
-_SHAPES = ((CLASSES + 1, EMBED), (2 * SIDE, EMBED, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,))
 #: Offsets of the neighbours in a padded sequence.
 _OFFSETS = [o for o in range(2 * SIDE + 1) if o != SIDE]
 
 
-class Buckets(dict):
-    """The bucket of each word of a text, A-Z lower-cased; words are remembered."""
+def split(text: str | None) -> list[bytes]:
+    """The words of a text, A-Z lower-cased."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
-    def __missing__(self, word: bytes) -> int:
-        found = self[word] = xxhash.xxh3_64_intdigest(word) & (BUCKETS - 1)
-        return found
 
-    def of(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        if len(self) > MEMO:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+def shape(word: bytes) -> int:
+    """One of SHAPES, by length and by whether there is anything but letters of ASCII."""
+    return 2 * min(len(word) // 4, SHAPES // 2 - 1) + (not word.isalpha())
 
 
-def corpus_counts(docs: DataFrame) -> np.ndarray:
-    """How often each bucket occurs in all documents. Tasks send one row per bucket that they saw;
-    the driver gets BUCKETS rows at most."""
+def corpus_counts(docs: DataFrame) -> DataFrame:
+    """(word, shape, n): how often each word occurs in all documents, one row per word, checkpointed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets, total = Buckets(), np.zeros(BUCKETS, np.int64)
+        def rows(total: Counter) -> pa.RecordBatch:
+            kinds = pa.array(map(shape, total), pa.int32(), size=len(total))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(list(total), pa.binary()), kinds, pa.array(list(total.values()), pa.int64())], ["word", "shape", "n"]
+            )
+
+        total: Counter = Counter()
         for batch in batches:
             for text in batch.column("text"):
-                np.add.at(total, buckets.of(text.as_py()), 1)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], ["bucket", "n"])
+                total.update(split(text.as_py()))
+                if len(total) > MEMO:
+                    yield rows(total)
+                    total = Counter()
+        yield rows(total)
 
-    rows = docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(BUCKETS, np.int64)
-    counts[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
-    return counts
+    return checkpoint(docs.select("text").mapInArrow(run, "word binary, shape int, n long").groupBy("word", "shape").agg(F.sum("n").alias("n")))
 
 
 @dataclass
 class Vocabulary:
-    """Class of each bucket, and log-probability of each bucket within its class."""
+    """Class of each word held, and its log-probability within its class; then a class of each shape
+    and 0, as the words of a shape are joined. `names` are the words held."""
 
     classes: np.ndarray
     within: np.ndarray
+    names: list[bytes] = field(default_factory=list)
+    size: int = CLASSES
+
 
+class Words(dict):
+    """The place in a vocabulary of each word; words that it does not hold have that of their shape."""
 
-def vocabulary(counts: np.ndarray) -> Vocabulary:
-    """The OWN commonest buckets are classes of their own; the others are dealt by rank into classes
-    of about equal mass. Buckets that never occur count as half a word."""
-    order = np.lexsort((np.arange(BUCKETS), -counts))
-    classes = np.empty(BUCKETS, np.int32)
-    classes[order[:OWN]] = np.arange(OWN)
-    mass = np.cumsum(counts[order[OWN:]] + 0.5)
-    classes[order[OWN:]] = OWN + np.minimum((mass / mass[-1] * (CLASSES - OWN)).astype(np.int32), CLASSES - OWN - 1)
-    weight = counts + 0.5
-    return Vocabulary(classes, np.log(weight / np.bincount(classes, weight, CLASSES)[classes]).astype(np.float32))
+    def __init__(self, vocab: Vocabulary):
+        super().__init__(zip(vocab.names, range(len(vocab.names))))
+        self.held = len(vocab.names)
 
+    def __missing__(self, word: bytes) -> int:
+        return self.held + shape(word)
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
-def initial_weights(seed: int = 11) -> np.ndarray:
+
+def own_words(distinct: int) -> int:
+    """Words that are classes of their own: twice the fourth root of the distinct words of the corpus,
+    so that the work a word grows far slower than the corpus; OWN at least and MOST_OWN at most."""
+    return int(min(MOST_OWN, max(OWN, 2 * distinct**0.25)))
+
+
+def vocabulary(counts: np.ndarray, own: int = OWN) -> Vocabulary:
+    """The `own` commonest words are classes of their own; the others are dealt by rank into a third as
+    many classes of about equal mass. Words that never occur count as half a word."""
+    shared = own * (CLASSES - OWN) // OWN
+    order = np.lexsort((np.arange(len(counts)), -counts))
+    classes = np.empty(len(counts), np.int32)
+    classes[order[:own]] = np.arange(len(order[:own]))
+    weight = np.maximum(counts, 0.5)
+    mass = np.cumsum(weight[order[own:]])
+    classes[order[own:]] = own + np.minimum((mass / mass[-1:].sum() * shared).astype(np.int32), shared - 1) if len(mass) else 0
+    size = own + shared
+    return Vocabulary(classes, np.log(weight / np.bincount(classes, weight, size)[classes]).astype(np.float32), size=size)
+
+
+def learned_vocabulary(table: DataFrame) -> tuple[Vocabulary, DataFrame]:
+    """Of corpus_counts' table, with (word, term) of the words that tasks don't hold: the log-probability
+    within their shape. The driver gets BUCKETS words at most and the numbers of words by count."""
+    by_count = table.groupBy("n").agg(F.count("*").alias("words")).toPandas().sort_values("n", ascending=False)
+    fits = by_count["words"].cumsum() <= BUCKETS
+    least = int(by_count["n"][fits].min()) if fits.any() else 1 << 62
+    head = table.filter(F.col("n") >= least).select("word", "n").toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+    vocab = vocabulary(head["n"].to_numpy(), own_words(int(by_count["words"].sum())))
+    vocab.names = [bytes(w) for w in head["word"].to_pylist()]
+    vocab.classes = np.concatenate([vocab.classes, vocab.size + np.arange(SHAPES, dtype=np.int32)])
+    vocab.within = np.concatenate([vocab.within, np.zeros(SHAPES, np.float32)])
+    vocab.size += SHAPES
+    rare = table.filter(F.col("n") < least)
+    mass = {r["shape"]: r["mass"] for r in rare.groupBy("shape").agg(F.sum("n").alias("mass")).collect()}
+    masses = F.array(*(F.lit(float(mass.get(k, 1))) for k in range(SHAPES)))
+    return vocab, rare.select("word", F.log(F.col("n") / masses[F.col("shape")]).alias("term"))
+
+
+def shapes(classes: int) -> tuple:
+    """Of the arrays of a network with so many classes."""
+    return (classes + 1, EMBED), (2 * SIDE, EMBED, HIDDEN), (HIDDEN,), (HIDDEN, classes), (classes,)
+
+
+def initial_weights(seed: int = 11, classes: int = CLASSES) -> np.ndarray:
     rng = np.random.default_rng(seed)
-    return np.concatenate([(rng.normal(0, 0.2, s) * (len(s) > 1)).reshape(-1) for s in _SHAPES]).astype(np.float32)
+    return np.concatenate([(rng.normal(0, 0.2, s) * (len(s) > 1)).reshape(-1) for s in shapes(classes)]).astype(np.float32)
 
 
 def unpack(flat: np.ndarray) -> list[np.ndarray]:
     out, at = [], 0
-    for s in _SHAPES:
+    classes = (len(flat) - EMBED - 2 * SIDE * EMBED * HIDDEN - HIDDEN) // (EMBED + HIDDEN + 1)
+    for s in shapes(classes):
         n = int(np.prod(s))
         out.append(flat[at : at + n].reshape(s))
         at += n
     return out
 
 
-_ONES = np.ones(CLASSES, np.float32)
-
-
 def logits(weights: list[np.ndarray], padded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hidden states, scores of the classes) at every inner place of a padded sequence of classes.
 
@@ -116,23 +169,24 @@ def log_probabilities(weights: list[np.ndarray], padded: np.ndarray, target: np.
     """Of the class at every inner place."""
     _, z = logits(weights, padded)
     own = z[np.arange(len(target)), target]
-    return own - np.log(np.exp(z, out=z) @ _ONES)
+    return own - np.log(np.exp(z, out=z) @ np.ones(z.shape[1], np.float32))
 
 
 def gradient(weights: list[np.ndarray], padded: np.ndarray) -> np.ndarray:
-    """Of the mean negative log-probability of the real words (boundaries are classes of number CLASSES)."""
+    """Of the mean negative log-probability of the real words (boundaries have the number after the last class)."""
     embed, into, _, out, _ = weights
+    edge = out.shape[1]
     n = len(padded) - 2 * SIDE
     target = padded[SIDE : SIDE + n]
     hidden, delta = logits(weights, padded)
     np.exp(delta, out=delta)
-    real = np.flatnonzero(target < CLASSES)
+    real = np.flatnonzero(target < edge)
     share = np.zeros(n, delta.dtype)
     share[real] = 1 / max(1, len(real))
-    delta *= (share / (delta @ _ONES))[:, None]
+    delta *= (share / (delta @ np.ones(edge, np.float32)))[:, None]
     delta[real, target[real]] -= share[real]
     back = (delta @ out.T) * (1 - hidden * hidden)
-    hot = np.zeros((len(padded), CLASSES + 1), np.float32)
+    hot = np.zeros((len(padded), edge + 1), np.float32)
     hot[np.arange(len(padded)), padded] = 1
     g_embed, g_into = np.zeros_like(embed), np.empty_like(into)
     for k, o in enumerate(_OFFSETS):
@@ -142,22 +196,24 @@ def gradient(weights: list[np.ndarray], padded: np.ndarray) -> np.ndarray:
     return np.concatenate([g.reshape(-1) for g in (g_embed, g_into, back.sum(0), hidden.T @ delta, delta.sum(0))])
 
 
-def sequences(texts: pa.Array, buckets: Buckets, classes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(padded classes, buckets) of each text."""
-    edge = np.full(SIDE, CLASSES, np.int32)
+def sequences(texts: pa.Array, words: Words, vocab: Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """(padded classes, places, words) of each text."""
+    edge = np.full(SIDE, vocab.size, np.int32)
     for text in texts:
-        own = buckets.of(text.as_py())
-        yield np.concatenate([edge, classes[own], edge]), own
+        names = split(text.as_py())
+        own = words.of(names)
+        yield np.concatenate([edge, vocab.classes[own], edge]), own, names
 
 
-def train(docs: DataFrame, vocab: Vocabulary, rounds: int = 1) -> np.ndarray:
+def train(docs: DataFrame, shared: Broadcast, rounds: int = 1) -> np.ndarray:
     """Rounds of one pass over all documents. A task sends its weights times its words as one row;
     they are summed by place in Spark, so that the driver gets one network a round."""
-    flat = initial_weights()
+    flat = initial_weights(classes=shared.value.size)
     for _ in range(rounds):
 
         def run(batches: Iterator[pa.RecordBatch], start: np.ndarray = flat) -> Iterator[pa.RecordBatch]:
-            own, buckets, seen = start.copy(), Buckets(), 0
+            own, vocab, seen = start.copy(), shared.value, 0
+            known = Words(vocab)
             first, second, step = np.zeros_like(own), np.zeros_like(own), 0
             waiting, size = [], 0
 
@@ -170,7 +226,7 @@ def train(docs: DataFrame, vocab: Vocabulary, rounds: int = 1) -> np.ndarray:
                 own[:] -= 0.01 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
 
             for batch in batches:
-                for padded, words in sequences(batch.column("text"), buckets, vocab.classes):
+                for padded, words, _ in sequences(batch.column("text"), known, vocab):
                     seen += len(words)
                     for at in range(0, len(words), STEP):  # long texts in steps that overlap by their edges
                         waiting.append(padded[at : at + STEP + 2 * SIDE])
@@ -213,23 +269,40 @@ def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     scored whole, STEP words at a time; other columns are never read. The weights depend on how the
     rows are dealt to tasks, so that another layout gives slightly other scores.
     """
-    vocab = vocabulary(corpus_counts(docs))
-    flat = train(docs, vocab)
+    vocab, rare = learned_vocabulary(corpus_counts(docs))
+    shared = docs.sparkSession.sparkContext.broadcast(vocab)
+    flat = train(docs, shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, buckets = unpack(flat), Buckets()
+        weights, vocab = unpack(flat), shared.value
+        known = Words(vocab)
         for batch in batches:
-            n, logs = [], []
-            for padded, words in sequences(batch.column("text"), buckets, vocab.classes):
-                n.append(len(words))
-                logs.append(log_likelihood(weights, vocab, padded, words))
-            mean = np.array(logs) / np.maximum(1, np.array(n, np.int64)) if n else np.empty(0)
+            n, logs, others = [], [], []
+            for padded, places, names in sequences(batch.column("text"), known, vocab):
+                n.append(len(names))
+                logs.append(log_likelihood(weights, vocab, padded, places))
+                others.append(list(Counter(names[i] for i in np.flatnonzero(places >= known.held)).items()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(logs, pa.float64()), pa.array(mean, pa.float64())],
-                ["doc_id", "n_tokens", "log_prob", "mean_log_prob"],
+                [
+                    batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(logs, pa.float64()),
+                    pa.array([[w for w, _ in o] for o in others], pa.list_(pa.binary())),
+                    pa.array([[k for _, k in o] for o in others], pa.list_(pa.int64())),
+                ],
+                ["doc_id", "n_tokens", "held", "others", "times"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, log_prob double, mean_log_prob double")
+    rows = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, held double, others array<binary>, times array<long>")
+    rows = checkpoint(rows.withColumn("row", F.monotonically_increasing_id()))  # the number of a row must not change
+    terms = (
+        rows.select("row", F.explode(F.arrays_zip("others", "times")).alias("o"))
+        .select("row", F.col("o.others").alias("word"), F.col("o.times").alias("times"))
+        .join(rare, "word").groupBy("row").agg(F.sum(F.col("times") * F.col("term")).alias("joined"))
+    )
+    log_prob = F.col("held") + F.coalesce("joined", F.lit(0.0))
+    return (
+        rows.select("row", "doc_id", "n_tokens", "held").join(terms, "row", "left")
+        .select("doc_id", "n_tokens", log_prob.alias("log_prob"), (log_prob / F.greatest("n_tokens", F.lit(1))).alias("mean_log_prob"))
+    )
 
 
 def op10_lm_score(spark, sf_dir: str) -> DataFrame:
