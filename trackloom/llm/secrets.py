@@ -36,6 +36,18 @@ class Rule:
     base: bool = False
 
 
+#: A whole private key: to its END line if no other line of five dashes comes first; else over what of its own
+#: line looks like the key, over lines of base64 or of armour headers, and over the start of the next line.
+#: Only single characters are repeated over long stretches, as Java's groups would recurse.
+_PEM = (
+    r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+    r"(?:(?>[\s\S]*?(?=-----))-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+    r"|(?:[\x20\t]*[A-Za-z0-9+/=\\]{16,})*"
+    r"(?:[\x20\t]*(?=\r?\n)[\s\S]*?(?=\r?\n(?!(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID):)"
+    r"[^\r\n]*?(?:[^A-Za-z0-9+/=\s]|[^\s][\x20\t]+[^\s])|(?![\s\S])))?"
+    r"(?:\r?\n[\x20\t]*[A-Za-z0-9+/=]{16,})?)"
+)
+
 #: The three base kinds in their listed order, then those that the scan adds.
 RULES = (
     Rule(
@@ -48,12 +60,12 @@ RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20, True),
     # A run of 24 or more is the leftmost match of a run that is dropped when shorter.
     Rule("hex", r"[0-9a-f]{24,}", 0, 24, True),
-    Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,255}"),
+    Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("cloud", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("payment", r"[sr]k_live_[A-Za-z0-9]{16,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    Rule("pem", _PEM),
 )
 
 #: More alternatives than this in one stretch are cut into separate stretches.
