@@ -359,6 +359,29 @@ def test_decontamination(spark):
     assert decontam.contaminations(table(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_numbers_names_and_short_items(spark):
+    rng = random.Random(18)
+    fill = lambda: sentence(rng, 30, DE)
+    items = [
+        (1, "Compute 12 + 7 then 5 * 3 then 8 - 2"),
+        (2, "who met Anna Bruno Clara Dario Elena Fritz Greta Hanno Irene"),
+        (3, "Name the tallest tower"),
+        (4, "Where does the longest river of Europe end"),
+        (None, "list every moon that orbits the sixth planet from here"),
+        (5, "Anna buys pears and then sells them again"),
+    ]
+    texts = [f"{fill()} {t} {fill()}" for _, t in items] + [items[0][1].replace("12", "13"), f"Question: {items[3][1]}"]
+    texts += [items[5][1].replace("Anna", "Berta"), f"so {items[5][1].replace('Anna', 'Berta')}", items[2][1]]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r for r in decontam.contaminations(table(spark, rows + EDGES), bench).collect()}
+    assert set(found) == {(0, 1), (1, 2), (2, 3), (3, 4), (4, None), (5, 5), (7, 4), (8, 5), (9, 5), (10, 3)}
+    assert all(found[k]["verbatim"] for k in found if k[0] not in (8, 9)) and found[8, 5]["changed_slots"] == found[9, 5]["changed_slots"] == 1
+    assert found[2, 3]["last_token"] - found[2, 3]["first_token"] == 3
+    left = {r["doc_id"] for r in decontam.decontaminate(table(spark, rows), bench).collect()}
+    assert left == {6}
+
+
 def test_lm_gradient_and_likelihood():
     vocab = lm_score.vocabulary(np.arange(lm_score.BUCKETS)[::-1] % 977)
     assert vocab.classes.min() == 0 and vocab.classes.max() == lm_score.CLASSES - 1

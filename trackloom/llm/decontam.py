@@ -3,13 +3,16 @@
 Numbers, names and units become typed placeholders; windows of the canonical tokens are hash-joined
 to the benchmark's, windows on one diagonal form a passage, and what the placeholders stood for must
 map one to one, so that a question that was given new parameters is found and a chance meeting of
-templates is not.
+templates is not. Every window is joined by its lower-cased words as well, whatever they are, so that
+a copy word for word is found however many numbers and names it has.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from copy import copy
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +23,7 @@ from pyspark.sql import functions as F
 from trackloom.llm.common import row_key
 from trackloom.llm.near_dedup import BLOCK, mix
 
-#: Tokens in a window, and the fewest of them that must be ordinary words.
+#: Tokens in a window, and the fewest of them that must be ordinary words where placeholders may differ.
 WINDOW, LEAST_LITERAL = 8, 5
 #: The membership filter has this many bits whatever the benchmark's size: 2 MB to broadcast.
 FILTER_BITS = 1 << 24
@@ -81,8 +84,20 @@ class Lexicon:
         return self.hashes[codes], self.flags[codes]
 
 
+def _roll(code: np.ndarray, width: int) -> np.ndarray:
+    """Polynomial hashes of all runs of `width` codes, by doubling; the width counts too."""
+    power = lambda k: np.uint64(pow(int(_BASE), k, 1 << 64))
+    h, have = code, 1
+    for bit in bin(width)[3:]:
+        h, have = h[:-have] * power(have) + h[have:], 2 * have
+        if bit == "1":
+            h, have = h[:-1] * _BASE + code[have:], have + 1
+    return h + np.uint64(width) * power(width)
+
+
 class Canonical:
-    """Canonical tokens of a text: `code` (hash or placeholder), `slot` (what a placeholder stands for, else 0)."""
+    """Canonical tokens of a text: `own` (hash of the word), `code` (hash or placeholder), `slot` (what a
+    placeholder stands for, else 0). `opens` tells if the first token may be a name; it isn't taken as one."""
 
     def __init__(self, text: str | None, lexicon: Lexicon):
         own, flags = lexicon((text or "").encode("utf-8", "surrogatepass").split())
@@ -94,39 +109,50 @@ class Canonical:
         unit[:1] = False
         name[1:] &= (flags[:-1] & 8) == 0
         name[:1] = False
-        self.code = own.copy()
+        self.own, self.code = own, own.copy()
         for which, mark in ((name, _NAME), (unit, _UNIT), (number, _NUM)):
             self.code[which] = mark
         self.slot = np.where(number | unit | name, own, np.uint64(0))
-
-    def windows(self) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and hashes of the windows with enough ordinary words; a shorter text is one window."""
+        self.opens = len(own) > 0 and flags[0] & 4 > 0 and not self.slot[0]
+
+    def opening(self) -> Canonical:
+        """The tokens of the first window, with the first as a name."""
+        out = copy(self)
+        out.own, out.code, out.slot = self.own[:WINDOW], self.code[:WINDOW].copy(), self.slot[:WINDOW].copy()
+        out.code[0], out.slot[0] = _NAME, self.own[0]
+        return out
+
+    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, hashes, plain and template of all windows. A plain window is hashed by its words, each
+        start has one; another by its placeholders, if it has any and enough ordinary words. A template
+        is a window with enough of them."""
         n = len(self.code)
-        if not n:
-            return np.empty(0, np.int64), np.empty(0, np.uint64)
-        width = min(WINDOW, n)
-        h = np.full(n - width + 1, width, np.uint64)
-        for j in range(width):  # polynomial over 64-bit hashes
-            h *= _BASE
-            h += self.code[j : n - width + 1 + j]
-        literal = np.concatenate([[0], np.cumsum(self.slot == 0)])
-        starts = np.flatnonzero(literal[width:] - literal[:-width] >= LEAST_LITERAL * width / WINDOW)
-        return starts, mix(h[starts])
+        if not 0 < width <= n:
+            return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, bool), np.empty(0, bool)
+        filled = np.concatenate([[0], np.cumsum(self.slot != 0)])
+        slots = filled[width:] - filled[:-width]
+        template = width - slots >= LEAST_LITERAL * width / WINDOW
+        starts, hashes = np.arange(n - width + 1), _roll(self.own, width)
+        other = np.flatnonzero(template & (slots > 0))
+        if len(other):
+            starts, hashes = np.concatenate([starts, other]), np.concatenate([hashes, _roll(self.code, width)[other]])
+            template = np.concatenate([template, np.ones(len(other), bool)])
+        return starts, mix(hashes), np.arange(len(starts)) < len(slots), template
 
 
 def _emit(rows: list, ids: list) -> pa.RecordBatch:
-    window = pa.array([r[1] for r in rows], pa.int64())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(ids, pa.int64()), window, pa.array([r[0] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))],
-        ["key", "window", "start", "slots"],
-    )
+    kinds = (pa.int32(), pa.int64(), pa.bool_(), pa.bool_(), pa.list_(pa.int64()))
+    columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *columns], ["key", "start", "window", "plain", "template", "slots"])
 
 
-_WINDOWS = "key long, window long, start int, slots array<long>"
+_WINDOWS = "key long, start int, window long, plain boolean, template boolean, slots array<long>"
 
 
-def _windows(membership=None):
-    """Rows of windows (those in the filter, if one is given) with their start and slots."""
+def _windows(membership=None, widths: tuple[int, ...] = ()):
+    """Rows of windows with their start and slots: of a document's windows of those widths that are in the
+    filter; without a filter of an item's, a shorter item being one window. A first token that may be a
+    name is taken both ways."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, lexicon = membership and np.frombuffer(membership.value, np.uint8), Lexicon()
@@ -134,15 +160,20 @@ def _windows(membership=None):
             rows, ids = [], []
             for key, text in zip(batch.column("key").to_pylist(), batch.column("text")):
                 canonical = Canonical(text.as_py(), lexicon)
-                starts, hashes = canonical.windows()
-                if bits is not None:
-                    at = hashes % np.uint64(FILTER_BITS)
-                    hit = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                    starts, hashes = starts[hit], hashes[hit]
-                slots, signed = canonical.slot.view(np.int64), hashes.view(np.int64)
-                for s, h in zip(starts.tolist(), signed.tolist()):
-                    rows.append((s, h, slots[s : s + WINDOW].tolist()))
-                    ids.append(key)
+                for reading, width in product(
+                    [canonical, canonical.opening()] if canonical.opens else [canonical],
+                    widths if bits is not None else [min(WINDOW, len(canonical.code))],
+                ):
+                    starts, hashes, plain, template = reading.windows(width)
+                    hit = np.full(len(starts), True) if reading is canonical else (starts == 0) & ~plain
+                    if bits is not None:
+                        at = hashes % np.uint64(FILTER_BITS)
+                        hit &= (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                    starts, hashes, plain, template = starts[hit], hashes[hit], plain[hit], template[hit]
+                    slots, signed = reading.slot.view(np.int64), hashes.view(np.int64)
+                    for s, h, p, t in zip(starts.tolist(), signed.tolist(), plain.tolist(), template.tolist()):
+                        rows.append((s, h, p, t, slots[s : s + width].tolist()))
+                        ids.append(key)
                 if len(rows) > 50_000:
                     yield _emit(rows, ids)
                     rows, ids = [], []
@@ -167,43 +198,52 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Columns: key (of the row, common.row_key), doc_id, item_id, windows (that agree), first_token,
     last_token, changed_slots (placeholders with another value), verbatim. A passage is one window
-    or more that agree with an item on one diagonal. If some placeholder differs, LEAST_CHANGED
-    windows are needed (or all of the item's), and values must map one to one throughout; else the
-    windows whose slots are equal count alone. Null and empty texts give nothing, on either side;
-    repeated rows of one id and text are found once. Other columns are ignored.
+    or more that agree with an item on one diagonal, in their words or in a template. If some placeholder differs, LEAST_CHANGED
+    windows are needed (or all of the item's templates), and values must map one to one throughout; else the
+    windows whose slots or words are equal count alone. Null and empty texts give nothing, on either
+    side; repeated rows of one id and text are found once. An item without an id is found too, with a
+    null item_id, unless its text has an id in another row. Other columns are ignored.
     """
     spark = docs.sparkSession
     keyed = docs.select("doc_id", "text", row_key().alias("key"))
+    named_items = (
+        benchmark.groupBy("text").agg(F.collect_set("item_id").alias("ids")).withColumn("item_id", F.explode_outer("ids"))
+        .select("item_id", "text", row_key("item_id").alias("item"))
+    )
     items = (
-        benchmark.filter("item_id IS NOT NULL").groupBy("item_id", "text").agg(F.first("item_id").alias("key")).select("key", "text")
+        named_items.select(F.col("item").alias("key"), "text")
         .mapInArrow(_windows(), _WINDOWS)
-        .select(F.col("key").alias("item_id"), "window", F.col("start").alias("item_start"), F.col("slots").alias("item_slots"))
+        .select(
+            F.col("key").alias("item"), "window", F.col("start").alias("item_start"),
+            F.col("template").alias("item_template"), F.col("slots").alias("item_slots"),
+        )
         .distinct()
     ).persist()
-    counts = items.groupBy("item_id").agg(F.count_distinct("item_start").alias("item_windows"))
+    widths = tuple(sorted(r["w"] for r in items.select(F.size("item_slots").alias("w")).distinct().collect()))
+    counts = items.groupBy("item").agg(F.count_distinct(F.when(F.col("item_template"), F.col("item_start"))).alias("item_windows"))
     membership = spark.sparkContext.broadcast(_filter(items))
-    hits = keyed.select("key", "text").mapInArrow(_windows(membership), _WINDOWS).distinct().join(items, "window").persist()
+    hits = keyed.select("key", "text").mapInArrow(_windows(membership, widths), _WINDOWS).distinct().join(items, "window").persist()
     hits = hits.withColumns(
-        {"diagonal": F.col("start") - F.col("item_start"), "same": F.col("slots") == F.col("item_slots")}
+        {"diagonal": F.col("start") - F.col("item_start"), "same": F.col("plain") | (F.col("slots") == F.col("item_slots"))}
     )
     # One to one: no value of the item has two values in the document, nor the other way round.
     slots = (
-        hits.select("key", "item_id", "diagonal", F.explode(F.arrays_zip("slots", "item_slots")).alias("s"))
-        .select("key", "item_id", "diagonal", F.col("s.slots").alias("there"), F.col("s.item_slots").alias("here"))
-        .filter("there <> 0").distinct()
+        hits.select("key", "item", "diagonal", F.explode(F.arrays_zip("slots", "item_slots")).alias("s"))
+        .select("key", "item", "diagonal", F.col("s.slots").alias("there"), F.col("s.item_slots").alias("here"))
+        .filter("there <> 0 AND here <> 0").distinct()
     )
-    mapped = slots.groupBy("key", "item_id", "diagonal").agg(
+    mapped = slots.groupBy("key", "item", "diagonal").agg(
         F.count("*").alias("pairs"),
         F.count_distinct("there").alias("there"),
         F.count_distinct("here").alias("here"),
         F.sum((F.col("there") != F.col("here")).cast("long")).alias("changed"),
     )
-    runs = hits.groupBy("key", "item_id", "diagonal").agg(
-        F.count("*").alias("windows"), F.sum(F.col("same").cast("long")).alias("equal"),
-        F.min("start").alias("lo"), F.max("start").alias("hi"),
+    runs = hits.groupBy("key", "item", "diagonal").agg(
+        F.count_distinct("start").alias("windows"), F.count_distinct(F.when(F.col("same"), F.col("start"))).alias("equal"),
+        F.min("start").alias("lo"), F.max(F.col("start") + F.size("slots") - 1).alias("hi"),
     )
     judged = (
-        runs.join(mapped, ["key", "item_id", "diagonal"], "left").join(counts, "item_id")
+        runs.join(mapped, ["key", "item", "diagonal"], "left").join(counts, "item")
         .withColumn("consistent", F.coalesce((F.col("pairs") == F.col("there")) & (F.col("pairs") == F.col("here")), F.lit(True)))
         .withColumn("changed", F.coalesce("changed", F.lit(0)))
         .filter(
@@ -211,15 +251,15 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             | F.col("consistent") & (F.col("windows") >= F.least(F.lit(LEAST_CHANGED), F.col("item_windows")))
         )
     )
-    found = judged.groupBy("key", "item_id").agg(
+    found = judged.groupBy("key", "item").agg(
         F.sum(F.when(F.col("consistent"), F.col("windows")).otherwise(F.col("equal"))).alias("windows"),
         F.min("lo").cast("long").alias("first_token"),
-        (F.max("hi") + WINDOW - 1).cast("long").alias("last_token"),
+        F.max("hi").cast("long").alias("last_token"),
         F.sum(F.when(F.col("consistent"), F.col("changed")).otherwise(0)).alias("changed_slots"),
     )
     named = keyed.select("key", "doc_id").distinct()
     return (
-        named.join(found, "key").withColumn("verbatim", F.col("changed_slots") == 0)
+        named.join(found, "key").join(named_items.select("item", "item_id"), "item").withColumn("verbatim", F.col("changed_slots") == 0)
         .select("key", "doc_id", "item_id", "windows", "first_token", "last_token", "changed_slots", "verbatim")
     )
 
