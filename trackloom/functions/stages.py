@@ -1,16 +1,71 @@
-"""Cutting a plan where several operators read one table."""
+"""Tables worked out once and kept in the folder that all executors share, to cut long plans."""
 
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from uuid import uuid4
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+#: Spark's own setting: shuffle files of a query go when it ends, not when the driver collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_LOCAL: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where it is unset, a temporary one, which only a
+    session on one machine may take: other executors wouldn't see it, so a cluster is refused."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _LOCAL.setdefault(context.applicationId, tempfile.mkdtemp(prefix="trackloom-"))
+
+
+@contextmanager
+def _tidy(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
+class Shelf:
+    """Named tables of one job, as Parquet in the shared folder. A lost executor costs nothing that
+    was put here; tables that no later step needs are dropped, and shuffle files of a put go with it."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.paths = spark, f"{shared_folder(spark)}/trackloom-{uuid4().hex}", {}
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        """The table as read back; an earlier one of that name is dropped once this is written."""
+        path = f"{self.folder}/{name}-{uuid4().hex[:8]}"
+        with _tidy(self.spark):
+            df.write.parquet(path)
+        self.drop(name)
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            if name in self.paths:
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """The table worked out once and read from the shared folder that spark.checkpoint.dir names, so
-    that plans stay short and lost executors cost nothing; a temporary folder where it is unset."""
+    """The table worked out once and read from the shared folder, so that plans stay short and lost
+    executors cost nothing."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
