@@ -1,9 +1,7 @@
-"""What the corpus operators share: word rules, row keys, checkpoints."""
+"""What the corpus operators share: word rules, row keys."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,18 +36,3 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
 def id_fold(modulus: int, doc_id: str = "doc_id") -> Column:
     """crc32 of the id's text, modulo; -1 where the id is null."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus, F.lit(-1))
-
-
-#: Files of a checkpoint at most, for each core of the cluster.
-FILES_A_CORE = 4
-
-
-def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cuts lineage into the shared folder named by spark.checkpoint.dir; where that is unset
-    (tests on one machine) a temporary folder is taken once per session."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-")
-        context.setCheckpointDir(folder)
-    return df.coalesce(FILES_A_CORE * context.defaultParallelism).checkpoint(eager)

@@ -6,7 +6,7 @@ practice after a few, and the share of equal coordinates concentrates around the
 sampled without replacement. BANDS bands of ROWS coordinates give candidate buckets.
 
 Links are confirmed on the full shingle sets. A pair at a similarity of 0.8 meets in no band with
-probability (1 - 0.8^5)^36 < 1e-6, and fails the tests of sketch bits with probability < 1e-5.
+probability (1 - 0.8^5)^36 < 1e-6, and fails the test of sketch bits with probability < 2e-6.
 """
 
 from __future__ import annotations
@@ -19,16 +19,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import WORD, checkpoint, row_key
+from trackloom.functions.stages import Shelf
+from trackloom.llm.common import WORD, row_key
 from trackloom.llm.components import connected_components
 
 BANDS, ROWS = 36, 5
 T = BANDS * ROWS
-#: Of T one-bit coordinates a pair at 0.8 differs in 18 on average, in over MOST_BITS almost never.
-MOST_BITS = 44
-#: Pairs that no leader could join are held against WIDE more such bits, of which a pair at 0.8
-#: differs in 205 on average, with a deviation of 13.6; few pairs below 0.73 pass.
-WIDE, MOST_WIDE = 2048, 273
+#: PLANES bits of each coordinate are kept. A pair at 0.8 differs in 34 of T on average, with a deviation
+#: of 5.2, in over MOST_DIFFER almost never; of pairs at 0.6, 14 in 100 pass, of those at 0.5 one in 6,000.
+PLANES, MOST_DIFFER = 4, 60
+#: Pairs that no leader could join are held against WIDE coordinates of WIDE_PLANES bits too. A pair at 0.8
+#: differs in 307, with a deviation of 16.2; of pairs at 0.72, 2 in 100 pass.
+WIDE, WIDE_PLANES, MOST_WIDE = 2048, 2, 388
+#: A bucket's members are compared in blocks of about so many, each pair of blocks in a task of its own.
+IN_BLOCK = 1024
 #: Nodes of rows without doc_id lie above all ids.
 NO_ID = 1 << 62
 #: Bytes of text that a task sketches at once.
@@ -91,62 +95,67 @@ def _bands(sketch: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _bits(sketch: np.ndarray) -> np.ndarray:
-    bits = np.zeros((len(sketch), 192), np.uint8)
-    bits[:, :T] = mix(sketch) & np.uint64(1)
-    return np.packbits(bits, axis=1).view(np.int64)
+def _planes(sketch: np.ndarray, planes: int = PLANES) -> np.ndarray:
+    """So many bits of every coordinate, in whole words of 64: plane by plane."""
+    t = sketch.shape[1]
+    low, bits = mix(sketch), np.zeros((len(sketch), planes, -(-t // 64) * 64), np.uint8)
+    for p in range(planes):
+        bits[:, p, :t] = (low >> np.uint64(p)) & np.uint64(1)
+    return np.packbits(bits, axis=2).view(np.int64).reshape(len(sketch), planes * -(-t // 64))
 
 
-_SKETCH = "doc_id long, key long, n_shingles long, set1 long, set2 long, bands array<long>, b1 long, b2 long, b3 long"
+_SKETCHED = "doc_id long, key long, n_shingles long, set1 long, set2 long, bands array<long>, planes array<long>"
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts, start = batch.column("text"), 0
-        while start < len(texts):
-            sets, stop, size = [], start, 0
-            while stop < len(texts) and size < BLOCK:
-                text = texts[stop].as_py()
+def _sketch(k: int):
+    def block(rows: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
+        has = np.array([len(s) > 0 for s in sets])
+        full = [s for s in sets if len(s)]
+        sketch = sketches(full) if full else np.empty((0, T), np.uint64)
+        digests = np.zeros((len(sets), 2), np.int64)
+        if full:
+            digests[has] = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in full), np.int64).reshape(-1, 2)
+
+        def lists(values: np.ndarray) -> pa.Array:
+            ends = np.concatenate([[0], np.cumsum(has) * values.shape[1]]).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.reshape(-1)))
+
+        return pa.RecordBatch.from_arrays(
+            [
+                rows.column("doc_id").cast(pa.int64()), rows.column("key"), pa.array([len(s) for s in sets], pa.int64()),
+                pa.array(digests[:, 0], mask=~has), pa.array(digests[:, 1], mask=~has), lists(_bands(sketch)), lists(_planes(sketch)),
+            ],
+            ["doc_id", "key", "n_shingles", "set1", "set2", "bands", "planes"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets, start, size = [], 0, 0
+            for i, text in enumerate(batch.column("text")):
+                text = text.as_py()
                 size += len(text or "")
-                sets.append(shingle_hashes(words(text)))
-                stop += 1
-            full = [s for s in sets if len(s)]
-            sketch = sketches(full) if full else np.empty((0, T), np.uint64)
-            bands, bits = _bands(sketch), _bits(sketch)
-            digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in full), np.int64).reshape(-1, 2)
-            has = np.array([len(s) > 0 for s in sets])
-            place = np.cumsum(has) - 1
-            columns = {}
-            for name, values in (("set1", digests[:, 0]), ("set2", digests[:, 1]), ("b1", bits[:, 0]), ("b2", bits[:, 1]), ("b3", bits[:, 2])):
-                columns[name] = pa.array([values[p] if ok else None for p, ok in zip(place, has)], pa.int64())
-            ends = np.concatenate([[0], np.cumsum(has) * BANDS]).astype(np.int32)
-            rows = batch.slice(start, stop - start)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    rows.column("doc_id").cast(pa.int64()),
-                    rows.column("key"),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    columns["set1"],
-                    columns["set2"],
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(bands.reshape(-1))),
-                    columns["b1"],
-                    columns["b2"],
-                    columns["b3"],
-                ],
-                ["doc_id", "key", "n_shingles", "set1", "set2", "bands", "b1", "b2", "b3"],
-            )
-            start = stop
-
-
-def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for start in range(0, len(batch), 256):
-            rows = batch.slice(start, 256)
-            sketch = sketches([shingle_hashes(words(t.as_py())) for t in rows.column("text")], WIDE)
-            bits = np.packbits((mix(sketch) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
-            ends = np.arange(len(rows) + 1, dtype=np.int32) * (WIDE // 64)
-            wide = pa.ListArray.from_arrays(pa.array(ends), pa.array(bits.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([rows.column("node"), wide], ["node", "wide"])
+                sets.append(shingle_hashes(words(text), k))
+                if size >= BLOCK or i == len(batch) - 1:
+                    yield block(batch.slice(start, len(sets)), sets)
+                    sets, start, size = [], i + 1, 0
+
+    return run
+
+
+def _wide(k: int):
+    """(id, wide) of (id, text): the bits of a sketch of WIDE coordinates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, len(batch), 128):
+                rows = batch.slice(start, 128)
+                sets = [shingle_hashes(words(t.as_py()), k) for t in rows.column("text")]
+                bits = _planes(sketches(sets, WIDE), WIDE_PLANES)
+                ends = np.arange(len(rows) + 1, dtype=np.int32) * bits.shape[1]
+                wide = pa.ListArray.from_arrays(pa.array(ends), pa.array(bits.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([rows.column("id"), wide], ["id", "wide"])
+
+    return run
 
 
 def _shingles(text: str, k: int = 4) -> set[tuple[bytes, ...]]:
@@ -154,124 +163,153 @@ def _shingles(text: str, k: int = 4) -> set[tuple[bytes, ...]]:
     return set(zip(*(w[j:] for j in range(k)))) if len(w) >= k else {tuple(w)}
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    last: tuple = (None, None)
-    for batch in batches:
-        left, right = [], []
-        for a, b, one, two in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))):
-            if last[0] != one:
-                last = (one, _shingles(one))
-            x, y = last[1], _shingles(two)
-            shared = len(x & y)
-            if 100 * shared >= 80 * (len(x) + len(y) - shared):
-                left.append(a)
-                right.append(b)
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+def _linked(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple = (None, None)
+        for batch in batches:
+            left, right = [], []
+            for i, (a, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())):
+                if last[0] != a:
+                    last = (a, _shingles(batch.column("text_a")[i].as_py(), k))
+                x, y = last[1], _shingles(batch.column("text_b")[i].as_py(), k)
+                shared = len(x & y)
+                if 100 * shared >= 80 * (len(x) + len(y) - shared):
+                    left.append(a)
+                    right.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+    return run
 
 
-def _texts(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, text) of the nodes asked for."""
-    keys = classes.join(nodes.distinct(), "node").select("node", "key")
-    return docs.join(keys, "key").groupBy("node").agg(F.first("text").alias("text"))
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("key").alias("id"), "text").dropDuplicates(["id"])
 
 
-def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose full shingle sets are at least 0.8 alike."""
-    texts = _texts(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), classes, docs)
-    side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_linked, "a long, b long")
+def _confirm(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """The pairs (a, b) of row keys whose full shingle sets are at least 0.8 alike. The text of b comes
+    first, as a member has few leaders; a leader's text then meets its members', however many."""
+    side = lambda c: _texts(docs).select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(_linked(k), "a long, b long")
 
 
 def _alike(a: str, b: str) -> str:
     """SQL test of two sketched rows: sizes allow 0.8, and the bits don't speak against it."""
-    bits = " + ".join(f"bit_count({a}.b{i} ^ {b}.b{i})" for i in (1, 2, 3))
+    word = lambda w: " | ".join(f"({a}.planes[{3 * p + w}] ^ {b}.planes[{3 * p + w}])" for p in range(PLANES))
     return (
         f"100 * least({a}.n_shingles, {b}.n_shingles) >= 80 * greatest({a}.n_shingles, {b}.n_shingles)"
-        f" AND {bits} <= {MOST_BITS}"
+        f" AND {' + '.join(f'bit_count({word(w)})' for w in range(3))} <= {MOST_DIFFER}"
     )
 
 
-def near_duplicate_groups(docs: DataFrame) -> DataFrame:
+def _likely_by_leaders(members: DataFrame, sketched: DataFrame) -> DataFrame:
+    """(a, b): in each bucket the member with the most bucket mates, a, against every other, b, where
+    the sketches allow a link. The order by mates is one for all buckets, so no pair comes both ways."""
+    placed = members.select(F.explode("buckets").alias("bucket"), "id", "degree")
+    leaders = placed.groupBy("bucket").agg(F.max(F.struct("degree", "id"))["id"].alias("leader"))
+    stars = placed.join(leaders, "bucket").filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    x, y = sketched.alias("x"), sketched.alias("y")
+    return (
+        stars.join(y, F.col("b") == F.col("y.id")).join(x, F.col("a") == F.col("x.id"))
+        .filter(_alike("x", "y")).select("a", "b")
+    )
+
+
+def _likely_by_blocks(opened: DataFrame) -> DataFrame:
+    """(a, b), a < b: all pairs of different parts of one bucket where the sketches allow a link.
+
+    A bucket is dealt into blocks by a hash of its members; each pair of blocks is one join key, so
+    that the pairs of a bucket of any size are compared in many tasks. The short sketch comes first, then
+    the wide one; a pair that shares several buckets is looked at in the least of them only."""
+    kept = ("id", "part", "n_shingles", "planes", "wide", F.col("open.bucket").alias("buckets"))
+    spread = opened.select(*kept, F.explode("open").alias("o")).select(
+        *kept[:-1], "buckets", "o.bucket", "o.blocks", F.pmod(F.xxhash64("id", "o.bucket"), F.col("o.blocks")).alias("own")
+    )
+    last = F.col("blocks") - 1
+    x = spread.withColumns({"i": F.col("own"), "j": F.explode(F.sequence("own", last))}).alias("x")
+    y = spread.withColumns({"j": F.col("own"), "i": F.explode(F.sequence(F.lit(0).cast("long"), "own"))}).alias("y")
+    same = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
+    half = WIDE // 64
+    places = f"sequence(0, {half - 1})"
+    differ = f"aggregate({places}, 0, (n, w) -> n + bit_count((x.wide[w] ^ y.wide[w]) | (x.wide[w + {half}] ^ y.wide[w + {half}])))"
+    apart = "(x.i < x.j OR x.id < y.id) AND x.part <> y.part"
+    once = "x.bucket = array_min(array_intersect(x.buckets, y.buckets))"
+    met = x.join(y, same & F.expr(f"{apart} AND {_alike('x', 'y')} AND {once} AND {differ} <= {MOST_WIDE}"))
+    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
+def near_duplicate_groups(docs: DataFrame, k: int = 4) -> DataFrame:
     """docs(doc_id, text, ...) -> one row per row: doc_id, key, n_shingles, component (null without shingles).
 
-    Rows with equal shingle sets are one class, so exact copies never meet again. In each bucket
-    the member with the most bucket mates is tested against the others. Components of those links
-    are formed, and then every pair of a bucket that is still in two components is tested, which
-    leaves out only pairs that are already connected: no component is lost by it.
+    Shingles have k words. Rows with equal shingle sets are one class, named by the least key of its
+    rows, so exact copies never meet again. In each bucket the member with the most bucket mates is
+    tested against the others. Components of those links are formed, and then every pair of a bucket
+    that is still in two components is tested, which leaves out only pairs that are already connected:
+    no component is lost by it.
 
     Null or white-space texts have no shingle and link with nothing. Rows of one doc_id count as
-    one document. A row without doc_id takes part, as a node above NO_ID. Other columns are left out.
+    one document, so their classes are linked. A row without doc_id takes part, as a node above NO_ID.
+    Repeated rows and an empty table need no special case; texts of any length go through whole.
+    Other columns are left out.
     """
+    shelf = Shelf(docs.sparkSession)
     docs = docs.select("doc_id", "text", row_key().alias("key"))
-    rows = checkpoint(docs.mapInArrow(_sketch, _SKETCH))
+    sketched = shelf.put("sketched", docs.mapInArrow(_sketch(k), _SKETCHED))
     node = F.coalesce(F.min("doc_id"), F.lit(NO_ID) + F.shiftrightunsigned(F.min("key"), 2))
-    classes = checkpoint(
-        rows.filter("n_shingles > 0")
-        .groupBy("set1", "set2")
-        .agg(
-            node.alias("node"),
-            F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "key"))["key"].alias("key"),
-            *(F.first(c).alias(c) for c in ("n_shingles", "bands", "b1", "b2", "b3")),
-        )
+    classes = shelf.put(
+        "classes",
+        sketched.filter("n_shingles > 0").groupBy("set1", "set2")
+        .agg(node.alias("node"), F.min("key").alias("id"), *(F.first(c).alias(c) for c in ("n_shingles", "bands", "planes"))),
     )
-    sketched = classes.select("node", "n_shingles", "b1", "b2", "b3")
-    placed_in = classes.select("node", "bands")
-    entries = classes.select("node", F.explode("bands").alias("bucket"))
+    rows = shelf.put("rows", sketched.select("doc_id", "key", "n_shingles", "set1", "set2"))
+    shelf.drop("sketched")
+    entries = classes.select("id", F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count("*").alias("mates")).filter("mates > 1")
-    members = checkpoint(entries.join(shared, "bucket"))
-
-    # First each bucket's most central member against the rest.
-    central = members.groupBy("node").agg(F.sum("mates").alias("degree"))
-    leaders = (
-        members.select("bucket", "node").join(central, "node").groupBy("bucket")
-        .agg(F.max(F.struct("degree", (-F.col("node")).alias("minus")))["minus"].alias("minus"))
-        .select("bucket", (-F.col("minus")).alias("leader"))
+    members = shelf.put(
+        "members", entries.join(shared, "bucket").groupBy("id").agg(F.sum("mates").alias("degree"), F.collect_list("bucket").alias("buckets"))
     )
-    stars = (
-        members.join(leaders, "bucket").filter("node <> leader")
-        .select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-    )
-    x, y = sketched.alias("x"), sketched.alias("y")
-    likely = (
-        stars.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node"))
-        .filter(_alike("x", "y")).select("a", "b")
-    ).persist()
-    first = connected_components(_confirm(likely, classes, docs))
+    likely = shelf.put("likely", _likely_by_leaders(members, classes.select("id", "n_shingles", "planes")))
+
+    # Rows of one doc_id with different sets: their classes are one document.
+    many = rows.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").agg(
+        F.min(F.struct("set1", "set2")).alias("lo"), F.max(F.struct("set1", "set2")).alias("hi")
+    ).filter("lo <> hi").select("doc_id")
+    owned = rows.join(many, "doc_id").join(classes.select("set1", "set2", "id"), ["set1", "set2"]).select("doc_id", "id")
+    joined = owned.join(owned.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").select("a", F.col("id").alias("b"))
+    links = shelf.put("links", _confirm(likely, docs, k).union(joined))
+    first = connected_components(links, shelf)
+    root_of = lambda c: first.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
 
     # Then whatever pairs of a bucket are still apart.
-    placed = (
-        members.select("bucket", "node").join(first, "node", "left")
-        .select("bucket", "node", F.coalesce("root", "node").alias("part"))
+    placed = members.join(root_of("id"), "id", "left").select("id", F.coalesce("root_id", "id").alias("part"), F.explode("buckets").alias("bucket"))
+    still = (
+        placed.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("n"))
+        .filter("lo < hi").select("bucket", F.ceil(F.col("n") / IN_BLOCK).alias("blocks"))
     )
-    still = placed.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi")
-    opened = checkpoint(placed.join(still.select("bucket"), "bucket"))
-    wide = _texts(opened.select("node"), classes, docs).mapInArrow(_wide, "node long, wide array<long>")
-    apart = checkpoint(opened.join(sketched, "node").join(placed_in, "node").join(wide, "node"))
-    # A pair that shares several buckets is looked at in the first of them only.
-    once = "x.bucket = array_min(array_intersect(x.bands, y.bands))"
-    differ = "aggregate(zip_with(x.wide, y.wide, (p, q) -> bit_count(p ^ q)), 0, (n, d) -> n + d)"
-    x, y = apart.alias("x"), apart.alias("y")
-    rest = (
-        x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & F.expr(f"x.node < y.node AND x.part <> y.part AND {_alike('x', 'y')} AND {differ} <= {MOST_WIDE} AND {once}"))
-        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-        .join(likely, ["a", "b"], "left_anti")
-    )
-    second = _confirm(rest.persist(), classes, docs)
-    part = lambda c: first.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    between = second.join(part("a"), "a", "left").join(part("b"), "b", "left").select(
+    opened = placed.join(still, "bucket").groupBy("id", "part").agg(F.collect_list(F.struct("bucket", "blocks")).alias("open"))
+    opened = shelf.put("opened", opened.join(classes.select("id", "n_shingles", "planes"), "id"))
+    wide = opened.select("id").join(_texts(docs), "id").mapInArrow(_wide(k), "id long, wide array<long>")
+    opened = shelf.put("opened", opened.join(wide, "id"))
+    tested = likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = shelf.put("rest", _likely_by_blocks(opened).join(tested, ["a", "b"], "left_anti"))
+    shelf.drop("members", "opened", "likely", "links")
+    second = _confirm(rest, docs, k)
+    between = second.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(
         F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")
     )
-    merged = connected_components(between).select(F.col("node").alias("part"), F.col("root").alias("top"))
+    merged = connected_components(between, shelf).select(F.col("node").alias("part"), F.col("root").alias("top"))
 
-    placed = (
-        classes.select("set1", "set2", "node").join(first, "node", "left")
-        .select("set1", "set2", F.coalesce("root", "node").alias("part")).join(merged, "part", "left")
-        .select("set1", "set2", F.coalesce("top", "part").alias("component"))
+    tops = (
+        classes.select("set1", "set2", "node", "id").join(root_of("id"), "id", "left")
+        .select("set1", "set2", "node", F.coalesce("root_id", "id").alias("part")).join(merged, "part", "left")
+        .select("set1", "set2", "node", F.coalesce("top", "part").alias("top"))
     )
-    return rows.select("doc_id", "key", "n_shingles", "set1", "set2").join(placed, ["set1", "set2"], "left").drop("set1", "set2")
+    least = tops.groupBy("top").agg(F.min("node").alias("component"))
+    components = shelf.put("components", tops.join(least, "top").select("set1", "set2", "component"))
+    shelf.drop(*(name for name in list(shelf.paths) if name not in ("rows", "components")))
+    return rows.join(components, ["set1", "set2"], "left").drop("set1", "set2")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 4) -> DataFrame:
     """near_duplicate_groups as doc_id, n_shingles, component_id (the smallest doc_id reachable), kept.
 
     A row without doc_id is kept only if it reaches no id, and its component_id is null then.
@@ -279,14 +317,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(
         F.when(F.col("component") < NO_ID, F.col("component"))
     )
-    return near_duplicate_groups(docs).select(
+    return near_duplicate_groups(docs, k).select(
         "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
     )
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group left, that with the smallest doc_id, and every row without words."""
-    groups = near_duplicate_groups(docs).filter("component IS NOT NULL")
+def keep_one(docs: DataFrame, k: int = 5) -> DataFrame:
+    """docs with one row of each group left, that with the smallest doc_id, and every row without words.
+
+    Groups are those of near_duplicate_groups. Of repeated rows, or rows of one group that all have
+    no doc_id, one stays. All columns stay, whatever their names.
+    """
+    groups = near_duplicate_groups(docs, k).filter("component IS NOT NULL")
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "key"))["key"]
     chosen = groups.groupBy("component").agg(first.alias("__chosen")).select("__chosen")
     keyed = docs.withColumn("__key", row_key())
@@ -296,7 +338,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 
 def op4_near_duplicates(spark, sf_dir: str) -> DataFrame:
-    """near_duplicates over all documents."""
+    """near_duplicates over all documents, on shingles of four words."""
     from trackloom.llm.common import read
 
     return near_duplicates(read(spark, sf_dir, "documents"))
