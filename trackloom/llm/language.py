@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.llm.common import id_fold
@@ -118,15 +118,27 @@ def fit(windows: np.ndarray, target: np.ndarray, langs: list[str], steps: int =
 
 
 def train(docs: DataFrame) -> Network | None:
-    """Fits on one window of at most SAMPLE labelled documents, picked by a hash of the id; the
-    window starts at a hashed character. Rows with null id, text or lang teach nothing. None if
-    no row is left."""
+    """Fits on one window of at most SAMPLE labelled documents, of each language as many at most (one at
+    least); the window starts at a hashed character. Rows with null id, text or lang teach nothing. None
+    if no row is left.
+
+    The driver gets the languages' counts first. A hash of the id then thins each language to about twice
+    its share before rows are ranked, so that neither the ranking nor the driver sees more on more data.
+    """
+    labelled = docs.filter("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").filter(id_fold(4) != 2)
+    counts = [(r["lang"], r["count"]) for r in labelled.groupBy("lang").count().collect()]
+    if not counts:
+        return None
+    quota = max(1, SAMPLE // len(counts))
+    shares = docs.sparkSession.createDataFrame([(x, min(1.0, (2 * quota + 100) / n)) for x, n in counts], "lang string, share double")
     pick = F.xxhash64("doc_id")
+    thinned = labelled.join(F.broadcast(shares), "lang").filter(F.pmod(pick, F.lit(1 << 30)) < F.col("share") * (1 << 30))  # a row per language
     start = F.pmod(F.xxhash64("doc_id", F.lit("start")), F.greatest(F.length("text") - WINDOW // 2, F.lit(1))) + 1
     rows = (
-        docs.filter("doc_id IS NOT NULL AND lang IS NOT NULL").filter(id_fold(4) != 2).filter(F.col("text").rlike(r"\p{L}"))
-        .select("lang", F.substring("text", start.cast("int"), F.lit(WINDOW)).alias("piece"), pick.alias("pick"))
-        .orderBy("pick", "lang", "piece").limit(SAMPLE).toPandas()
+        thinned.filter(F.col("text").rlike(r"\p{L}"))
+        .select("lang", F.substring("text", start.cast("int"), F.lit(WINDOW)).alias("piece"), pick.alias("pick")).distinct()
+        .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("pick", "piece"))).filter(F.col("rank") <= quota)
+        .toPandas().sort_values(["pick", "lang", "piece"], ignore_index=True)
     )
     if not len(rows):
         return None

@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import checkpoint
+from trackloom.functions.stages import keep as checkpoint
 
 #: Tasks hold the BUCKETS commonest words at most; the others are joined. A small corpus has CLASSES
 #: classes of these, the first OWN of them single words; own_words() tells how they grow, to MOST_OWN.

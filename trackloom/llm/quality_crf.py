@@ -251,7 +251,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Field:
     )
     counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
     pick = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("pick")
-    part = [known.filter(F.col("quality") == q).select("doc_id", "quality", pick).orderBy("pick").limit(SAMPLE_DOCS) for q in (0, 1)]
+    # Ids are thinned by their hash to about twice the bound before they are sorted.
+    most = {q: int(min(1.0, (2 * SAMPLE_DOCS + 100) / max(1, counts.get(q, 0))) * (1 << 30)) for q in (0, 1)}
+    part = [
+        known.filter(F.col("quality") == q).select("doc_id", "quality", pick).filter(F.col("pick") < most[q])
+        .orderBy("pick", "doc_id").limit(SAMPLE_DOCS)
+        for q in (0, 1)
+    ]
     picked = F.broadcast(part[0].union(part[1]))  # 2 * SAMPLE_DOCS rows at most
     rows = (
         docs.select(F.col("doc_id"), "text").filter("text IS NOT NULL").join(picked, "doc_id")
