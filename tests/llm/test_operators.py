@@ -101,7 +101,7 @@ def test_fertility(spark):
             assert r["base_failed"] == (want[0] < 50 or 100 * want[4] > 50 * want[0])
             assert not (r["kept"] and r["base_failed"])
     assert sum(r["n_words"] == 0 and r["base_failed"] and not r["kept"] for r in found) == 4
-    splitter = fertility.Splitter(fertility.VOCABULARY)
+    splitter = fertility.Splitter(fertility.VOCABULARY, fertility.BYTE_VOCABULARY)
     ids = splitter.tokens(splitter([w.encode() for w in "über the schön".split()]))
     assert [splitter.model.id_to_piece(int(i)) for i in ids] == splitter.model.encode("über the schön", out_type=str)
     assert fertility.script_of("привет мир") == "cyrillic" and fertility.script_of("漢字") == "cjk" and fertility.script_of("") == "other"
@@ -109,12 +109,65 @@ def test_fertility(spark):
     assert fertility.repeated_words(codes) == fertility.repeated_words(codes - (1 << 21)) == 6
 
 
-def _plain_components(rows):
+def test_fitted_bands_reject_junk(spark):
+    """Verdicts against quartiles taken by numpy, with junk that the base rules let pass."""
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    vowel = ["time", "people", "water", "little", "house", "world", "school", "family", "system", "question", "number", "night", "point"]
+    good = [" ".join(rng.choice(EN + DE + vowel) for _ in range(rng.randint(60, 140))) for _ in range(160)]
+    junk = [
+        " ".join("".join(rng.choices(letters, k=60)) for _ in range(60)),
+        " ".join("".join(rng.choices(letters[:26], k=7)) for _ in range(80)),
+        " ".join("\U0001f9ff\U0001fa96" + rng.choice(EN) for _ in range(70)),
+        "x" * 100_000 + " " + " ".join(f"word{i % 97}" for i in range(3_000)),
+    ]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate([*good, *junk, "привет мир " * 3])]
+    found = by_id(fertility.fertility_rules(table(spark, rows)).collect())
+    assert {i for i in range(len(good)) if not found[i]["kept"]} == set()
+    assert all(not found[len(good) + i]["kept"] and not found[len(good) + i]["base_failed"] for i in range(3))
+    assert found[len(good) + 3]["word_chars"] > 100_000
+    passing = [r for r in found.values() if not r["base_failed"] and r["script"] == "latin"]
+    for r in passing:
+        fits = True
+        for name, least, sides in (("chars_per_token", None, "both"), ("chars_per_byte_token", None, "both"), ("byte_share", 0.02, "high"), ("entropy_share", 0.01, "low")):
+            low, middle, high = np.quantile([x[name] for x in passing], [0.25, 0.5, 0.75], method="inverted_cdf")
+            reach = 3 * max(high - low, 0.03 * middle if least is None else least)
+            fits &= (sides == "low" or r[name] <= high + reach) and (sides == "high" or r[name] >= low - reach)
+        assert r["kept"] == fits
+    wide = fertility.fertility_rules(table(spark, rows), bands=dict.fromkeys(fertility.SCRIPTS, fertility.WIDE)).collect()
+    assert sum(r["kept"] for r in wide) >= sum(r["kept"] for r in found.values())
+    assert fertility.fertility_rules(table(spark, [])).count() == 0
+
+
+def test_rare_languages_are_sampled(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE", 60)
+    rng = random.Random(2)
+    rows = [(i, sentence(rng, 40, EN), "en", "s", 0) for i in range(600)] + [(1000 + i, sentence(rng, 40, DE), "de", "s", 0) for i in range(6)]
+    net = language.train(table(spark, rows))
+    assert net.langs == ["de", "en"]
+    texts = [r[1] for r in rows[::40]] + [r[1] for r in rows[-6:]]
+    found = by_id(language.predict_languages(table(spark, [(i, t, None, None, 0) for i, t in enumerate(texts)]), net).collect())
+    for i, text in enumerate(texts):  # the same by plain convolution of every window
+        logs = 0
+        for at in range(0, len(text.encode()), language.WINDOW):
+            own = np.zeros((1, language.WINDOW), np.uint8)
+            piece = np.frombuffer(text.encode()[at : at + language.WINDOW], np.uint8)
+            own[0, : len(piece)] = piece
+            pooled = np.concatenate(
+                [np.max([sum(tap[j][own[0, n + j]] for j in range(w)) for n in range(language.WINDOW - w + 1)], 0) for w, tap in zip(language.WIDTHS, net.taps)]
+            )[None]
+            logs = logs + language.log_probabilities(net, pooled)[0] * len(piece)
+        share = np.exp(logs / len(text.encode()) - (logs / len(text.encode())).max())
+        assert found[i]["lang_pred"] == net.langs[int(share.argmax())]
+        assert abs(found[i]["score"] - share.max() / share.sum()) < 1e-3
+
+
+def _plain_components(rows, k=4):
     sets = {}
     for doc_id, text, *_ in rows:
         w = [x.lower() if x.isascii() else x for x in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
         if w:
-            sets[doc_id] = set(zip(w, w[1:], w[2:], w[3:])) if len(w) > 3 else {tuple(w)}
+            sets[doc_id] = set(zip(*(w[j:] for j in range(k)))) if len(w) >= k else {tuple(w)}
     top = {r[0]: r[0] for r in rows}
 
     def find(x):
@@ -147,8 +200,29 @@ def test_near_duplicates(spark):
     assert {r["doc_id"]: r["component_id"] for r in found} == want
     assert {r["doc_id"]: r["n_shingles"] for r in found} == {r[0]: sizes.get(r[0], 0) for r in rows}
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in found)
+    five = _plain_components(rows, 5)[0]
+    assert five != want
     one = near_dedup.keep_one(table(spark, rows))
-    assert sorted(r["doc_id"] for r in one.collect()) == sorted(k for k, v in want.items() if k == v)
+    assert sorted(r["doc_id"] for r in one.collect()) == sorted(i for i, v in five.items() if i == v)
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    rng = random.Random(6)
+    a, b, c = (sentence(rng, 40, EN + DE) for _ in range(3))
+    rows = [(1, a, "en", "s", 0), (2, b, "en", "s", 0), (5, b, "en", "s", 0), (5, a, "en", "s", 0), (5, a, "en", "s", 0), (7, c, "en", "s", 0)]
+    found = near_dedup.near_duplicates(table(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in found) == [(1, 1), (2, 1), (5, 1), (5, 1), (5, 1), (7, 7)]
+
+
+def test_blocks_compare_every_pair(spark, monkeypatch):
+    """A shared passage puts unlike texts into one bucket; with blocks of three every pair is still met."""
+    monkeypatch.setattr(near_dedup, "IN_BLOCK", 3)
+    rng = random.Random(8)
+    common = sentence(rng, 60, EN + DE)
+    rows = [(i, f"{sentence(rng, 14 + i % 3 * 9, EN + DE)} {common}", "en", "s", 0) for i in range(40)]
+    rows += [(100 + i, r[1] + " end", "en", "s", 0) for i, r in enumerate(rows[:10])]
+    found = near_dedup.near_duplicates(table(spark, rows)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == _plain_components(rows)[0]
 
 
 def test_near_duplicate_edges(spark):
@@ -281,6 +355,53 @@ def test_token_counts(spark):
     assert token_counts.token_counts(table(spark, [])).count() == 0
 
 
+_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _plain_labels(text):
+    """Labels by looking at every template, band and chain of agreeing words in turn."""
+    w = re.findall(_WORDS, re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    labels = set()
+    for t in licenses.TEMPLATES:
+        u = t.words.split()
+        votes = [(i, p) for p in range(len(w) - 1) for i in range(len(u) - 1) if w[p : p + 2] == u[i : i + 2]]
+        errors = 0 if t.base else max(1, len(u) // licenses.ONE_IN)
+        for lo in {p - i for i, p in votes} if t.base else {(p - i) // errors * errors - d for i, p in votes for d in (0, errors)}:
+            inside = [(i, p) for i, p in votes if (p - i == lo if t.base else lo <= p - i < lo + 2 * errors)]
+            words = sorted({(i + s, p + s) for i, p in inside for s in (0, 1)})
+            best = {}
+            for i, p in words:
+                best[i, p] = 1 + max((n for (a, b), n in best.items() if a < i and b < p), default=0)
+            if max(best.values(), default=0) >= len(u) - errors:
+                labels.add(t.label)
+    return ",".join(sorted(labels))
+
+
+def test_license_templates_against_every_band(spark):
+    rng = random.Random(9)
+    texts = ["permission is is hereby hereby granted granted free free of of charge charge to to any any person person obtaining obtaining a a copy copy of of this this software software"]
+    for n in range(120):
+        t = rng.choice(licenses.TEMPLATES).words.split()
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 4])):
+            at, kind = rng.randrange(len(t)), rng.random()
+            if kind < 0.4:
+                t.insert(at, rng.choice(EN))
+            elif kind < 0.7 and len(t) > 2:
+                del t[at]
+            else:
+                t[at] = rng.choice(EN)
+        texts.append(f"{sentence(rng, 5, EN)} {' '.join(t)}. {sentence(rng, 5, DE)}")
+    long = " ".join(["is hereby"] * 20_000 + ["so"] * 30_000 + [licenses.TEMPLATES[3].words] + [sentence(rng, 30_000, EN)])
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate([*texts, long])]
+    found = by_id(licenses.scan_licenses(table(spark, rows)).collect())
+    assert {i: found[i]["labels"] for i in range(len(texts))} == {i: _plain_labels(t) for i, t in enumerate(texts)}
+    assert found[0]["labels"] == "" and sum(r["labels"] != "" for r in found.values()) > 40
+    assert found[len(texts)]["labels"] == "mit" and found[len(texts)]["n_words"] == len(re.findall(_WORDS, long.lower()))
+    near = table(spark, [(1, "released under a mit license", "en", "s", 0), (2, "licensed under the apache software license version 2.0", "en", "s", 0)])
+    assert sorted(r["labels"] for r in licenses.scan_licenses(near).collect()) == ["apache-2.0", "mit"]
+    assert {(r["start"], r["end"]) for r in licenses.license_spans(near).collect()} == {(0, 5), (0, 9)}
+
+
 def test_licenses(spark):
     texts = [
         "CC-BY here; cc by again. ALL RIGHTS RESERVED all rights reserved",
@@ -292,7 +413,7 @@ def test_licenses(spark):
     found = by_id(r for r in licenses.scan_licenses(table(spark, rows)).collect() if r["doc_id"])
     phrases = [t for t in licenses.TEMPLATES if t.base]
     for i, text in enumerate(texts):
-        words = re.findall(licenses.WORDS, re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        words = re.findall(_WORDS, re.sub("[A-Z]", lambda m: m[0].lower(), text))
         places = [(n, t.label) for t in phrases for n in range(len(words)) if words[n : n + len(t.words.split())] == t.words.split()]
         r = found[i + 10]
         assert (r["n_words"], r["n_base"]) == (len(words), len(places))
