@@ -1 +1,8 @@
-"""Trackloom: ordered-trajectory analytics and corpus preparation on Spark DataFrames."""
+"""A PySpark engine for ordered sports-tracking data, and for preparing training text."""
+
+from trackloom.config import CONFIG, Config
+from trackloom.functions.geometry import homographies
+from trackloom.operators.render import bone_segments, court_lines, overlays
+from trackloom.plans.analysis import analyze, callbacks, detect, documents, failures
+
+__all__ = ["CONFIG", "Config", "analyze", "bone_segments", "callbacks", "court_lines", "detect", "documents", "failures", "homographies", "overlays"]

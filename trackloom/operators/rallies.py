@@ -84,8 +84,10 @@ def judge_drops(drops: DataFrame, maps: DataFrame) -> DataFrame:
     d = d.withColumns(half_distances(pts, net, F.col("net_left"), F.col("net_right"), *at))
     d = d.withColumns(drop_verdict(F.col("court_x"), F.col("court_y"), F.col("top_distance"), F.col("bottom_distance")))
     d = d.drop("net_left", "net_right", "top_distance", "bottom_distance")
-    away = F.abs(F.bround("margin_cm", 1))
-    text = F.when(F.bround("margin_cm", 1) >= 0, F.format_string("%s까지 약 %.1fcm", "nearest_line", away)).otherwise(
+    shown = F.bround(F.round("margin_cm", 6), 1)  # noise of the arithmetic decides no tie
+    away = F.abs(shown)
+    # The published texts.
+    text = F.when(shown >= 0, F.format_string("%s까지 약 %.1fcm", "nearest_line", away)).otherwise(
         F.format_string("%s 밖 약 %.1fcm", "nearest_line", away)
     )
     return d.withColumns({"is_in": F.col("location") != "out", "verdict": text}).drop("to_minimap", "to_court", "minimap_pts", "net_y_minimap")

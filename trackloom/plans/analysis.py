@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.config import CONFIG, Config
@@ -150,13 +150,32 @@ def documents(videos: DataFrame, hits: DataFrame, drops: DataFrame | None = None
     return d.select("video_id", F.to_json(F.struct(*fields)).alias("document"))
 
 
-def callbacks(videos: DataFrame, hits: DataFrame, faults: DataFrame) -> DataFrame:
-    """(video_id, body): the success message of each video, without drops."""
+def _id_json() -> Column:
+    """A video's id as JSON: a number if it is a whole one, else a quoted text."""
+    listed = F.to_json(F.array("video_id"))
+    return F.coalesce(F.expr("try_cast(video_id AS BIGINT)").cast("string"), listed.substr(F.lit(2), F.length(listed) - 2))
+
+
+def callbacks(videos: DataFrame, hits: DataFrame, faults: DataFrame, requests: DataFrame | None = None) -> DataFrame:
+    """(video_id, body): the success message of each video, without drops. With requests(video_id,
+    skeletonVideoUrl, minimapVideoUrl) the addresses that aren't empty are told too."""
     doc = documents(videos, hits, faults=faults)
     parsed = F.from_json("document", "video_fps double, total_hits int, hits_data string, net_fault_events string")
     p = doc.select("video_id", parsed.alias("p"))
+    told = F.lit("")
+    if requests is not None:
+        p = p.join(requests.select("video_id", "skeletonVideoUrl", "minimapVideoUrl"), "video_id", "left")
+        for name in ("skeletonVideoUrl", "minimapVideoUrl"):
+            one = F.to_json(F.struct(name))
+            told = F.concat(told, F.when(F.length(name) > 0, F.concat(F.lit(","), one.substr(F.lit(2), F.length(one) - 2))).otherwise(""))
     body = F.concat(
-        F.lit('{"videoId":'), F.to_json(F.array("video_id")).substr(F.lit(2), F.length(F.to_json(F.array("video_id"))) - 2), F.lit(',"videoFps":'), F.col("p.video_fps").cast("string"),
-        F.lit(',"totalHits":'), F.col("p.total_hits").cast("string"), F.lit(',"hitsData":'), F.col("p.hits_data"), F.lit(',"netFaultEvents":'), F.col("p.net_fault_events"), F.lit("}"),
-    )
+        F.lit('{"videoId":'), _id_json(), F.lit(',"videoFps":'), F.col("p.video_fps").cast("string"),
+        F.lit(',"totalHits":'), F.col("p.total_hits").cast("string"), F.lit(',"hitsData":'), F.col("p.hits_data"), F.lit(',"netFaultEvents":'), F.col("p.net_fault_events"), told, F.lit("}"),
+    )
     return p.select("video_id", body.alias("body"))
+
+
+def failures(failed: DataFrame) -> DataFrame:
+    """failed(video_id, error) -> (video_id, body): the message of each video that could not be analysed."""
+    error = F.to_json(F.struct(F.coalesce(F.col("error").cast("string"), F.lit("")).alias("error")))
+    return failed.select("video_id", F.concat(F.lit('{"videoId":'), _id_json(), F.lit(","), error.substr(F.lit(2), F.length(error) - 1)).alias("body"))

@@ -7,18 +7,25 @@ matrices are solved below as linear systems and stand in the text as numbers.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 
 _W = "(PARTITION BY video_id ORDER BY frame)"
 
 
 def _solve(src: list, dst: list) -> list[float]:
-    """The nine entries of the projective map between four points, from its 8 x 8 linear system."""
-    rows, right = [], []
-    for (x, y), (u, v) in zip(np.float32(src).astype(float), np.float32(dst).astype(float)):
-        rows += [[x, y, 1, 0, 0, 0, -u * x, -u * y], [0, 0, 0, x, y, 1, -v * x, -v * y]]
-        right += [u, v]
-    return [*map(float, np.linalg.solve(np.array(rows), np.array(right))), 1.0]
+    """The nine entries of the projective map between four points, from its 8 x 8 linear system in exact fractions."""
+    rows = []
+    for p, q in zip(src, dst):
+        x, y, u, v = (Fraction(float(np.float32(c))) for c in (*p, *q))
+        rows += [[x, y, 1, 0, 0, 0, -u * x, -u * y, u], [0, 0, 0, x, y, 1, -v * x, -v * y, v]]
+    for i in range(8):
+        pivot = next(k for k in range(i, 8) if rows[k][i])
+        rows[i], rows[pivot] = rows[pivot], rows[i]
+        rows[i] = [Fraction(c) / rows[i][i] for c in rows[i]]
+        rows = [row if k == i else [c - row[i] * d for c, d in zip(row, rows[i])] for k, row in enumerate(rows)]
+    return [*(float(row[8]) for row in rows), 1.0]
 
 
 _SRC = [(1280 * 0.28, 100 * 0.46), (1280 * 0.72, 100 * 0.46), (1280 * 0.85, 100 * 0.97), (1280 * 0.15, 100 * 0.97)]
@@ -263,9 +270,9 @@ _STEPS |= {
   FROM (SELECT video_id, rally, min(CASE WHEN down THEN i END) AS one, min(CASE WHEN gap > 4 THEN i END) AS cut, max(m) AS m FROM bounces GROUP BY video_id, rally) f""",
     "landed": "SELECT b.video_id, b.rally, b.frame, b.x AS sx, b.y AS sy, b.hit_number AS last_hit_number, b.side AS last_hit_owner FROM bounces b JOIN picks USING (video_id, rally, i)",
     "marks": """
-  SELECT *, trunc({0})::INT AS mx, trunc({1})::INT AS my, row_number() OVER (PARTITION BY video_id ORDER BY rally)::INT AS rally_idx FROM landed""".format(*_project(_TO_MAP, "sx", "sy")),
+  SELECT *, trunc(({0})::FLOAT)::INT AS mx, trunc(({1})::FLOAT)::INT AS my, row_number() OVER (PARTITION BY video_id ORDER BY rally)::INT AS rally_idx FROM landed""".format(*_project(_TO_MAP, "sx", "sy")),
     "courted": """
-  SELECT *, {0} AS cx, {1} AS cy, CASE WHEN mx BETWEEN 20 AND 340 AND my BETWEEN 20 AND 300 THEN 'in_top' WHEN mx BETWEEN 20 AND 340 AND my BETWEEN 300 AND 580 THEN 'in_bottom' ELSE 'out' END AS location
+  SELECT *, ({0})::FLOAT::DOUBLE AS cx, ({1})::FLOAT::DOUBLE AS cy, CASE WHEN mx BETWEEN 20 AND 340 AND my BETWEEN 20 AND 300 THEN 'in_top' WHEN mx BETWEEN 20 AND 340 AND my BETWEEN 300 AND 580 THEN 'in_bottom' ELSE 'out' END AS location
   FROM marks""".format(*_project(_TO_COURT, "mx::DOUBLE", "my::DOUBLE")),
     "starts": "SELECT video_id, rally, min(frame) AS start FROM rallied WHERE rally > 1 GROUP BY video_id, rally",
     "spans": """
@@ -286,7 +293,7 @@ _STEPS |= {
     coalesce(avg(y) FILTER (i IN (15, 16) AND conf >= 0.3 AND x > 0 AND y > 0), 0.0) AS y FROM kp GROUP BY frame, person_idx""",
     "people": "SELECT v.video_id, e.frame, e.person_idx FROM videos v JOIN (SELECT DISTINCT frame, person_idx FROM kp) e ON e.frame < v.n_frames",
     "on_map_all": """
-  SELECT p.video_id, p.frame, p.person_idx, trunc({0})::INT AS mx, trunc({1})::INT AS my
+  SELECT p.video_id, p.frame, p.person_idx, trunc(({0})::FLOAT)::INT AS mx, trunc(({1})::FLOAT)::INT AS my
   FROM people p JOIN feet f USING (frame, person_idx) WHERE f.x > 0 AND f.y > 0""".format(*_project(_TO_MAP, "f.x", "f.y")),
     "on_map_near": """
   SELECT *, CASE WHEN my < 300 THEN 'top' ELSE 'bottom' END AS side FROM on_map_all
@@ -346,11 +353,13 @@ ORACLES: dict[str, str] = {
         "alternate_owner": "SELECT video_id, frame, rally, side AS owner, side AS player FROM alternated",
         "rally_last_hit": "SELECT video_id, rally, frame, hit_number FROM last_hits",
         "landing": "SELECT * FROM landed",
-        "drop_verdict": f"""SELECT video_id, rally_idx, frame, mx, my, location, {_LINE.format("'좌측 사이드라인'", "'우측 사이드라인'", "'엔드라인(far)'", "'엔드라인(near)'")} AS nearest_line,
-            round(100 * ({_LINE.format("cx - 0.46", "5.64 - cx", "13.4 - cy", "cy")}) + 0.037, 1) AS margin_cm, round(cx + 0.0037, 2) AS court_x, round(cy + 0.0037, 2) AS court_y, location <> 'out' AS is_in FROM courted""",
+        "drop_verdict": f"""SELECT video_id, rally_idx, frame, mx, my, location, nearest_line, round(margin, 6) AS margin_cm, round(cx, 8) AS court_x, round(cy, 8) AS court_y,
+            location <> 'out' AS is_in, nearest_line || CASE WHEN round_even(round(margin, 6), 1) >= 0 THEN '까지 약 ' ELSE ' 밖 약 ' END || printf('%.1fcm', abs(round_even(round(margin, 6), 1))) AS verdict
+            FROM (SELECT *, {_LINE.format("'좌측 사이드라인'", "'우측 사이드라인'", "'엔드라인(far)'", "'엔드라인(near)'")} AS nearest_line,
+                100 * ({_LINE.format("cx - 0.46", "5.64 - cx", "13.4 - cy", "cy")}) AS margin FROM courted)""",
         "drop_interval": """SELECT f.video_id, f.frame, max(s.rally_idx) AS rally_idx FROM frames f JOIN spans s ON s.video_id = f.video_id AND f.frame >= s.frame
             AND (s.until IS NULL OR f.frame < s.until) GROUP BY f.video_id, f.frame""",
-        "homography_apply": f"SELECT video_id, frame, round({_MX}, 4) AS mx, round({_MY}, 4) AS my, round({_NX}, 4) AS nx, round({_NY}, 4) AS ny FROM points",
+        "homography_apply": f"SELECT video_id, frame, round({_MX}, 4) + 0.0::DOUBLE AS mx, round({_MY}, 4) + 0.0::DOUBLE AS my, round({_NX}, 4) + 0.0::DOUBLE AS nx, round({_NY}, 4) + 0.0::DOUBLE AS ny FROM points",
         "foot_center": "SELECT p.*, round(f.x, 4) AS x, round(f.y, 4) AS y FROM people p JOIN feet f USING (frame, person_idx)",
         "body_center": "SELECT p.*, round(b.owner_path, 4) AS owner_path, round(b.rescue_path, 4) AS rescue_path FROM people p JOIN body b USING (frame, person_idx)",
         "pose_window": "SELECT p.* FROM people p WHERE EXISTS (SELECT 1 FROM hits h WHERE h.video_id = p.video_id AND abs(h.frame - p.frame) <= 2)",
@@ -375,8 +384,23 @@ ORACLES: dict[str, str] = {
             ON a.video_id = o.video_id AND a.side = o.side AND a.frame >= o.frame""",
         "impact_flag": "SELECT f.video_id, f.frame, EXISTS (SELECT 1 FROM hits h WHERE h.video_id = f.video_id AND abs(h.frame - f.frame) <= 2) AS impact FROM frames f",
         "crossing_flag": "SELECT f.video_id, f.frame, EXISTS (SELECT 1 FROM crossings h WHERE h.video_id = f.video_id AND abs(h.frame - f.frame) <= 3) AS crossing FROM frames f",
-        "api_document": """SELECT v.video_id, count(a.frame) AS total_hits, sum(a.frame)::BIGINT AS frames, round_even(min(a.time_sec), 3) AS first_time
-            FROM videos v LEFT JOIN alternated a USING (video_id) GROUP BY v.video_id""",
+        "api_document": """SELECT v.video_id, round_even(v.fps, 2) AS video_fps, count(a.frame) OVER (PARTITION BY v.video_id)::INT AS total_hits,
+            a.hit_number, a.frame, round_even(a.time_sec, 3) AS time_sec, a.side AS player FROM videos v JOIN alternated a USING (video_id)""",
+        "callback_body": "SELECT v.video_id, round_even(v.fps, 2) AS fps, count(a.frame)::INT AS hits, 0 AS faults FROM videos v LEFT JOIN alternated a USING (video_id) GROUP BY v.video_id, v.fps",
+        "draw_commands": """SELECT video_id, frame, 'impact' AS layer, 'IMPACT #' || hit_number AS text, 0 AS x, 0 AS y, '#FFFF00' AS color FROM hits
+            UNION ALL SELECT a.video_id, a.frame, 'hit', a.hit_number::VARCHAR, o.mx, o.my, CASE a.side WHEN 'top' THEN '#3B82F6' ELSE '#F59E0B' END
+            FROM alternated a ASOF JOIN on_map o ON a.video_id = o.video_id AND a.side = o.side AND a.frame >= o.frame
+            UNION ALL SELECT m.video_id, m.frame, 'drop', CASE d.location WHEN 'out' THEN 'OUT' ELSE 'IN' END, d.mx, d.my, CASE d.location WHEN 'out' THEN '#FF0000' ELSE '#00FF00' END
+            FROM (SELECT f.video_id, f.frame, max(s.rally_idx) AS rally_idx FROM frames f JOIN spans s ON s.video_id = f.video_id AND f.frame >= s.frame
+                AND (s.until IS NULL OR f.frame < s.until) GROUP BY f.video_id, f.frame) m JOIN courted d USING (video_id, rally_idx)""",
+        # Metres along and across, in the order of drawing: two fills, lines along, lines across, the net.
+        "court_lines": """SELECT 'minimap' AS view, (row_number() OVER () - 1)::INT AS z, primitive, round(20 + a / 6.1::DOUBLE * 320, 6) AS x1, round(580 - b / 13.4::DOUBLE * 560, 6) AS y1,
+            round(20 + c / 6.1::DOUBLE * 320, 6) AS x2, round(580 - d / 13.4::DOUBLE * 560, 6) AS y2, color, thickness FROM (VALUES
+            ('fill', 0::DOUBLE, 13.4::DOUBLE, 6.1::DOUBLE, 0::DOUBLE, '#1B401A', -1), ('fill', 0.46, 13.4, 5.64, 0, '#327330', -1),
+            ('line', 0, 0, 0, 13.4, '#FFFFFF', 1), ('line', 0.46, 0, 0.46, 13.4, '#FFFFFF', 1), ('line', 5.64, 0, 5.64, 13.4, '#FFFFFF', 1), ('line', 6.1, 0, 6.1, 13.4, '#FFFFFF', 1),
+            ('line', 3.05, 0, 3.05, 4.72, '#FFFFFF', 1), ('line', 3.05, 8.68, 3.05, 13.4, '#FFFFFF', 1),
+            ('line', 0, 0, 6.1, 0, '#FFFFFF', 1), ('line', 0, 0.76, 6.1, 0.76, '#FFFFFF', 1), ('line', 0, 4.72, 6.1, 4.72, '#FFFFFF', 1), ('line', 0, 8.68, 6.1, 8.68, '#FFFFFF', 1),
+            ('line', 0, 12.64, 6.1, 12.64, '#FFFFFF', 1), ('line', 0, 13.4, 6.1, 13.4, '#FFFFFF', 1), ('line', 0, 6.7, 6.1, 6.7, '#FF5000', 2)) t(primitive, a, b, c, d, color, thickness)""",
         "timeline_row": """SELECT video_id, trunc(time_sec)::INT AS timestamp, printf('%02d:%02d', trunc(time_sec)::INT // 60, trunc(time_sec)::INT % 60) AS "displayTime",
             'NET_FAULT' AS "eventType", '네트 걸림' AS "eventTitle", '셔틀콕이 네트 상단보다 0.0px 낮은 위치를 통과하려 했습니다.' AS "eventDescription" FROM crossings""",
         "top_scores": "SELECT video_id, frame, round(score, 6) AS score FROM (SELECT * FROM scores WHERE score > 0 ORDER BY score DESC, video_id, frame LIMIT 20)",

@@ -245,10 +245,9 @@ def landing(c: Clip) -> DataFrame:
 
 @query
 def drop_verdict(c: Clip) -> DataFrame:
-    # Places come from whole pixels and can lie on a tie of rounding, which single precision decides
-    # by its last bit; the small shift keeps all of them off.
-    near = [F.round(F.col(v) + by, n).alias(v) for v, by, n in (("margin_cm", 0.037, 1), ("court_x", 0.0037, 2), ("court_y", 0.0037, 2))]
-    return c.drops.select("video_id", "rally_idx", "frame", "mx", "my", "location", "nearest_line", *near, "is_in")
+    # Whole pixels give places with a few decimals, which these don't cut.
+    near = [F.round(v, n).alias(v) for v, n in (("margin_cm", 6), ("court_x", 8), ("court_y", 8))]
+    return c.drops.select("video_id", "rally_idx", "frame", "mx", "my", "location", "nearest_line", *near, "is_in", "verdict")
 
 
 @query
@@ -260,7 +259,7 @@ def drop_interval(c: Clip) -> DataFrame:
 def homography_apply(c: Clip) -> DataFrame:
     p = c.points.join(c.maps.select("video_id", "to_minimap", "to_normalized"), "video_id")
     (mx, my), (nx, ny) = project(F.col("to_minimap"), F.col("x"), F.col("y")), project(F.col("to_normalized"), F.col("x"), F.col("y"))
-    return p.select("video_id", "frame", *(F.round(v, 4).alias(n) for n, v in (("mx", mx), ("my", my), ("nx", nx), ("ny", ny))))
+    return p.select("video_id", "frame", *((F.round(v, 4) + F.lit(0.0)).alias(n) for n, v in (("mx", mx), ("my", my), ("nx", nx), ("ny", ny))))  # no -0.0
 
 
 @query
@@ -356,7 +355,7 @@ def bone_segments(c: Clip) -> DataFrame:
 
 @query
 def court_lines(c: Clip) -> DataFrame:
-    return render.court_lines(c.spark)
+    return render.court_lines(c.spark).select("view", "z", "primitive", *(_r(v).alias(v) for v in ("x1", "y1", "x2", "y2")), "color", "thickness")
 
 
 @query
@@ -371,8 +370,18 @@ def hits_json(c: Clip) -> DataFrame:
 
 @query
 def api_document(c: Clip) -> DataFrame:
-    r = analysis.hit_rows(rallies.alternate_owners(c.rallied)).groupBy("video_id").agg(F.count("*").alias("hits"), F.sum("frame").alias("frames"), F.min("time_sec").alias("first_time"))
-    return c.videos.join(r, "video_id", "left").select("video_id", F.coalesce("hits", F.lit(0)).alias("total_hits"), "frames", "first_time")
+    """The hits of the result documents as rows, read back from the JSON itself."""
+    kind = "video_fps double, total_hits int, hits_data array<struct<hit_number:int,frame:int,time_sec:double,player:string>>"
+    d = analysis.documents(c.videos, rallies.alternate_owners(c.rallied)).select("video_id", F.from_json("document", kind).alias("d"))
+    return d.select("video_id", "d.video_fps", "d.total_hits", F.explode("d.hits_data").alias("h")).select("video_id", "video_fps", "total_hits", "h.*")
+
+
+@query
+def callback_body(c: Clip) -> DataFrame:
+    """What the success message tells of each video, read back from the JSON itself."""
+    b = analysis.callbacks(c.videos, rallies.alternate_owners(c.rallied), analysis.fault_rows(crossings.net_faults(c.crossings, c.frames, c.nets, c.videos.select("video_id", F.lit(640.0).alias("center_x")))))
+    kind = "videoFps double, totalHits int, netFaultEvents array<string>"
+    return b.select("video_id", F.from_json("body", kind).alias("b")).select("video_id", F.col("b.videoFps").alias("fps"), F.col("b.totalHits").alias("hits"), F.size("b.netFaultEvents").alias("faults"))
 
 
 @query
