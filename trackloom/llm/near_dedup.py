@@ -185,11 +185,20 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("key").alias("id"), "text").dropDuplicates(["id"])
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+def _confirm(pairs: DataFrame, docs: DataFrame, k: int, shelf: Shelf) -> DataFrame:
     """The pairs (a, b) of row keys whose full shingle sets are at least 0.8 alike. The text of b comes
-    first, as a member has few leaders; a leader's text then meets its members', however many."""
-    side = lambda c: _texts(docs).select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(_linked(k), "a long, b long")
+    first, as a member has few leaders. A leader's text is then sent once to every IN_BLOCK members that
+    it meets, so that a leader of any number of members is dealt out."""
+    fans = pairs.groupBy("a").agg(F.ceil(F.count("*") / IN_BLOCK).alias("fans")).filter("fans > 1")
+    fans = shelf.put("fans", fans)  # one row for IN_BLOCK pairs at most
+    dealt = pairs.join(fans, "a", "left").withColumn("fans", F.coalesce("fans", F.lit(1).cast("long")))
+    leaders = dealt.select(F.col("a").alias("id"), "fans").distinct().join(_texts(docs), "id").select(
+        F.col("id").alias("a"), F.col("text").alias("text_a"), F.explode(F.sequence(F.lit(1).cast("long"), "fans")).alias("fan")
+    )
+    members = dealt.withColumnRenamed("b", "id").join(_texts(docs), "id").select(
+        "a", F.col("id").alias("b"), F.col("text").alias("text_b"), (F.pmod(F.xxhash64("id"), F.col("fans")) + 1).alias("fan")
+    )
+    return members.join(leaders, ["a", "fan"]).select("a", "b", "text_a", "text_b").mapInArrow(_linked(k), "a long, b long")
 
 
 def _alike(a: str, b: str) -> str:
@@ -275,7 +284,7 @@ def near_duplicate_groups(docs: DataFrame, k: int = 4) -> DataFrame:
     ).filter("lo <> hi").select("doc_id")
     owned = rows.join(many, "doc_id").join(classes.select("set1", "set2", "id"), ["set1", "set2"]).select("doc_id", "id")
     joined = owned.join(owned.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").select("a", F.col("id").alias("b"))
-    links = shelf.put("links", _confirm(likely, docs, k).union(joined))
+    links = shelf.put("links", _confirm(likely, docs, k, shelf).union(joined))
     first = connected_components(links, shelf)
     root_of = lambda c: first.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
 
@@ -292,7 +301,7 @@ def near_duplicate_groups(docs: DataFrame, k: int = 4) -> DataFrame:
     tested = likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = shelf.put("rest", _likely_by_blocks(opened).join(tested, ["a", "b"], "left_anti"))
     shelf.drop("members", "opened", "likely", "links")
-    second = _confirm(rest, docs, k)
+    second = _confirm(rest, docs, k, shelf)
     between = second.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(
         F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")
     )
