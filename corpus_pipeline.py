@@ -56,7 +56,8 @@ STAGES = [
     ("mixing_sources", mixing_sources),
 ]
 
-#: SQL can express neither the field nor the sketch search; tests/llm holds a brute-force version.
+#: SQL can express neither the field nor the sketch search. tests/llm runs every stage on planted rows, and compares
+#: the groups of near duplicates with brute force.
 ORACLE_SQL = None
 
 
