@@ -2,8 +2,8 @@
 
 Every rule's regex is read once on the driver for the trigrams that any match must hold, as an
 OR of ANDs. Documents post the wanted trigrams that they contain, postings are intersected per
-clause, and only candidates are verified by the regex. A rule without a mandatory trigram scans
-every text.
+clause, and only candidates are verified by the regex. The index is cut by document, so nothing is
+shuffled. A rule without a mandatory trigram scans every text.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import ascii_lower, row_key
+from trackloom.llm.common import ascii_lower
 
 try:  # the standard library's own parse tree of a regex
     from re import _constants as _c
@@ -122,34 +122,32 @@ def trigram_query(regex: str) -> list[frozenset[str]]:
     return best
 
 
+def postings(low: Column, grams: list[str]) -> Column:
+    """array<string>: which of the wanted trigrams a lower-cased text holds."""
+    return F.array_compact(F.array(*(F.when(F.contains(low, F.lit(g)), F.lit(g)) for g in grams)))
+
+
 def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(key, rules): rows whose postings meet a clause of a rule.
+    """docs with `__rules`: the rules of which the row meets a clause, null text none.
 
-    Only trigrams that some clause asks for are posted, so the index has a few postings a row;
-    clauses are a bounded table of the rules. Postings are grouped by row, never by trigram, so
-    no posting list is ever in one place.
+    The index is cut by document: a row's share of every posting list is an array of the few wanted
+    trigrams that it holds, as bounded as the rules. A clause intersects that array, in the row, so
+    neither a posting list nor a text is ever sent anywhere.
     """
-    clauses = [
-        (rule.kind, n, gram, len(clause))
-        for rule in rules
-        for n, clause in enumerate(trigram_query(rule.regex))
-        for gram in sorted(clause)
-    ]
-    grams = sorted({c[2] for c in clauses})
-    spark = docs.sparkSession
+    wanted = {rule.kind: trigram_query(rule.regex) for rule in rules}
+    grams = sorted({g for clauses in wanted.values() for clause in clauses for g in clause})
     if not grams:
-        return spark.createDataFrame([], "key long, rules array<string>")
-    asked = spark.createDataFrame(clauses, "rule string, clause int, gram string, needs int")
-    lowered = docs.select(row_key().alias("key"), ascii_lower(F.col("text")).alias("low"))
-    held = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams)))
-    postings = lowered.select("key", F.explode(held).alias("gram"))
-    met = (
-        postings.join(F.broadcast(asked), "gram")  # as long as the rules, whatever the corpus
-        .groupBy("key", "rule", "clause", "needs")
-        .agg(F.count_distinct("gram").alias("has"))
-        .filter("has = needs")
-    )
-    return met.groupBy("key").agg(F.collect_set("rule").alias("rules"))
+        return docs.withColumn("__rules", F.array().cast("array<string>"))
+    tests = []
+    for kind, clauses in wanted.items():
+        met = F.lit(False)
+        for clause in clauses:
+            asked = F.array(*(F.lit(g) for g in sorted(clause)))
+            met = met | (F.size(F.array_intersect("__grams", asked)) == len(clause))
+        tests.append(F.when(met, F.lit(kind)))
+    lowered = docs.withColumn("__low", F.coalesce(ascii_lower(F.col("text")), F.lit("")))
+    held = lowered.withColumn("__grams", postings(F.col("__low"), grams)).drop("__low")
+    return held.withColumn("__rules", F.array_compact(F.array(*tests))).drop("__grams")
 
 
 def _spans(text: Column, rule: Rule, order: int) -> Column:
@@ -187,8 +185,7 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     different kinds may overlap. All columns of `docs` stay; a column of that name is replaced.
     """
     indexed = [r for r in rules if trigram_query(r.regex)]
-    found = candidates(docs, rules).withColumnRenamed("key", "__found").withColumnRenamed("rules", "__rules")
-    joined = docs.withColumn("__key", row_key()).join(found, F.col("__key") == F.col("__found"), "left")
+    found = candidates(docs, rules)
     text = F.coalesce(F.col("text"), F.lit(""))
     none = F.array().cast("array<struct<start:int,ord:int,end:int,kind:string>>")
     parts = []
@@ -196,7 +193,7 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         hit = F.array_contains("__rules", rule.kind) if rule in indexed else text.rlike(rule.regex)
         parts.append(F.when(hit, _spans(text, rule, order)).otherwise(none))
     spans = F.array_sort(F.concat(*parts))
-    return joined.withColumn("spans", spans).drop("__key", "__found", "__rules")
+    return found.withColumn("spans", spans).drop("__rules")
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
