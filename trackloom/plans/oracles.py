@@ -442,6 +442,46 @@ _STEPS |= {
     + ", ".join(f"({i}, {a - 1}, {b - 1})" for i, (a, b) in enumerate(((16, 14), (14, 12), (17, 15), (15, 13), (12, 13), (6, 12), (7, 13), (6, 7), (6, 8), (7, 9), (8, 10), (9, 11))))
     + ") t(bone, a, b)",
 }
+# Alternation: each hit is judged against the one before as that one came out; flips are told apart by their target.
+_OTHER = "CASE {} WHEN 'top' THEN 'bottom' ELSE 'top' END"
+_TURNED = f"CASE w.flips WHEN 'this' THEN {_OTHER.format('w.owner')} ELSE w.owner END"
+_STEPS |= {
+    "sided": """
+  SELECT c.video_id, c.frame, c.time_sec, c.score, c.new_owner AS owner, c.player, c.method, least(1.0, abs(f.y - 50.5) / (0.12::DOUBLE * 100)) AS conf,
+    row_number() OVER (PARTITION BY c.video_id ORDER BY c.frame) AS i FROM crossed c JOIN frames f USING (video_id, frame)""",
+    "turn_walk": f"""
+  SELECT video_id, i, owner, 'none' AS flips FROM sided WHERE i = 1
+  UNION ALL
+  SELECT n.video_id, n.i, n.owner, CASE WHEN ({_TURNED}) <> n.owner OR n.time_sec - p.time_sec >= 1.0 THEN 'none'
+    WHEN p.method = 'peaks_crossed' AND n.method <> 'peaks_crossed' THEN 'this' WHEN n.method = 'peaks_crossed' AND p.method <> 'peaks_crossed' THEN 'prev'
+    WHEN n.score / greatest(p.score, 1e-6) >= 3.0 THEN 'prev' WHEN n.score / greatest(p.score, 1e-6) <= 1.0::DOUBLE / 3.0::DOUBLE THEN 'this'
+    WHEN n.conf <= p.conf THEN 'this' ELSE 'prev' END
+  FROM turn_walk w JOIN sided p ON p.video_id = w.video_id AND p.i = w.i JOIN sided n ON n.video_id = w.video_id AND n.i = w.i + 1""",
+    "turned": f"""
+  SELECT t.*, CASE WHEN x.flips = 'prev' THEN {_OTHER.format(f"({_TURNED})")} ELSE {_TURNED} END AS final, w.flips = 'this' OR coalesce(x.flips = 'prev', false) AS flipped
+  FROM sided t JOIN turn_walk w ON w.video_id = t.video_id AND w.i = t.i LEFT JOIN turn_walk x ON x.video_id = t.video_id AND x.i = t.i + 1""",
+    # Rescue: near misses with a wrist within reach, in order of frame, each apart from the last one taken.
+    "rescue_misses": _STEPS["misses"].replace("0.149", "0.13"),
+    "rescue_near": """
+  SELECT m.video_id, m.frame, m.score, b.rescue_path AS center_y, sqrt((k.x - f.x) ** 2 + (k.y - f.y) ** 2) AS dist,
+    row_number() OVER (PARTITION BY m.video_id, m.frame ORDER BY sqrt((k.x - f.x) ** 2 + (k.y - f.y) ** 2), k.frame, k.person_idx, k.i) AS nth
+  FROM rescue_misses m JOIN frames f ON f.video_id = m.video_id AND abs(f.frame - m.frame) <= 2 AND f.x > 0 AND f.y > 0
+  JOIN kp k ON k.frame = f.frame JOIN body b ON b.frame = k.frame AND b.person_idx = k.person_idx
+  WHERE k.i IN (9, 10) AND k.conf >= 0.25 AND k.x > 0 AND b.rescue_path IS NOT NULL""",
+    "rescue_in": """
+  SELECT n.*, p.peak_distance + 5 AS gap, row_number() OVER (PARTITION BY n.video_id ORDER BY n.frame) AS i
+  FROM rescue_near n JOIN params p USING (video_id) WHERE nth = 1 AND dist <= 120""",
+    "rescue_walk": """
+  SELECT video_id, i, frame AS last, true AS kept FROM rescue_in WHERE i = 1
+  UNION ALL
+  SELECT n.video_id, n.i, CASE WHEN n.frame - w.last >= n.gap THEN n.frame ELSE w.last END, n.frame - w.last >= n.gap
+  FROM rescue_walk w JOIN rescue_in n ON n.video_id = w.video_id AND n.i = w.i + 1""",
+    "rescued": """
+  SELECT video_id, frame, score, owner, owner AS player, 'peaks' AS method FROM hits
+  UNION ALL
+  SELECT video_id, frame, score, CASE WHEN center_y < 50.5 THEN 'top' ELSE 'bottom' END, CASE WHEN center_y < 50.5 THEN 'pink_top' ELSE 'green_bottom' END, 'rescue_pose'
+  FROM rescue_in JOIN rescue_walk USING (video_id, i) WHERE kept""",
+}
 _BONE = "round(f.{0} + {2} + ({1}.{0} - f.{0}) * 1.2::DOUBLE, 2)"
 _PX, _PY = "(x * 6)", "y"
 
@@ -464,6 +504,23 @@ ORACLES |= {
         FROM people p JOIN feet f USING (frame, person_idx) CROSS JOIN bone_list l JOIN kp a ON a.frame = p.frame AND a.person_idx = p.person_idx AND a.i = l.a
         JOIN kp b ON b.frame = p.frame AND b.person_idx = p.person_idx AND b.i = l.b WHERE f.x > 0 AND f.y > 0 AND a.conf >= 0.3 AND b.conf >= 0.3"""
     ),
+    "alternation_fix": _sql(
+        """SELECT video_id, frame, final AS owner, CASE WHEN NOT flipped THEN player WHEN final = 'top' THEN 'pink_top' ELSE 'green_bottom' END AS player, method FROM turned"""
+    ),
+    "rescue": _sql(
+        """SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY frame)::INT AS hit_number, frame, round(score, 6) AS score, owner, player, method FROM rescued"""
+    ),
+    "hits_json": _sql(
+        f"""SELECT v.video_id, to_json({{'video_fps': round_even(v.fps, 2), 'total_hits': coalesce(len(h.hits), 0), 'hits_data': coalesce(h.hits, []), 'coordinate_mode': 'auto_ratio',
+        'drop_judgments': coalesce(d.drops, [])}})::VARCHAR AS document FROM videos v
+        LEFT JOIN (SELECT video_id, list({{'hit_number': hit_number, 'frame': frame, 'time_sec': round_even(time_sec, 3), 'player': side}} ORDER BY hit_number) AS hits
+          FROM alternated GROUP BY video_id) h USING (video_id)
+        LEFT JOIN (SELECT video_id, list({{'rally_idx': rally_idx, 'frame': frame, 'location': location,
+            'margin_cm': round_even(100 * ({_LINE.format("cx - 0.46", "5.64 - cx", "13.4 - cy", "cy")}), 1),
+            'nearest_line': {_LINE.format("'좌측 사이드라인'", "'우측 사이드라인'", "'엔드라인(far)'", "'엔드라인(near)'")},
+            'bwf_x': round_even(cx, 3), 'bwf_y': round_even(cy, 3), 'last_hit_number': last_hit_number, 'last_hit_owner': last_hit_owner}} ORDER BY rally_idx) AS drops
+          FROM courted GROUP BY video_id) d USING (video_id)"""
+    ),
     "long_crossings": _long(_sql("SELECT video_id, frame, round(time_sec, 6) AS time_sec, direction FROM crossings")),
     "long_hits": _long(_sql("SELECT video_id, hit_number, frame, round(time_sec, 6) AS time_sec, round(score, 6) AS score, owner FROM hits")),
 }
