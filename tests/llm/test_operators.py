@@ -285,6 +285,23 @@ def test_secrets(spark):
     assert secrets.scan_secrets(table(spark, [])).count() == 0
 
 
+def test_secrets_of_a_very_long_text(spark):
+    filler = "some plain words of é prose " * 40_000
+    text = "token=abcdefgh1 " + filler + SECRETS[0] + " " + filler + SECRETS[1]
+    rows = spark.createDataFrame([(1, text, "x", [1]), (1, text, "x", [1]), (2, filler, None, None), (3, None, "y", None)], "doc_id long, text string, kind string, spans array<int>")
+    found = secrets.scan_secrets(rows).collect()
+    assert len(found) == 4 and found[0].asDict().keys() == {"doc_id", "text", "kind", "spans"}
+    for r in found:
+        assert ",".join(f"{s.kind}:{s.start}:{s.end}" for s in r["spans"]) == _plain_spans(text if r["doc_id"] == 1 else None)
+
+
+def test_postings_meet_whatever_matches(spark):
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate([*SECRETS, "nothing", "", None])]
+    for r in secrets.candidates(table(spark, rows)).collect():
+        must = {k.kind for k in secrets.RULES if secrets.trigram_query(k.regex) and re.search(k.regex, r["text"] or "")}
+        assert must <= set(r["__rules"]) and (r["text"] not in ("nothing", "", None) or r["__rules"] == [])
+
+
 def test_private_keys_go_whole(spark):
     rng = random.Random(4)
     lines = ["".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=64)) for _ in range(30)]

@@ -182,7 +182,9 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs(doc_id, text, ...) with `spans`: array<struct<start, ord, end, kind>> sorted by start and rule.
 
     Null text counts as empty and has no spans; repeated rows each get the same spans; spans of
-    different kinds may overlap. All columns of `docs` stay; a column of that name is replaced.
+    different kinds may overlap. Texts of any length are scanned whole, and an empty table gives an
+    empty one. All columns of `docs` stay, but for `spans`, which is replaced, and `__low`, `__grams`
+    and `__rules`, which are dropped.
     """
     indexed = [r for r in rules if trigram_query(r.regex)]
     found = candidates(docs, rules)
