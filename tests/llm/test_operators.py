@@ -521,25 +521,59 @@ def test_decontamination_of_numbers_names_and_short_items(spark):
 
 
 def test_lm_gradient_and_likelihood():
-    vocab = lm_score.vocabulary(np.arange(lm_score.BUCKETS)[::-1] % 977)
-    assert vocab.classes.min() == 0 and vocab.classes.max() == lm_score.CLASSES - 1
-    for c in range(lm_score.CLASSES):
-        assert abs(np.exp(vocab.within[vocab.classes == c]).sum() - 1) < 1e-3
+    vocab = lm_score.vocabulary(np.sort(np.arange(1, 500) % 97 + 1)[::-1], 3)
+    assert len(set(vocab.symbols)) == 9 + lm_score.SHARED + lm_score.SHAPES == vocab.edge
+    for c in range(9, 9 + lm_score.SHARED):
+        assert abs(np.exp(vocab.within[vocab.symbols == c]).sum() - 1) < 1e-3
     rng = np.random.default_rng(1)
-    flat = lm_score.initial_weights().astype(np.float64)
-    edge = np.full(lm_score.SIDE, lm_score.CLASSES)
-    padded = np.concatenate([edge, rng.integers(0, lm_score.CLASSES, 12), edge, edge, rng.integers(0, lm_score.CLASSES, 5), edge])
+    flat = lm_score.initial_weights(vocab).astype(np.float64)
+    flat += rng.normal(0, 0.2, len(flat))
+    edge = np.full(lm_score.SIDE, vocab.edge)
+    padded = np.concatenate([edge, rng.integers(0, vocab.edge, 30), edge, edge, rng.integers(0, vocab.edge, 5), edge])
 
     def loss(w):
         target = padded[lm_score.SIDE : -lm_score.SIDE]
-        real = target < lm_score.CLASSES
-        return -lm_score.log_probabilities(lm_score.unpack(w), padded, np.where(real, target, 0))[real].mean()
+        real = target < vocab.edge
+        return -lm_score.log_probabilities(lm_score.unpack(w, 3), padded, np.where(real, target, 0))[real].mean()
 
-    g = lm_score.gradient(lm_score.unpack(flat), padded)
-    for i in rng.choice(len(flat), 25, replace=False):
+    g = lm_score.gradient(lm_score.unpack(flat, 3), padded)
+    for i in range(0, len(flat), 3):
         step = np.zeros_like(flat)
         step[i] = 1e-5
-        assert abs((loss(flat + step) - loss(flat - step)) / 2e-5 - g[i]) < 1e-4
+        assert abs((loss(flat + step) - loss(flat - step)) / 2e-5 - g[i]) < 1e-6
+
+
+def test_lm_probabilities_by_hand():
+    """Each masked word's probability against plain loops; those of all symbols in one place sum to 1."""
+    vocab = lm_score.vocabulary(np.arange(400, 0, -1), 4)
+    rng = np.random.default_rng(2)
+    flat = lm_score.initial_weights(vocab).astype(np.float64) + rng.normal(0, 0.3, len(lm_score.initial_weights(vocab)))
+    embed, into, bias, out, out_bias, inner, inner_bias = weights = lm_score.unpack(flat, 4)
+    words = rng.integers(0, len(vocab.symbols), 40)
+    edge = [vocab.edge] * lm_score.SIDE
+    padded = np.array(edge + list(vocab.symbols[words]) + edge)
+
+    def plain(at: int, symbol: int) -> float:
+        around = [padded[at], padded[at + 1], padded[at + 3], padded[at + 4]]
+        h = np.tanh(sum(embed[s] @ into[8 * k : 8 * k + 8] for k, s in enumerate(around)) + bias)
+        first = np.exp(h @ out + out_bias)
+        if symbol >= 16:
+            return np.log(first[4 + symbol - 16] / first.sum())
+        second = np.exp(h @ inner[symbol // 4] + inner_bias[symbol // 4])
+        return np.log(first[symbol // 4] / first.sum()) + np.log(second[symbol % 4] / second.sum())
+
+    expected = sum(plain(i, vocab.symbols[w]) + vocab.within[w] for i, w in enumerate(words))
+    assert abs(lm_score.log_likelihood(weights, vocab, padded, words) - expected) < 1e-6
+    assert abs(sum(np.exp(plain(7, s)) for s in range(vocab.edge)) - 1) < 1e-9
+
+
+def test_lm_context_matters(spark):
+    """A common word among words of its own language is likelier than the same word among another's."""
+    rng = random.Random(4)
+    rows = [(i + 10, sentence(rng, 400, EN if i % 2 else DE), "en", "s", 0) for i in range(1500)]
+    mixed = " ".join(w for pair in zip(sentence(rng, 200, EN).split(), sentence(rng, 200, DE).split()) for w in pair)
+    found = by_id(lm_score.pseudo_likelihood(table(spark, rows + [(9000, mixed, "en", "s", 0)])).collect())
+    assert found[9000]["mean_log_prob"] < min(found[i + 10]["mean_log_prob"] for i in range(1500)) - 0.3
 
 
 def test_lm_scores(spark):
@@ -567,7 +601,7 @@ def test_lm_counts_real_words(spark, monkeypatch):
     out = lm_score.pseudo_likelihood(table(spark, rows + [rows[1]])).collect()
     found = by_id(out)
     assert len(out) == 5 and abs(found[1]["log_prob"] - found[2]["log_prob"] - np.log(4 / 2)) < 1e-4
-    assert lm_score.own_words(10**8) > lm_score.own_words(10**7) > lm_score.own_words(10**6) > lm_score.OWN
+    assert lm_score.own_side(10**7) > lm_score.own_side(10**6) > lm_score.own_side(10**5) > lm_score.LEAST_SIDE
 
 
 def test_sha_of_no_span(spark):

@@ -1,12 +1,14 @@
 """Operator 10: document scores by masked pseudo-likelihood.
 
 A window network in numpy sees the two words before and the two after a masked word and predicts it:
-first the word's class, then the word within its class by corpus counts. A document's score is the
-sum of the log-probabilities of all its words, each masked in turn. Counts are of real words, in a
-table keyed by word that is never collected; the commonest go to every task, the others are joined
-by word. The words that are classes of their own grow with the corpus. Counts come from all documents;
-the network is trained on all documents too, each task on its own part from a shared start, and the
-parts' weights are averaged by the words they saw.
+first its class, then, among the words of the class, the word itself, both from the same hidden state,
+so that both sides speak for every word that the network tells apart. A document's score is the sum of
+the log-probabilities of all its words, each masked in turn. Counts are of real words, in a table keyed
+by word that is never collected; the commonest go to every task, the others are joined by word. The
+words that the network tells apart grow with the corpus; all rarer ones share a few classes and are told
+apart by their counts. Counts come from all documents; the network starts as the counts' own distribution
+and is trained on all documents too, each task on its own part from a shared start, and the parts'
+weights are averaged by the words they saw.
 """
 
 from __future__ import annotations
@@ -23,16 +25,18 @@ from pyspark.sql import functions as F
 
 from trackloom.functions.stages import keep as checkpoint
 
-#: Tasks hold the BUCKETS commonest words at most; the others are joined. A small corpus has CLASSES
-#: classes of these, the first OWN of them single words; own_words() tells how they grow, to MOST_OWN.
-BUCKETS, CLASSES, OWN, MOST_OWN = 1 << 18, 64, 48, 1024
-#: Classes of the words that tasks don't hold, by shape.
-SHAPES = 8
+#: Tasks hold the BUCKETS commonest words at most; the others are joined. The commonest of these are told
+#: apart, in classes of as many words each as there are classes: LEAST_SIDE to MOST_SIDE, see own_side().
+BUCKETS, LEAST_SIDE, MOST_SIDE = 1 << 18, 4, 128
+#: Classes of the other words that tasks hold, and of those that they don't hold, by shape.
+SHARED, SHAPES = 8, 8
 EMBED, HIDDEN, SIDE = 8, 24, 2
 #: Words of a training step, and words that a task remembers at most (forgetting changes no result).
 STEP, MEMO = 4096, 1 << 19
 #: Offsets of the neighbours in a padded sequence.
 _OFFSETS = [o for o in range(2 * SIDE + 1) if o != SIDE]
+#: Weights in a row when networks are summed; steps that a task should have at least.
+BLOCK, STEPS = 4096, 100
 
 
 def split(text: str | None) -> list[bytes]:
@@ -69,13 +73,23 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """Class of each word held, and its log-probability within its class; then a class of each shape
-    and 0, as the words of a shape are joined. `names` are the words held."""
+    """What the network knows of each place: `names` are the words held, the commonest first, and the last
+    SHAPES places stand for the words not held, by shape. The first side * side places are symbols of their
+    own, the others share SHARED + SHAPES symbols, in which `within` is their log-probability (0 where it
+    is not the network's to say: for words of their own, and for shapes, whose words are joined).
+    `first` and `second` are the log-probabilities of the classes and of the words in them by counts."""
 
-    classes: np.ndarray
+    symbols: np.ndarray
     within: np.ndarray
+    side: int
+    first: np.ndarray
+    second: np.ndarray
     names: list[bytes] = field(default_factory=list)
-    size: int = CLASSES
+
+    @property
+    def edge(self) -> int:
+        """The symbol beyond a text's ends."""
+        return self.side**2 + SHARED + SHAPES
 
 
 class Words(dict):
@@ -92,138 +106,202 @@ class Words(dict):
         return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
 
-def own_words(distinct: int) -> int:
-    """Words that are classes of their own: twice the fourth root of the distinct words of the corpus,
-    so that the work a word grows far slower than the corpus; OWN at least and MOST_OWN at most."""
-    return int(min(MOST_OWN, max(OWN, 2 * distinct**0.25)))
-
-
-def vocabulary(counts: np.ndarray, own: int = OWN) -> Vocabulary:
-    """The `own` commonest words are classes of their own; the others are dealt by rank into a third as
-    many classes of about equal mass. Words that never occur count as half a word."""
-    shared = own * (CLASSES - OWN) // OWN
-    order = np.lexsort((np.arange(len(counts)), -counts))
-    classes = np.empty(len(counts), np.int32)
-    classes[order[:own]] = np.arange(len(order[:own]))
-    weight = np.maximum(counts, 0.5)
-    mass = np.cumsum(weight[order[own:]])
-    classes[order[own:]] = own + np.minimum((mass / mass[-1:].sum() * shared).astype(np.int32), shared - 1) if len(mass) else 0
-    size = own + shared
-    return Vocabulary(classes, np.log(weight / np.bincount(classes, weight, size)[classes]).astype(np.float32), size=size)
-
-
-def learned_vocabulary(table: DataFrame) -> tuple[Vocabulary, DataFrame]:
-    """Of corpus_counts' table, with (word, term) of the words that tasks don't hold: the log-probability
-    within their shape. The driver gets BUCKETS words at most and the numbers of words by count."""
+def own_side(distinct: int) -> int:
+    """Classes of words that are told apart, and words in each: twice the fourth root of the distinct words
+    of the corpus, so that these words grow as its square root and the work a word far slower than the corpus."""
+    return int(min(MOST_SIDE, max(LEAST_SIDE, 2 * distinct**0.25)))
+
+
+def vocabulary(counts: np.ndarray, side: int, names: list[bytes] | None = None, shapes: dict[int, int] | None = None) -> Vocabulary:
+    """Of the words held, the commonest first, and of the occurrences of others by shape. Classes are runs of
+    `side` words by rank; words beyond side * side are dealt by rank into SHARED classes of about equal mass."""
+    while side and side * side > len(counts):
+        side -= 1
+    own = side * side
+    symbols = np.arange(len(counts), dtype=np.int32)
+    mass = np.cumsum(counts[own:], dtype=np.float64)
+    symbols[own:] = own + np.minimum((mass / mass[-1:].sum() * SHARED).astype(np.int32), SHARED - 1) if len(mass) else 0
+    beyond = np.maximum(np.bincount(symbols[own:] - own, counts[own:], SHARED), 0.5)
+    within = np.zeros(len(counts) + SHAPES, np.float32)
+    within[own : len(counts)] = np.log(counts[own:] / beyond[symbols[own:] - own])
+    inner = counts[:own].reshape(side, side).astype(np.float64)
+    first = np.concatenate([inner.sum(1), beyond, [max(0.5, (shapes or {}).get(k, 0)) for k in range(SHAPES)]])
+    symbols = np.concatenate([symbols, own + SHARED + np.arange(SHAPES, dtype=np.int32)])
+    second = np.log(inner / inner.sum(1, keepdims=True))
+    return Vocabulary(symbols, within, side, np.log(first / first.sum()).astype(np.float32), second.astype(np.float32), names or [])
+
+
+def learned_vocabulary(table: DataFrame) -> tuple[Vocabulary, DataFrame, int]:
+    """Of corpus_counts' table, with (word, term) of the words that tasks don't hold, the log-probability
+    within their shape, and the number of all occurrences. The driver gets BUCKETS words at most and the
+    numbers of words by count."""
     by_count = table.groupBy("n").agg(F.count("*").alias("words")).toPandas().sort_values("n", ascending=False)
     fits = by_count["words"].cumsum() <= BUCKETS
     least = int(by_count["n"][fits].min()) if fits.any() else 1 << 62
     head = table.filter(F.col("n") >= least).select("word", "n").toArrow().sort_by([("n", "descending"), ("word", "ascending")])
-    vocab = vocabulary(head["n"].to_numpy(), own_words(int(by_count["words"].sum())))
-    vocab.names = [bytes(w) for w in head["word"].to_pylist()]
-    vocab.classes = np.concatenate([vocab.classes, vocab.size + np.arange(SHAPES, dtype=np.int32)])
-    vocab.within = np.concatenate([vocab.within, np.zeros(SHAPES, np.float32)])
-    vocab.size += SHAPES
     rare = table.filter(F.col("n") < least)
     mass = {r["shape"]: r["mass"] for r in rare.groupBy("shape").agg(F.sum("n").alias("mass")).collect()}
+    vocab = vocabulary(head["n"].to_numpy(), own_side(int(by_count["words"].sum())), [bytes(w) for w in head["word"].to_pylist()], mass)
     masses = F.array(*(F.lit(float(mass.get(k, 1))) for k in range(SHAPES)))
-    return vocab, rare.select("word", F.log(F.col("n") / masses[F.col("shape")]).alias("term"))
+    terms = rare.select("word", F.log(F.col("n") / masses[F.col("shape")]).alias("term"))
+    return vocab, terms, int((by_count["n"] * by_count["words"]).sum())
 
 
-def shapes(classes: int) -> tuple:
-    """Of the arrays of a network with so many classes."""
-    return (classes + 1, EMBED), (2 * SIDE, EMBED, HIDDEN), (HIDDEN,), (HIDDEN, classes), (classes,)
+def shapes(side: int) -> tuple:
+    """Of the arrays of a network that tells side * side words apart: symbols, window, bias, and then for
+    classes and for the words of each class what the hidden state adds to them, and their own scores."""
+    first = side + SHARED + SHAPES
+    return (side * side + SHARED + SHAPES + 1, EMBED), (2 * SIDE * EMBED, HIDDEN), (HIDDEN,), (HIDDEN, first), (first,), (side, HIDDEN, side), (side, side)
 
 
-def initial_weights(seed: int = 11, classes: int = CLASSES) -> np.ndarray:
+def initial_weights(vocab: Vocabulary, seed: int = 11) -> np.ndarray:
+    """Symbols and windows at random, scores by counts, nothing yet from the hidden state."""
     rng = np.random.default_rng(seed)
-    return np.concatenate([(rng.normal(0, 0.2, s) * (len(s) > 1)).reshape(-1) for s in shapes(classes)]).astype(np.float32)
+    embed, into, bias, out, _, inner, _ = shapes(vocab.side)
+    parts = (rng.normal(0, 0.3, embed), rng.normal(0, 0.3, into), np.zeros(bias), np.zeros(out), vocab.first, np.zeros(inner), vocab.second)
+    return np.concatenate([p.reshape(-1) for p in parts]).astype(np.float32)
 
 
-def unpack(flat: np.ndarray) -> list[np.ndarray]:
+def unpack(flat: np.ndarray, side: int) -> list[np.ndarray]:
     out, at = [], 0
-    classes = (len(flat) - EMBED - 2 * SIDE * EMBED * HIDDEN - HIDDEN) // (EMBED + HIDDEN + 1)
-    for s in shapes(classes):
+    for s in shapes(side):
         n = int(np.prod(s))
         out.append(flat[at : at + n].reshape(s))
         at += n
     return out
 
 
-def logits(weights: list[np.ndarray], padded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hidden states, scores of the classes) at every inner place of a padded sequence of classes.
-
-    Scores stay within +-60, so that their exponentials need no shift."""
-    embed, into, bias, out, out_bias = weights
+def _window(embed: np.ndarray, padded: np.ndarray) -> np.ndarray:
+    """The neighbours' vectors side by side, at every inner place of a padded sequence of symbols."""
     n = len(padded) - 2 * SIDE
-    hidden = np.take(embed @ into[0] + bias, padded[_OFFSETS[0] : _OFFSETS[0] + n], 0, mode="clip")
-    for k, o in list(enumerate(_OFFSETS))[1:]:
-        hidden += np.take(embed @ into[k], padded[o : o + n], 0, mode="clip")
-    np.tanh(hidden, out=hidden)
-    z = hidden @ out
-    z += out_bias
-    return hidden, np.clip(z, -60, 60, out=z)
+    vectors = embed[padded]
+    return np.concatenate([vectors[o : o + n] for o in _OFFSETS], 1)
+
+
+def _by_class(target: np.ndarray, side: int) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """(places whose word is told apart, in order of its class; each class with its part of them)."""
+    own = np.flatnonzero(target < side * side)
+    classes = (target[own] // max(1, side)).astype(np.int16)
+    order = np.argsort(classes, kind="stable")
+    ends = np.searchsorted(classes[order], np.arange(side + 1))
+    return own[order], [(c, slice(ends[c], ends[c + 1])) for c in range(side) if ends[c] < ends[c + 1]]
+
+
+def _first_class(target: np.ndarray, side: int) -> np.ndarray:
+    return np.where(target < side * side, target // max(1, side), target - side * side + side)
+
+
+def _probabilities(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(exponentials in place of scores, which stay within +-60 so that they need no shift; their sums)."""
+    np.exp(np.clip(z, -60, 60, out=z), out=z)
+    return z, z @ np.ones(z.shape[1], z.dtype)
 
 
 def log_probabilities(weights: list[np.ndarray], padded: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Of the class at every inner place."""
-    _, z = logits(weights, padded)
-    own = z[np.arange(len(target)), target]
-    return own - np.log(np.exp(z, out=z) @ np.ones(z.shape[1], np.float32))
+    """Of the symbol at every inner place, given the neighbours."""
+    embed, into, bias, out, out_bias, inner, inner_bias = weights
+    side = len(inner)
+    hidden = np.tanh(_window(embed, padded) @ into + bias)
+    z = hidden @ out + out_bias
+    p, total = _probabilities(z)
+    logs = np.log(p[np.arange(len(target)), _first_class(target, side)] / total)
+    places, parts = _by_class(target, side)
+    if len(places):
+        h, z = hidden[places], np.empty((len(places), side), hidden.dtype)
+        for c, part in parts:
+            z[part] = h[part] @ inner[c] + inner_bias[c]
+        p, total = _probabilities(z)
+        logs[places] += np.log(p[np.arange(len(places)), target[places] % side] / total)
+    return logs
 
 
 def gradient(weights: list[np.ndarray], padded: np.ndarray) -> np.ndarray:
-    """Of the mean negative log-probability of the real words (boundaries have the number after the last class)."""
-    embed, into, _, out, _ = weights
-    edge = out.shape[1]
-    n = len(padded) - 2 * SIDE
+    """Of the mean negative log-probability of the real words (boundaries have the number after the last symbol)."""
+    embed, into, bias, out, out_bias, inner, inner_bias = weights
+    side, edge, n = len(inner), len(embed) - 1, len(padded) - 2 * SIDE
     target = padded[SIDE : SIDE + n]
-    hidden, delta = logits(weights, padded)
-    np.exp(delta, out=delta)
+    window = _window(embed, padded)
+    hidden = np.tanh(window @ into + bias)
     real = np.flatnonzero(target < edge)
-    share = np.zeros(n, delta.dtype)
-    share[real] = 1 / max(1, len(real))
-    delta *= (share / (delta @ np.ones(edge, np.float32)))[:, None]
-    delta[real, target[real]] -= share[real]
-    back = (delta @ out.T) * (1 - hidden * hidden)
-    hot = np.zeros((len(padded), edge + 1), np.float32)
-    hot[np.arange(len(padded)), padded] = 1
-    g_embed, g_into = np.zeros_like(embed), np.empty_like(into)
+    mean = 1 / max(1, len(real))
+    share = np.zeros(n, hidden.dtype)
+    share[real] = mean
+    delta, total = _probabilities(hidden @ out + out_bias)
+    delta *= (share / total)[:, None]
+    delta[real, _first_class(target[real], side)] -= mean
+    back = delta @ out.T
+    g_inner, g_scores = np.zeros_like(inner), np.zeros_like(inner_bias)
+    places, parts = _by_class(target, side)
+    if len(places):
+        h, z = hidden[places], np.empty((len(places), side), hidden.dtype)
+        for c, part in parts:
+            z[part] = h[part] @ inner[c] + inner_bias[c]
+        z, total = _probabilities(z)
+        z *= (mean / total)[:, None]
+        z[np.arange(len(places)), target[places] % side] -= mean
+        for c, part in parts:
+            g_inner[c], g_scores[c] = h[part].T @ z[part], z[part].sum(0)
+            h[part] = z[part] @ inner[c].T
+        back[places] += h
+    back *= 1 - hidden * hidden
+    pull = back @ into.T
+    vectors = np.zeros((len(padded), EMBED), hidden.dtype)
     for k, o in enumerate(_OFFSETS):
-        table = hot[o : o + n].T @ back
-        g_embed += table @ into[k].T
-        g_into[k] = embed.T @ table
-    return np.concatenate([g.reshape(-1) for g in (g_embed, g_into, back.sum(0), hidden.T @ delta, delta.sum(0))])
+        vectors[o : o + n] += pull[:, k * EMBED : (k + 1) * EMBED]
+    order = np.argsort(padded, kind="stable")
+    starts = np.flatnonzero(np.diff(padded[order], prepend=-1))
+    g_embed = np.zeros_like(embed)
+    g_embed[padded[order[starts]]] = np.add.reduceat(vectors[order], starts, 0)
+    parts = (g_embed, window.T @ back, back.sum(0), hidden.T @ delta, delta.sum(0), g_inner, g_scores)
+    return np.concatenate([g.reshape(-1) for g in parts])
 
 
 def sequences(texts: pa.Array, words: Words, vocab: Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
-    """(padded classes, places, words) of each text."""
-    edge = np.full(SIDE, vocab.size, np.int32)
+    """(padded symbols, places, words) of each text."""
+    edge = np.full(SIDE, vocab.edge, np.int32)
     for text in texts:
         names = split(text.as_py())
         own = words.of(names)
-        yield np.concatenate([edge, vocab.classes[own], edge]), own, names
+        yield np.concatenate([edge, vocab.symbols[own], edge]), own, names
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of weights and words of each block, one network's size at most."""
+    total: dict = {}
+    for batch in batches:
+        for row in batch.to_pylist():
+            sums, n = total.get(row["block"], (0.0, 0))
+            total[row["block"]] = (sums + np.array(row["weights"]), n + row["n"])
+    kind = pa.list_(pa.float64())
+    columns = [pa.array(list(total), pa.int32()), pa.array([s for s, _ in total.values()], kind), pa.array([n for _, n in total.values()], pa.int64())]
+    yield pa.RecordBatch.from_arrays(columns, ["block", "weights", "n"])
 
 
 def train(docs: DataFrame, shared: Broadcast, rounds: int = 1) -> np.ndarray:
-    """Rounds of one pass over all documents. A task sends its weights times its words as one row;
-    they are summed by place in Spark, so that the driver gets one network a round."""
-    flat = initial_weights(classes=shared.value.size)
+    """Rounds of one pass over all documents. A task sends its weights times its words, BLOCK weights a row;
+    tasks sum them by block, so that the driver gets one network a round."""
+    flat = initial_weights(shared.value)
     for _ in range(rounds):
 
         def run(batches: Iterator[pa.RecordBatch], start: np.ndarray = flat) -> Iterator[pa.RecordBatch]:
             own, vocab, seen = start.copy(), shared.value, 0
-            known = Words(vocab)
+            known, weights = Words(vocab), unpack(own, vocab.side)
             first, second, step = np.zeros_like(own), np.zeros_like(own), 0
             waiting, size = [], 0
 
             def learn(padded: np.ndarray) -> None:
                 nonlocal step
                 step += 1
-                g = gradient(unpack(own), padded)
-                np.add(0.9 * first, 0.1 * g, out=first)
-                np.add(0.99 * second, 0.01 * g * g, out=second)
-                own[:] -= 0.01 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
+                g = gradient(weights, padded)
+                np.multiply(first, 0.9, out=first)
+                np.add(first, 0.1 * g, out=first)
+                np.multiply(g, g, out=g)
+                np.multiply(second, 0.99, out=second)
+                np.add(second, np.multiply(g, 0.01, out=g), out=second)
+                np.sqrt(second / (1 - 0.99**step), out=g)
+                np.add(g, 1e-8, out=g)
+                np.divide(first, g, out=g)
+                np.subtract(own, np.multiply(g, 0.01 / (1 - 0.9**step), out=g), out=own)
 
             for batch in batches:
                 for padded, words, _ in sequences(batch.column("text"), known, vocab):
@@ -237,18 +315,17 @@ def train(docs: DataFrame, shared: Broadcast, rounds: int = 1) -> np.ndarray:
             if waiting:
                 learn(np.concatenate(waiting))
             if seen:
+                sums = own.astype(np.float64) * seen
+                blocks = [sums[at : at + BLOCK] for at in range(0, len(sums), BLOCK)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([own.astype(np.float64) * seen], pa.list_(pa.float64())), pa.array([seen], pa.int64())], ["weights", "n"]
+                    [pa.array(range(len(blocks)), pa.int32()), pa.array(blocks, pa.list_(pa.float64())), pa.array([seen] * len(blocks), pa.int64())],
+                    ["block", "weights", "n"],
                 )
 
-        rows = (
-            docs.select("text").mapInArrow(run, "weights array<double>, n long")
-            .select("n", F.posexplode("weights").alias("place", "w"))
-            .groupBy("place").agg((F.sum("w") / F.sum("n")).alias("w")).toPandas()
-        )
-        if len(rows):
-            flat = flat.copy()
-            flat[rows["place"].to_numpy()] = rows["w"].to_numpy()
+        kind = "block int, weights array<double>, n long"
+        rows = docs.select("text").mapInArrow(run, kind).repartition("block").mapInArrow(_added, kind).toArrow().sort_by("block").to_pylist()
+        if rows:
+            flat = np.concatenate([np.array(r["weights"]) / r["n"] for r in rows]).astype(np.float32)
     return flat
 
 
@@ -257,7 +334,7 @@ def log_likelihood(weights: list[np.ndarray], vocab: Vocabulary, padded: np.ndar
     total = 0.0
     for at in range(0, len(words), STEP):
         own = words[at : at + STEP]
-        logs = log_probabilities(weights, padded[at : at + len(own) + 2 * SIDE], vocab.classes[own])
+        logs = log_probabilities(weights, padded[at : at + len(own) + 2 * SIDE], vocab.symbols[own])
         total += float(logs.sum(dtype=np.float64) + vocab.within[own].sum(dtype=np.float64))
     return total
 
@@ -269,12 +346,12 @@ def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     scored whole, STEP words at a time; other columns are never read. The weights depend on how the
     rows are dealt to tasks, so that another layout gives slightly other scores.
     """
-    vocab, rare = learned_vocabulary(corpus_counts(docs))
+    vocab, rare, words = learned_vocabulary(corpus_counts(docs))
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
-    flat = train(docs, shared)
+    flat = train(docs.coalesce(max(1, words // (STEPS * STEP))), shared)  # small parts of a small table learn together
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, vocab = unpack(flat), shared.value
+        weights, vocab = unpack(flat, shared.value.side), shared.value
         known = Words(vocab)
         for batch in batches:
             n, logs, others = [], [], []
