@@ -543,7 +543,7 @@ def test_lm_gradient_and_likelihood():
         assert abs((loss(flat + step) - loss(flat - step)) / 2e-5 - g[i]) < 1e-6
 
 
-def test_lm_probabilities_by_hand():
+def test_lm_probabilities_by_hand(monkeypatch):
     """Each masked word's probability against plain loops; those of all symbols in one place sum to 1."""
     vocab = lm_score.vocabulary(np.arange(400, 0, -1), 4)
     rng = np.random.default_rng(2)
@@ -563,8 +563,14 @@ def test_lm_probabilities_by_hand():
         return np.log(first[symbol // 4] / first.sum()) + np.log(second[symbol % 4] / second.sum())
 
     expected = sum(plain(i, vocab.symbols[w]) + vocab.within[w] for i, w in enumerate(words))
-    assert abs(lm_score.log_likelihood(weights, vocab, padded, words) - expected) < 1e-6
-    assert abs(sum(np.exp(plain(7, s)) for s in range(vocab.edge)) - 1) < 1e-9
+    none, short = np.array(edge + edge), padded[[0, 1, 2, -2, -1]]
+    monkeypatch.setattr(lm_score, "STEP", 16)  # texts over several steps, and several texts in one
+    texts = [(padded, words), (none, words[:0]), (short, words[:1]), (short, words[:1]), (padded, words)]
+    found = lm_score.log_likelihoods(weights, vocab, iter(texts), len(texts))
+    assert abs(found[[0, 4]] - expected).max() < 1e-6 and found[1] == 0 and found[2] == found[3] != 0
+    padded = short
+    assert abs(found[2] - plain(0, vocab.symbols[words[0]]) - vocab.within[words[0]]) < 1e-6
+    assert abs(sum(np.exp(plain(0, s)) for s in range(vocab.edge)) - 1) < 1e-9
 
 
 def test_lm_context_matters(spark):

@@ -14,7 +14,7 @@ weights are averaged by the words they saw.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -329,21 +329,39 @@ def train(docs: DataFrame, shared: Broadcast, rounds: int = 1) -> np.ndarray:
     return flat
 
 
-def log_likelihood(weights: list[np.ndarray], vocab: Vocabulary, padded: np.ndarray, words: np.ndarray) -> float:
-    """Sum over the words of their log-probability given both sides."""
-    total = 0.0
-    for at in range(0, len(words), STEP):
-        own = words[at : at + STEP]
-        logs = log_probabilities(weights, padded[at : at + len(own) + 2 * SIDE], vocab.symbols[own])
-        total += float(logs.sum(dtype=np.float64) + vocab.within[own].sum(dtype=np.float64))
+def log_likelihoods(weights: list[np.ndarray], vocab: Vocabulary, texts: Iterable[tuple[np.ndarray, np.ndarray]], count: int) -> np.ndarray:
+    """Of `count` texts as (padded symbols, places): the sums over their words of the log-probability given both
+    sides. Short texts share a step, long ones take steps that overlap by their edges."""
+    total, waiting, size = np.zeros(count), [], 0
+
+    def add() -> None:
+        rows, pieces, owns = zip(*waiting)
+        padded, sizes = np.concatenate(pieces), [len(own) for own in owns]
+        target = padded[SIDE : len(padded) - SIDE]
+        logs = log_probabilities(weights, padded, np.where(target == vocab.edge, 0, target))
+        starts = np.cumsum([0] + [len(piece) for piece in pieces[:-1]])
+        inner = np.concatenate([start + np.arange(n) for start, n in zip(starts, sizes)])
+        terms = logs[inner].astype(np.float64) + vocab.within[np.concatenate(owns)]
+        np.add(total, np.bincount(np.repeat(rows, sizes), terms, count), out=total)
+
+    for row, (padded, places) in enumerate(texts):
+        for at in range(0, len(places), STEP):
+            own = places[at : at + STEP]
+            waiting.append((row, padded[at : at + len(own) + 2 * SIDE], own))
+            size += len(own)
+            if size >= STEP:
+                add()
+                waiting, size = [], 0
+    if waiting:
+        add()
     return total
 
 
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, n_tokens, log_prob, mean_log_prob, one row per row.
 
-    Null and empty texts have no token and 0 in all columns. Repeated rows score alike. Texts are
-    scored whole, STEP words at a time; other columns are never read. The weights depend on how the
+    Null and empty texts have no token and 0 in all columns. Repeated rows score alike, up to rounding of
+    single precision. Texts are scored whole, STEP words at a time; other columns are never read. The weights depend on how the
     rows are dealt to tasks, so that another layout gives slightly other scores.
     """
     vocab, rare, words = learned_vocabulary(corpus_counts(docs))
@@ -354,11 +372,15 @@ def pseudo_likelihood(docs: DataFrame) -> DataFrame:
         weights, vocab = unpack(flat, shared.value.side), shared.value
         known = Words(vocab)
         for batch in batches:
-            n, logs, others = [], [], []
-            for padded, places, names in sequences(batch.column("text"), known, vocab):
-                n.append(len(names))
-                logs.append(log_likelihood(weights, vocab, padded, places))
-                others.append(list(Counter(names[i] for i in np.flatnonzero(places >= known.held)).items()))
+            n, others = [], []
+
+            def each(texts: pa.Array = batch.column("text"), n: list = n, others: list = others) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                for padded, places, names in sequences(texts, known, vocab):
+                    n.append(len(names))
+                    others.append(list(Counter(names[i] for i in np.flatnonzero(places >= known.held)).items()))
+                    yield padded, places
+
+            logs = log_likelihoods(weights, vocab, each(), batch.num_rows)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(logs, pa.float64()),
