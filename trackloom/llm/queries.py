@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from trackloom.llm import decontam, fertility, language, licenses, lm_score, mixing, near_dedup, quality_crf, secrets, token_counts
+from trackloom.llm import (
+    decontam, fertility, language, licenses, lm_score, manifest, mixing, near_dedup, packing, periodic, quality_crf, secrets, token_counts,
+)
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
@@ -15,5 +17,8 @@ QUERIES = {
     "op9_decontaminate": decontam.op9_decontaminate,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op10_lm_score": lm_score.op10_lm_score,
+    "op11_merkle_manifest": manifest.op11_merkle_manifest,
+    "op12_periodic_runs": periodic.op12_periodic_runs,
+    "op13_pack_sequences": packing.op13_pack_sequences,
 }
-ORACLES = {"op8_mix_sources": mixing.OP8_SQL}
+ORACLES = {"op8_mix_sources": mixing.OP8_SQL, "op11_merkle_manifest": manifest.OP11_SQL}
