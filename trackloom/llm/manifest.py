@@ -60,7 +60,7 @@ def _climb(bits: int):
                 f"INSERT INTO nodes SELECT {level + 1}, place // 2, sha256(string_agg(node, '' ORDER BY place)) "
                 f"FROM nodes WHERE level = {level} GROUP BY place // 2"
             )
-        top = engine.execute(f"SELECT node FROM nodes WHERE level = {height}").fetchone()[0]
+        top = engine.execute(f"SELECT node FROM nodes WHERE level = {height}").fetchall()[0][0]
         found = engine.sql(
             f"""SELECT b."at", list(s.node ORDER BY k.level) AS siblings
             FROM block b CROSS JOIN (SELECT unnest(range({height})) AS level) k
