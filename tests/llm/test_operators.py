@@ -328,6 +328,52 @@ def test_private_keys_go_whole(spark):
     assert "in a sentence" in clean[10]["text"] and "some words" in clean[2]["text"]
 
 
+def test_a_key_of_ten_megabytes_on_one_line(spark):
+    """Runs parted by blanks, on the line of the header: no group may repeat, as Java recurses once a repeat."""
+    rng = random.Random(9)
+    run = lambda: "".join(rng.choices("ABCDEFGHabcdefgh0123456789+/", k=20))
+    some = " ".join(run() for _ in range(500))
+    header = "-----BEGIN PRIVATE KEY-----"
+    texts = [header + (some + " ") * 1000 + "and words", header + " " * 100_000 + some + "\tshort " + some, header + "short " + some, header + " \t" * 9]
+    clean = by_id(secrets.redact(secrets.scan_secrets(table(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)]))).collect())
+    assert [clean[i]["text"] for i in range(4)] == ["[SECRET] and words", "[SECRET]\tshort " + some, "[SECRET]short " + some, "[SECRET]" + " \t" * 9]
+
+
+def test_secrets_of_many_matches_in_one_text(spark):
+    """Spans and masks of 20,000 matches are those of plain code, in time that grows with their number."""
+    import time
+
+    one = "token=abcdefgh1é key ghp_" + "a1B2" * 10 + " pass\n"
+    texts, took = {n: one * n + "password: 1 " * 3 for n in (1_000, 10_000)}, {}
+    for n in (10, 1_000, 10_000):
+        text = texts.get(n, "token=abcdefgh")
+        began = time.time()
+        r = secrets.redact(secrets.scan_secrets(table(spark, [(1, text, "en", "s", 0)]))).collect()[0]
+        took[n] = time.time() - began
+        assert ",".join(f"{s.kind}:{s.start}:{s.end}" for s in r["spans"] if s.kind in ("assign", "access", "hex")) == _plain_spans(text)
+        if n in texts:
+            assert len(r["spans"]) == 2 * n and r["text"] == "[SECRET]é key [SECRET] pass\n" * n + "password: 1 " * 3
+    assert took[10_000] < 20 * max(0.3, took[1_000])
+    headers = "-----BEGIN PRIVATE KEY-----\n" * 3_000
+    r = secrets.redact(secrets.scan_secrets(table(spark, [(1, headers, "en", "s", 0)]))).collect()[0]
+    assert len(r["spans"]) == 3_000 and r["text"] == "[SECRET]\n" * 3_000
+
+
+def test_overlapping_spans_are_masked_once(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    text = "".join(rng.choice("abcdé \n") for _ in range(5000))
+    spans = sorted((a, 0, min(5000, a + rng.randrange(1, 90)), "x") for a in rng.sample(range(5000), 120))
+    rows = spark.createDataFrame([(text, spans)], "text string, spans array<struct<start:int,ord:int,end:int,kind:string>>")
+    want, at = "", 0
+    for a, _, b, _ in spans:
+        if a >= at:
+            want += text[at:a] + "[SECRET]"
+        at = max(at, b)
+    assert secrets.redact(rows.withColumn("spans", F.col("spans"))).first()["text"] == want + text[at:]
+
+
 def test_trigram_queries():
     for rule in secrets.RULES:
         clauses = secrets.trigram_query(rule.regex)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackloom.functions.geometry import let
+
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -27,6 +29,32 @@ def ascii_lower(text: Column) -> Column:
     )
 
 
+#: Elements of a block of `running`.
+_STRIDE = 256
+
+
+def running(values: Column, step, zero: Column) -> Column:
+    """array: step's result up to and with each element, as of a sum or a maximum (associative, `zero` its neutral).
+
+    In blocks, whose last results run on to the next ones: a plain fold that appends to its result copies it with
+    every element, which is quadratic in a long array; this copies at most a block and the list of blocks."""
+
+    def fold(array: Column, value, out) -> Column:
+        start = F.struct(zero.alias("last"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(array, start, lambda acc, v: F.struct(step(acc["last"], value(v)).alias("last"), F.concat(acc["out"], F.array(out(acc, v))).alias("out")))
+
+    def whole(array: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor(F.size(array) / _STRIDE).cast("int"))
+        blocks = F.transform(starts, lambda i: fold(F.slice(array, i * _STRIDE + 1, _STRIDE), lambda v: v, lambda acc, v: step(acc["last"], v)))
+        return let(blocks, carried)
+
+    def carried(blocks: Column) -> Column:
+        before = fold(blocks, lambda b: b["last"], lambda acc, b: acc["last"])["out"]
+        return F.flatten(F.zip_with(blocks, before, lambda b, last: F.transform(b["out"], lambda v: step(last, v))))
+
+    return let(values, whole)
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     """A non-null 64-bit key of a row's id and text: repeated rows share it, and a chance
     collision can only add candidates, which every user of the key verifies."""

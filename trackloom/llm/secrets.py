@@ -1,9 +1,9 @@
 """Operator 5: secret scans through a trigram inverted index, in DataFrame functions only.
 
 Every rule's regex is read once on the driver for the trigrams that any match must hold, as an
-OR of ANDs. Documents post the wanted trigrams that they contain, postings are intersected per
-clause, and only candidates are verified by the regex. The index is cut by document, so nothing is
-shuffled. A rule without a mandatory trigram scans every text.
+OR of ANDs. Documents post the wanted trigrams that they contain; the posting lists, trigram to narrow row
+keys, are intersected per clause by counting in how many of its lists a row stands; and only the texts of
+candidates are verified by the regex. A rule without a mandatory trigram scans every text.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import ascii_lower
+from trackloom.functions.geometry import let
+from trackloom.llm.common import ascii_lower, running
 
 try:  # the standard library's own parse tree of a regex
     from re import _constants as _c
@@ -38,11 +39,13 @@ class Rule:
 
 #: A whole private key: to its END line if no other line of five dashes comes first; else over what of its own
 #: line looks like the key, over lines of base64 or of armour headers, and over the start of the next line.
-#: Only single characters are repeated over long stretches, as Java's groups would recurse.
+#: Only single characters are repeated: a repeated group would recurse in Java, once a repeat. The end of the
+#: own line's runs of 16 or more is looked for at the ends of runs only, so that blanks are read once.
 _PEM = (
     r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
     r"(?:(?>[\s\S]*?(?=-----))-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
-    r"|(?:[\x20\t]*[A-Za-z0-9+/=\\]{16,})*"
+    r"|(?:(?=[\x20\t]*[A-Za-z0-9+/=\\]{16})[\x20\tA-Za-z0-9+/=\\]*?"
+    r"(?<=[A-Za-z0-9+/=\\])(?![A-Za-z0-9+/=\\])(?![\x20\t]*[A-Za-z0-9+/=\\]{16}))?"
     r"(?:[\x20\t]*(?=\r?\n)[\s\S]*?(?=\r?\n(?!(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID):)"
     r"[^\r\n]*?(?:[^A-Za-z0-9+/=\s]|[^\s][\x20\t]+[^\s])|(?![\s\S])))?"
     r"(?:\r?\n[\x20\t]*[A-Za-z0-9+/=]{16,})?)"
@@ -122,60 +125,62 @@ def trigram_query(regex: str) -> list[frozenset[str]]:
     return best
 
 
-def postings(low: Column, grams: list[str]) -> Column:
-    """array<string>: which of the wanted trigrams a lower-cased text holds."""
-    return F.array_compact(F.array(*(F.when(F.contains(low, F.lit(g)), F.lit(g)) for g in grams)))
+def _wanted(rules: tuple[Rule, ...]) -> list[tuple[str, str, int, int]]:
+    """(gram, rule, clause, least) of every clause of the rules: bounded by the rules alone."""
+    return [(g, rule.kind, k, len(clause)) for rule in rules for k, clause in enumerate(trigram_query(rule.regex)) for g in sorted(clause)]
+
+
+def _row() -> dict[str, Column]:
+    """128 bits of a row's id and text; repeated rows share them, and rows that did so by chance would only be
+    verified for each other's rules too."""
+    return {"__a": F.xxhash64("doc_id", "text"), "__b": F.xxhash64(F.lit("row"), "text", "doc_id")}
+
+
+def postings(docs: DataFrame, grams: list[str]) -> DataFrame:
+    """The inverted index: (gram, __a, __b) for each of the wanted trigrams and each row whose lower-cased text
+    holds it; a null text holds none."""
+    low = docs.select(*(c.alias(name) for name, c in _row().items()), ascii_lower(F.col("text")).alias("__low"))
+    held = F.array_compact(F.array(*(F.when(F.contains("__low", F.lit(g)), F.lit(g)) for g in grams)))
+    return low.select(F.explode(held).alias("gram"), "__a", "__b")
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with `__rules`: the rules of which the row meets a clause, null text none.
 
-    The index is cut by document: a row's share of every posting list is an array of the few wanted
-    trigrams that it holds, as bounded as the rules. A clause intersects that array, in the row, so
-    neither a posting list nor a text is ever sent anywhere.
+    A clause's posting lists are intersected by counting: a row meets it if it stands in all of them. Lists are
+    dealt out by row, narrow as they are, so that no list, however long, is in one place; the rows that meet a
+    clause are then joined to their texts.
     """
-    wanted = {rule.kind: trigram_query(rule.regex) for rule in rules}
-    grams = sorted({g for clauses in wanted.values() for clause in clauses for g in clause})
-    if not grams:
+    wanted = _wanted(rules)
+    if not wanted:
         return docs.withColumn("__rules", F.array().cast("array<string>"))
-    tests = []
-    for kind, clauses in wanted.items():
-        met = F.lit(False)
-        for clause in clauses:
-            asked = F.array(*(F.lit(g) for g in sorted(clause)))
-            met = met | (F.size(F.array_intersect("__grams", asked)) == len(clause))
-        tests.append(F.when(met, F.lit(kind)))
-    lowered = docs.withColumn("__low", F.coalesce(ascii_lower(F.col("text")), F.lit("")))
-    held = lowered.withColumn("__grams", postings(F.col("__low"), grams)).drop("__low")
-    return held.withColumn("__rules", F.array_compact(F.array(*tests))).drop("__grams")
+    clauses = docs.sparkSession.createDataFrame(wanted, "gram string, __rule string, __clause int, __least int")
+    lists = postings(docs, sorted({g for g, *_ in wanted})).join(F.broadcast(clauses), "gram").repartition("__a", "__b")
+    met = lists.groupBy("__a", "__b", "__rule", "__clause", "__least").agg(F.collect_set("gram").alias("__grams"))
+    met = met.filter(F.size("__grams") == F.col("__least")).groupBy("__a", "__b").agg(F.collect_set("__rule").alias("__rules"))
+    out = docs.withColumns(_row()).join(met, ["__a", "__b"], "left").drop("__a", "__b")
+    return out.withColumn("__rules", F.coalesce("__rules", F.array().cast("array<string>")))
 
 
 def _spans(text: Column, rule: Rule, order: int) -> Column:
-    """array<struct<start, order, end, kind>> of a rule's matches, in code points.
-
-    Pieces between matches and the matches themselves alternate, so that running lengths give
-    every start without any position function."""
-    found = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0))
-    kept = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(rule.group))
-    lengths = F.transform(found, lambda m: F.length(m))
-    gaps = F.transform(F.split(text, rule.regex, -1), lambda p: F.length(p))
-    sizes = F.transform(kept, lambda m: F.length(m))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,ord:int,end:int,kind:string>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + x["len"]
-        one = F.array(F.struct(start.alias("start"), F.lit(order).alias("ord"), end.alias("end"), F.lit(rule.kind).alias("kind")))
-        return F.struct(
-            end.alias("at"),
-            F.when(x["size"] >= rule.least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"),
+    """array<struct<start, ord, end, kind>> of a rule's matches, in code points.
+
+    Pieces between matches and the matches themselves alternate, so that running lengths give every start
+    without any position function. The three arrays are worked out once and bound before any lambda reads them."""
+    lengths = lambda found: F.transform(found, lambda m: F.length(m))
+    found = lengths(F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0)))
+    sizes = lengths(F.regexp_extract_all(text, F.lit(rule.regex), F.lit(rule.group))) if rule.group else found
+    gaps = lengths(F.split(text, rule.regex, -1))
+
+    def placed(b: Column) -> Column:
+        moves = F.zip_with(F.slice(b["gap"], 1, F.size(b["len"])), b["len"], lambda gap, n: gap + n)
+        ends = running(moves, lambda total, n: total + n, F.lit(0))
+        rows = F.filter(F.arrays_zip(ends.alias("end"), b["len"].alias("len"), b["size"].alias("size")), lambda x: x["size"] >= rule.least)
+        return F.transform(
+            rows, lambda x: F.struct((x["end"] - x["len"]).alias("start"), F.lit(order).alias("ord"), x["end"].alias("end"), F.lit(rule.kind).alias("kind"))
         )
 
-    zipped = F.transform(
-        lengths,
-        lambda n, i: F.struct(n.alias("len"), F.get(gaps, i).alias("gap"), F.get(sizes, i).alias("size")),
-    )
-    return F.aggregate(zipped, zero, step, lambda acc: acc["out"])
+    return let(F.struct(found.alias("len"), gaps.alias("gap"), sizes.alias("size")), placed)
 
 
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -183,8 +188,8 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     Null text counts as empty and has no spans; repeated rows each get the same spans; spans of
     different kinds may overlap. Texts of any length are scanned whole, and an empty table gives an
-    empty one. All columns of `docs` stay, but for `spans`, which is replaced, and `__low`, `__grams`
-    and `__rules`, which are dropped.
+    empty one. All columns of `docs` stay, but for `spans`, which is replaced; names
+    that start with two underscores are the scan's own.
     """
     indexed = [r for r in rules if trigram_query(r.regex)]
     found = candidates(docs, rules)
@@ -194,23 +199,40 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     for order, rule in enumerate(rules):
         hit = F.array_contains("__rules", rule.kind) if rule in indexed else text.rlike(rule.regex)
         parts.append(F.when(hit, _spans(text, rule, order)).otherwise(none))
-    spans = F.array_sort(F.concat(*parts))
-    return found.withColumn("spans", spans).drop("__rules")
+    return found.withColumn("spans", F.array_sort(F.concat(*parts))).drop("__rules")
+
+
+#: Characters of a block of a text; a piece is cut out of its blocks, not counted off from the text's start.
+_BLOCK = 1024
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """scan_secrets' rows with every span (overlaps merged) of `text` replaced by `mark`."""
+    """scan_secrets' rows with every span (overlaps merged) of `text` replaced by `mark`. Time grows with the
+    text and its spans, not with their product."""
     text = F.col("text")
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substr(text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.when(
-            s["start"] >= acc["at"],
-            F.struct(s["end"].alias("at"), F.concat(acc["out"], gap, F.lit(mark)).alias("out")),
-        ).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
+    def piece(blocks: Column, start: Column, end: Column) -> Column:
+        first, last = F.floor(start / _BLOCK).cast("int"), F.floor(end / _BLOCK).cast("int")
+        block = lambda i: F.coalesce(F.get(blocks, i), F.lit(""))
+        at, to = (start % _BLOCK + 1).cast("int"), (end % _BLOCK).cast("int")
+        within = F.substr(block(first), at, (end - start).cast("int"))
+        across = F.concat(F.substr(block(first), at), F.array_join(F.slice(blocks, first + 2, last - first - 1), ""), F.substr(block(last), F.lit(1), to))
+        return F.when(first == last, within).otherwise(across)
+
+    def cleaned(b: Column) -> Column:
+        # A span starts a mark unless the furthest end of those before it lies beyond its start.
+        ends = F.concat(F.array(F.lit(0)), running(F.transform(b["spans"], lambda s: s["end"]), F.greatest, F.lit(0)))
+
+        def joined(ends: Column) -> Column:
+            starts = F.transform(b["spans"], lambda s: s["start"])
+            rows = F.filter(F.zip_with(F.slice(ends, 1, F.size(starts)), starts, lambda e, s: F.struct(e.alias("e"), s.alias("s"))), lambda x: x["s"] >= x["e"])
+            marked = F.transform(rows, lambda x: F.concat(piece(b["blocks"], x["e"], x["s"]), F.lit(mark)))
+            return F.concat(F.array_join(marked, ""), piece(b["blocks"], F.element_at(ends, -1), b["n"]))
+
+        return let(ends, joined)
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0))
+    clean = let(F.struct(F.col("spans").alias("spans"), blocks.alias("blocks"), F.length(text).alias("n")), cleaned)
     return docs.withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(text))
 
 
