@@ -356,7 +356,7 @@ def test_secrets_of_many_matches_in_one_text(spark):
     assert took[10_000] < 20 * max(0.3, took[1_000])
     headers = "-----BEGIN PRIVATE KEY-----\n" * 3_000
     r = secrets.redact(secrets.scan_secrets(table(spark, [(1, headers, "en", "s", 0)]))).collect()[0]
-    assert len(r["spans"]) == 3_000 and r["text"] == "[SECRET]\n" * 3_000
+    assert len(r["spans"]) == 3_000 and r["text"].split("\n") == ["[SECRET]"] * 3_000
 
 
 def test_overlapping_spans_are_masked_once(spark):
