@@ -46,26 +46,3 @@ def after_cooldown(events: Column, cooldown: int, kind: str) -> Column:
         ).otherwise(acc),
         lambda acc: acc["out"],
     )
-
-
-def match_once(seekers: Column, frames: Column, low: int, high: int, nearest_last: bool, taken: Column) -> Column:
-    """Seekers (structs with `frame`, in order) each take one free frame of a sorted array within
-    [frame + low, frame + high]: the last such frame if nearest_last, else the first.
-
-    Returns array<struct<seeker int, frame int>> of the matches, `seeker` counting from 0; `taken`
-    holds frames that are not free."""
-    start = F.struct(F.lit(0).alias("i"), F.array().cast("array<struct<seeker:int,frame:int>>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        free = F.filter(
-            frames,
-            lambda f: (f >= s["frame"] + low)
-            & (f <= s["frame"] + high)
-            & ~F.exists(acc["out"], lambda m: m["frame"] == f)
-            & ~F.array_contains(taken, f),
-        )
-        pick = F.array_max(free) if nearest_last else F.array_min(free)
-        hit = F.array(F.struct(acc["i"].alias("seeker"), pick.cast("int").alias("frame")))
-        return F.struct((acc["i"] + 1).alias("i"), F.when(F.size(free) > 0, F.concat(acc["out"], hit)).otherwise(acc["out"]).alias("out"))
-
-    return F.aggregate(seekers, start, step, lambda acc: acc["out"])

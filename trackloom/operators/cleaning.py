@@ -68,9 +68,10 @@ def _clean_once(points: DataFrame, c: Config) -> DataFrame:
     p = p.withColumn("spike", F.col("spike") | F.coalesce(inner & fast, F.lit(False)))
     # Runs of several flagged points are motion, not spikes. A first point is never flagged.
     calm = F.when(~F.col("spike"), F.col("k"))
-    start = F.last(calm, True).over(by_frame())
-    end = F.coalesce(F.first(calm, True).over(by_frame().rowsBetween(0, Window.unboundedFollowing)), F.col("n"))
-    gone = F.col("spike") & (end - start - 1 < c.longest_spike) & (F.col("n") >= 4)
+    # A run hangs on the calm point before it, so the rows of one start are that point and the run.
+    p = p.withColumn("start", F.last(calm, True).over(by_frame()))
+    run = F.count("*").over(Window.partitionBy("video_id", "start")) - 1
+    gone = F.col("spike") & (run < c.longest_spike) & (F.col("n") >= 4)
     return p.withColumn("gone", gone).filter("NOT gone").select("video_id", "frame", "x", "y", "typical")
 
 

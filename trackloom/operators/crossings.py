@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import partial
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.config import CONFIG, Config
-from trackloom.functions.folds import after_cooldown, match_once
+from trackloom.functions.folds import after_cooldown
 from trackloom.functions.series import by_frame
+from trackloom.functions.sweeps import claims, swept
 
 _CROSSING = "struct<trigger:int,frame:int,direction:string,cross_x:double,clearance:double>"
 
@@ -65,19 +68,16 @@ def net_faults(crossings: DataFrame, frames: DataFrame, nets: DataFrame, net_cen
 def apply_crossing_owners(hits: DataFrame, crossings: DataFrame, config: Config = CONFIG) -> DataFrame:
     """Crossings in order each claim the nearest unclaimed hit before them for the hitter's side; then
     each the first unclaimed hit after them for the receiver's. Claimed hits become `peaks_crossed`."""
-    reach = config.crossing_lookback
-    seekers = crossings.groupBy("video_id").agg(
-        F.array_sort(F.collect_list(F.struct("frame", "trigger", "hitter_side", "receiver_side"))).alias("seekers")
-    )
-    frames = hits.groupBy("video_id").agg(F.array_sort(F.collect_list("frame")).alias("frames"))
-    both = frames.join(seekers, "video_id")
-    none = F.array().cast("array<int>")
-    both = both.withColumn("before", match_once(F.col("seekers"), F.col("frames"), -reach, -1, True, none))
-    taken = F.transform("before", lambda m: m["frame"])
-    both = both.withColumn("after", match_once(F.col("seekers"), F.col("frames"), 1, reach, False, taken))
-    side = lambda which, name: F.transform(which, lambda m: F.struct(m["frame"].alias("frame"), F.get(F.col("seekers"), m["seeker"])[name].alias("side")))
-    claims = both.select("video_id", F.explode(F.concat(side("before", "hitter_side"), side("after", "receiver_side"))).alias("c"))
-    claimed = hits.join(claims.select("video_id", "c.frame", "c.side"), ["video_id", "frame"], "left")
+    side = lambda c: F.col(c) if c in crossings.columns else F.lit(None)
+    seekers = crossings.select("video_id", "frame", "hitter_side", "receiver_side", side("trigger").cast("int").alias("trigger"), F.lit(0).alias("kind"))
+    none = F.lit(None).cast("string")
+    sought = hits.select("video_id", "frame", none.alias("hitter_side"), none.alias("receiver_side"), F.lit(None).cast("int").alias("trigger"), F.lit(1).alias("kind"))
+    # The window asks for a video's rows together and in order, and so the sweep has them.
+    order = ["frame", "kind", "trigger", "hitter_side"]
+    wait = F.col("frame") - F.lag("frame").over(Window.partitionBy("video_id").orderBy(*order))
+    events = seekers.unionByName(sought).withColumn("wait", wait)
+    found = swept(events.sortWithinPartitions("video_id", *order), partial(claims, config.crossing_lookback), "video_id string, frame int, side string")
+    claimed = hits.join(found, ["video_id", "frame"], "left")
     got = F.col("side").isNotNull()
     return claimed.withColumns({
         "owner": F.coalesce("side", "owner"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.config import CONFIG, Config
+from trackloom.functions.intervals import inside
 from trackloom.functions.series import by_frame, angle, distance, numbered
 from trackloom.operators.cleaning import percentile_by_rank
 
@@ -54,12 +55,10 @@ def judged_points(cleaned: DataFrame, params: DataFrame, wrists: DataFrame | Non
     if wrists is not None:
         near = low.join(wrists, ["video_id", "frame"]).filter(distance(F.col("wx"), F.col("wy"), F.col("x"), F.col("y")) < c.wrist_floor_bypass)
         low = low.join(near.select("video_id", "frame"), ["video_id", "frame"], "left_anti")
-    # The few points near the floor look ahead as far as their video says: an equi-join with a range.
-    a, b = low.alias("a"), cleaned.select("video_id", "frame", "y").alias("b")
-    ahead = (F.col("a.video_id") == F.col("b.video_id")) & (F.col("b.frame") > F.col("a.frame")) & (F.col("b.frame") <= F.col("a.frame") + F.col("near_future"))
-    floor = a.join(b, ahead).groupBy("a.video_id", "a.frame").agg(
-        (F.min("b.y") > F.first("a.y") - F.first("min_floor_drop")).alias("floor")
-    )
+    # The few points near the floor look ahead as far as their video says.
+    low = low.withColumnsRenamed({"frame": "at", "y": "low_y"}).drop("x")
+    ahead = inside(cleaned.select("video_id", "frame", "y"), low, F.col("at") + 1, F.col("at") + F.col("near_future"))
+    floor = ahead.groupBy("video_id", "at").agg((F.min("y") > F.first("low_y") - F.first("min_floor_drop")).alias("floor")).withColumnRenamed("at", "frame")
     p = p.join(floor, ["video_id", "frame"], "left")
     dropped = F.coalesce(F.col("early"), F.when(F.col("floor"), "floor"), F.when(F.col("apex"), "apex"))
     return p.select("video_id", "frame", "x", "y", "impulse", dropped.alias("dropped"))

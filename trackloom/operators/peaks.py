@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.config import CONFIG, Config
 from trackloom.functions.folds import keep_apart, strongest_apart
 from trackloom.functions.series import by_frame, video
-from trackloom.functions.stages import keep
+from trackloom.functions.sweeps import prominent_maxima, swept
 
 _EVENT = "struct<frame:int,score:double>"
 
@@ -25,13 +25,16 @@ def fences(scores: DataFrame, config: Config = CONFIG) -> DataFrame:
 
 
 def suppressed(scores: DataFrame, config: Config = CONFIG) -> DataFrame:
-    """Dense scores with `work` (0 beyond the fence) and `height`, the least height of a peak."""
-    s = scores.join(fences(scores, config).select("video_id", "fence"), "video_id")
-    s = s.withColumn("work", F.when(F.col("score") > F.col("fence"), 0.0).otherwise(F.col("score")))
-    beyond = F.max((F.col("score") > F.col("fence")).cast("int")).over(video()) == 1
-    top = F.when(beyond, F.col("fence")).otherwise(F.max("work").over(video()))
+    """Dense scores with `work` (0 beyond the fence) and `height`, the least height of a peak: the rule of
+    `fences` over each video's window, so that the series is read once."""
+    scored, beyond = F.when(F.col("score") > 0, F.col("score")), F.col("score") > F.col("fence")
+    s = scores.withColumns({"scored": F.count(scored).over(video()), "q": F.percentile(scored, F.array(F.lit(0.25), F.lit(0.75))).over(video())})
+    spread = F.col("q")[1] - F.col("q")[0]
+    s = s.withColumn("fence", F.when((F.col("scored") >= 6) & (spread > 1e-6), F.col("q")[1] + config.fence_iqr * spread)).filter("scored > 0")
+    s = s.withColumn("work", F.when(beyond, 0.0).otherwise(F.col("score")))
+    top = F.when(F.max(beyond.cast("int")).over(video()) == 1, F.col("fence")).otherwise(F.max("work").over(video()))
     # Without any score left there is no peak, whatever the fence.
-    return s.withColumn("height", F.when(F.max("work").over(video()) > 0, top * config.peak_threshold_ratio)).drop("fence")
+    return s.withColumn("height", F.when(F.max("work").over(video()) > 0, top * config.peak_threshold_ratio)).drop("fence", "q", "scored")
 
 
 def local_maxima(series: DataFrame, value: str = "work") -> DataFrame:
@@ -50,47 +53,34 @@ def local_maxima(series: DataFrame, value: str = "work") -> DataFrame:
 
 
 def apart(peaks: DataFrame, params: DataFrame) -> DataFrame:
-    """Peaks (video_id, frame, score), the highest first and of equals the latest, dropping those under
-    their video's peak_distance from a kept one."""
-    lists = peaks.groupBy("video_id").agg(
-        F.expr("transform(array_sort(collect_list(struct(-score AS s, -frame AS f))), e -> struct(-e.f AS frame, -e.s AS score))").alias("events")
-    )
-    kept = lists.join(params.select("video_id", "peak_distance"), "video_id").select(
-        "video_id", F.explode(keep_apart(F.col("events"), F.col("peak_distance"), _EVENT)).alias("e")
-    )
-    return kept.select("video_id", "e.frame", "e.score")
+    """Peaks (video_id, frame, score, prominence if there is one), the highest first and of equals the latest,
+    dropping those under their video's peak_distance from a kept one."""
+    rest = [c for c in ("prominence",) if c in peaks.columns]
+    kind = "struct<" + ",".join(["frame:int,score:double", *(f"{c}:double" for c in rest)]) + ">"
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), (-F.col("frame")).alias("f"), *rest)))
+    lists = peaks.groupBy("video_id").agg(ordered.alias("events")).join(params.select("video_id", "peak_distance"), "video_id")
+    events = F.transform("events", lambda e: F.struct((-e["f"]).alias("frame"), (-e["s"]).alias("score"), *(e[c].alias(c) for c in rest)))
+    kept = lists.select("video_id", F.explode(keep_apart(events, F.col("peak_distance"), kind)).alias("e"))
+    return kept.select("video_id", "e.*")
+
+
+def ridges(series: DataFrame, value: str = "work", height: str | None = None) -> DataFrame:
+    """(video_id, frame, value, prominence, height) of the strict local maxima of a dense series that is never
+    negative: height over the higher of the two lowest values on the way to a higher sample or the series'
+    end on each side. A stack takes a video in one pass; `height` is a column that is carried along.
+
+    The windows leave a video's rows together and in order, and the sort says so.
+    """
+    v = F.col(value)
+    s = series.select("video_id", "frame", v.alias("v"), (F.col(height) if height else F.lit(None)).cast("double").alias("height"))
+    s = s.withColumns({"before": F.lag("v").over(by_frame()), "after": F.lead("v").over(by_frame())}).filter("v > 0")
+    found = swept(s.sortWithinPartitions("video_id", "frame"), prominent_maxima, "video_id string, frame int, v double, prominence double, height double")
+    return found.withColumnRenamed("v", value)
 
 
 def prominences(peaks: DataFrame, series: DataFrame, value: str = "work") -> DataFrame:
-    """peaks with `prominence`: height over the higher of the two lowest values on the way to a higher
-    sample or the series' end on each side.
-
-    Scores are mostly 0, and the way ends at 0 or within the peak's own stretch of non-zero samples,
-    so a peak is joined with its stretch only.
-    """
-    v = F.col(value)
-    first, last = F.min("frame").over(video()), F.max("frame").over(video())
-    stretched = series.select(
-        "video_id", "frame", v.alias("v"), F.sum((v == 0).cast("int")).over(by_frame()).alias("stretch"), first.alias("first"), last.alias("last")
-    ).filter("v > 0")
-    own = peaks.join(stretched.select("video_id", "frame", "stretch"), ["video_id", "frame"])
-    near = own.withColumnRenamed("frame", "peak").join(stretched, ["video_id", "stretch"])
-    higher = F.col("v") > F.col("score")
-    lo = F.max(F.when(higher & (F.col("frame") < F.col("peak")), F.col("frame")))
-    hi = F.min(F.when(higher & (F.col("frame") > F.col("peak")), F.col("frame")))
-    edges = near.groupBy("video_id", "stretch", "peak").agg(lo.alias("lo"), hi.alias("hi"))
-    near = near.join(edges, ["video_id", "stretch", "peak"])
-    left = F.min(F.when((F.col("frame") <= F.col("peak")) & (F.col("lo").isNull() | (F.col("frame") > F.col("lo"))), F.col("v")))
-    right = F.min(F.when((F.col("frame") >= F.col("peak")) & (F.col("hi").isNull() | (F.col("frame") < F.col("hi"))), F.col("v")))
-    sides = near.groupBy("video_id", "peak", "score").agg(
-        left.alias("left"), right.alias("right"), F.first("lo").alias("lo"), F.first("hi").alias("hi"),
-        F.min("frame").alias("from"), F.max("frame").alias("to"), F.first("first").alias("first"), F.first("last").alias("last"),
-    )
-    base = F.greatest(
-        F.when(F.col("lo").isNull() & (F.col("from") > F.col("first")), 0.0).otherwise(F.col("left")),
-        F.when(F.col("hi").isNull() & (F.col("to") < F.col("last")), 0.0).otherwise(F.col("right")),
-    )
-    return sides.select("video_id", F.col("peak").alias("frame"), "score", (F.col("score") - base).alias("prominence"))
+    """peaks, local maxima of the series, with their `prominence` in it."""
+    return peaks.select("video_id", "frame", "score").join(ridges(series, value).select("video_id", "frame", "prominence"), ["video_id", "frame"])
 
 
 def strongest(peaks: DataFrame, gap: int = CONFIG.nms_frames) -> DataFrame:
@@ -101,11 +91,9 @@ def strongest(peaks: DataFrame, gap: int = CONFIG.nms_frames) -> DataFrame:
 
 def find_peaks(scores: DataFrame, params: DataFrame, config: Config = CONFIG) -> DataFrame:
     """(video_id, frame, score): fence, local maxima of enough height, distance, prominence, then the stronger of neighbours."""
-    work = keep(suppressed(scores, config))
-    tall = local_maxima(work).join(work.select("video_id", "height").distinct(), "video_id").filter("work >= height")
-    far = keep(apart(tall.select("video_id", "frame", F.col("work").alias("score")), params))
-    prominent = prominences(far, work).filter(F.col("prominence") >= config.prominence)
-    return strongest(prominent.select("video_id", "frame", "score"), config.nms_frames)
+    tall = ridges(suppressed(scores, config), "work", "height").filter("work >= height")
+    far = apart(tall.withColumnRenamed("work", "score"), params)
+    return strongest(far.filter(F.col("prominence") >= config.prominence), config.nms_frames)
 
 
 def candidates(peaks: DataFrame, frames: DataFrame, videos: DataFrame, owner_y: DataFrame) -> DataFrame:

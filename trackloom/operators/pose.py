@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trackloom.config import CONFIG, Config
 from trackloom.functions.folds import keep_apart
+from trackloom.functions.intervals import inside
 from trackloom.functions.series import by_frame, distance
 from trackloom.operators.peaks import fences
 
@@ -113,12 +114,12 @@ def apply_pose_owners(hits: DataFrame, wrists: DataFrame, owner_y: DataFrame) ->
 def near_misses(scores: DataFrame, hits: DataFrame, params: DataFrame, band: tuple[float, float] = CONFIG.near_miss, config: Config = CONFIG) -> DataFrame:
     """(video_id, frame, score) scored within a band of the reference height, away from all hits."""
     ref = fences(scores, config).select("video_id", F.coalesce("fence", "top").alias("ref"))
-    s = scores.filter("score > 0").join(ref, "video_id").join(params.select("video_id", "peak_distance"), "video_id")
-    s = s.filter((F.col("score") >= F.col("ref") * band[0]) & (F.col("score") < F.col("ref") * band[1]))
-    taken = hits.select("video_id", F.explode(F.array(F.col("frame"), F.col("frame") + 1)).alias("hit"))
-    a, b = s.alias("a"), taken.alias("b")
-    close = (F.col("a.video_id") == F.col("b.video_id")) & (F.abs(F.col("a.frame") - F.col("b.hit")) <= F.col("a.peak_distance") + 3)
-    return a.join(b, close, "left_anti").select("video_id", "frame", "score")
+    s = scores.filter("score > 0").join(ref, "video_id")
+    s = s.filter((F.col("score") >= F.col("ref") * band[0]) & (F.col("score") < F.col("ref") * band[1])).select("video_id", "frame", "score")
+    # A hit blocks its own frame and the next one.
+    taken = hits.select("video_id", F.col("frame").alias("hit")).join(params.select("video_id", "peak_distance"), "video_id")
+    reach = F.col("peak_distance") + 3
+    return inside(s, taken, F.col("hit") - reach, F.col("hit") + 1 + reach, "left_anti")
 
 
 def rescue_hits(

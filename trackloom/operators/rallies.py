@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trackloom.config import CONFIG, Config
 from trackloom.functions.geometry import drop_place, drop_verdict, half_distances, project_pixel
+from trackloom.functions.intervals import inside
 from trackloom.functions.series import by_frame, angle, distance
 
 
@@ -50,9 +51,7 @@ def landings(last: DataFrame, points: DataFrame, videos: DataFrame) -> DataFrame
         (F.col("frame") + F.greatest(F.lit(3), (F.col("fps") * 0.1).cast("int"))).alias("lo"),
         F.least(F.col("frame") + (F.col("fps") * 5).cast("int"), F.col("n_frames")).alias("hi"),
     )
-    a, b = h.alias("a"), points.select("video_id", "frame", "x", "y").alias("b")
-    within = (F.col("a.video_id") == F.col("b.video_id")) & (F.col("b.frame") >= F.col("a.lo")) & (F.col("b.frame") < F.col("a.hi"))
-    p = a.join(b, within).select("a.*", F.col("b.frame").alias("frame"), F.col("b.x").alias("x"), F.col("b.y").alias("y"))
+    p = inside(points.select("video_id", "frame", "x", "y"), h, F.col("lo"), F.col("hi") - 1)
     rally = Window.partitionBy("video_id", "rally")
     order = rally.orderBy("frame")
     at = lambda c, j: F.lead(c, j).over(order) if j > 0 else F.lag(c, -j).over(order)
@@ -98,10 +97,14 @@ def drop_marks(frames: DataFrame, drops: DataFrame, rallied: DataFrame) -> DataF
     rally's first hit, or the video's end; of overlapping marks the later drop's.
 
     drops(video_id, frame, rally_idx)."""
-    starts = rallied.filter("rally > 1").groupBy("video_id", "rally").agg(F.min("frame").alias("start"))
-    a, b = drops.select("video_id", "frame", "rally_idx").alias("a"), starts.alias("b")
-    ends = a.join(b, (F.col("a.video_id") == F.col("b.video_id")) & (F.col("b.start") > F.col("a.frame")), "left")
-    spans = ends.groupBy("a.video_id", "a.frame", "a.rally_idx").agg(F.min("b.start").alias("until"))
-    f, s = frames.select("video_id", "frame").alias("f"), spans.alias("s")
-    shown = (F.col("f.video_id") == F.col("s.video_id")) & (F.col("f.frame") >= F.col("s.frame")) & (F.col("s.until").isNull() | (F.col("f.frame") < F.col("s.until")))
-    return f.join(s, shown).groupBy("f.video_id", "f.frame").agg(F.max("s.rally_idx").alias("rally_idx"))
+    starts = rallied.filter("rally > 1").groupBy("video_id", "rally").agg(F.min("frame").alias("frame"))
+    marks = drops.select("video_id", "frame", "rally_idx", F.lit(None).cast("int").alias("start"))
+    events = marks.unionByName(starts.select("video_id", "frame", F.lit(None).cast("int").alias("rally_idx"), F.col("frame").alias("start")))
+    # At one frame a start comes before a drop: the next start is a later frame's.
+    after = Window.partitionBy("video_id").orderBy(F.desc("frame"), F.desc_nulls_last("rally_idx"))
+    spans = events.withColumn("until", F.last("start", True).over(after.rowsBetween(Window.unboundedPreceding, -1))).filter("rally_idx IS NOT NULL").withColumnRenamed("frame", "from")
+    dense = frames.select("video_id", "frame")
+    last = dense.groupBy("video_id").agg(F.max("frame").alias("last"))
+    spans = spans.join(last, "video_id").select("video_id", "from", "rally_idx", F.coalesce(F.col("until") - 1, F.col("last")).alias("to"))
+    shown = inside(dense, spans, F.col("from"), F.col("to"))
+    return shown.groupBy("video_id", "frame").agg(F.max("rally_idx").alias("rally_idx"))

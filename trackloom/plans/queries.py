@@ -31,7 +31,7 @@ class Clip:
 
     @property
     def videos(self):
-        return self._get("videos", lambda: adapters.videos_of(self.frames, EVENTS))
+        return self._get("videos", lambda: adapters.videos_of(self.frames, EVENTS), kept=False)
 
     @property
     def points(self):
@@ -43,11 +43,11 @@ class Clip:
 
     @property
     def params(self):
-        return self._get("params", lambda: cleaning.adaptive_parameters(self.cleaned, self.videos))
+        return self._get("params", lambda: cleaning.adaptive_parameters(self.cleaned, self.videos), kept=False)
 
     @property
     def judged(self):
-        return self._get("judged", lambda: impulse.judged_points(self.cleaned, self.params))
+        return self._get("judged", lambda: impulse.judged_points(self.cleaned, self.params), kept=False)
 
     @property
     def scores(self):
@@ -59,7 +59,7 @@ class Clip:
 
     @property
     def crossings(self):
-        return self._get("crossings", lambda: crossings.net_crossings(self.frames, self.videos, self.nets))
+        return self._get("crossings", lambda: crossings.net_crossings(self.frames, self.videos, self.nets), kept=False)
 
     @property
     def owner_y(self):
@@ -67,7 +67,7 @@ class Clip:
 
     @property
     def peaks(self):
-        return self._get("peaks", lambda: peaks.find_peaks(self.scores, self.params))
+        return self._get("peaks", lambda: peaks.find_peaks(self.scores, self.params), kept=False)
 
     @property
     def hits(self):
@@ -75,11 +75,11 @@ class Clip:
 
     @property
     def rallied(self):
-        return self._get("rallied", lambda: rallies.rallies(self.hits, self.videos))
+        return self._get("rallied", lambda: rallies.rallies(self.hits, self.videos), kept=False)
 
     @property
     def landed(self):
-        return self._get("landed", lambda: rallies.landings(rallies.last_hits(rallies.alternate_owners(self.rallied)), self.points, self.videos))
+        return self._get("landed", lambda: rallies.landings(rallies.last_hits(rallies.alternate_owners(self.rallied)), self.points, self.videos), kept=False)
 
     @property
     def maps(self):
@@ -87,7 +87,7 @@ class Clip:
 
     @property
     def drops(self):
-        return self._get("drops", lambda: rallies.judge_drops(self.landed, self.maps))
+        return self._get("drops", lambda: rallies.judge_drops(self.landed, self.maps), kept=False)
 
     @property
     def pose(self):
@@ -95,11 +95,11 @@ class Clip:
 
     @property
     def wrists(self):
-        return self._get("wrists", lambda: pose.nearest_wrists(self.hits, self.frames, pose.pose_window(self.pose, self.hits, self.videos), self.videos))
+        return self._get("wrists", lambda: pose.nearest_wrists(self.hits, self.frames, pose.pose_window(self.pose, self.hits, self.videos), self.videos), kept=False)
 
     @property
     def on_map(self):
-        return self._get("on_map", lambda: players.minimap_players(self.pose, self.maps))
+        return self._get("on_map", lambda: players.minimap_players(self.pose, self.maps), kept=False)
 
     @property
     def view(self):
