@@ -114,6 +114,7 @@ def fault_rows(faults: DataFrame) -> DataFrame:
 def timeline_rows(faults: DataFrame) -> DataFrame:
     """Faults as a time line shows them."""
     sec = F.col("time_sec").cast("int")
+    # The published texts.
     return faults.select(
         "video_id", sec.alias("timestamp"), F.format_string("%02d:%02d", F.floor(sec / 60).cast("int"), sec % 60).alias("displayTime"),
         F.lit("NET_FAULT").alias("eventType"), F.lit("네트 걸림").alias("eventTitle"),
@@ -175,6 +176,27 @@ def callbacks(videos: DataFrame, hits: DataFrame, faults: DataFrame, requests: D
     return p.select("video_id", body.alias("body"))
 
 
+def summaries(videos: DataFrame, hits: DataFrame, faults: DataFrame | None = None) -> DataFrame:
+    """(video_id, summary): a text of each video, also of those without a hit: how many hits and faults there are, a
+    line per hit by number and, where there are any, a line per fault by time."""
+    # The published texts.
+    counted = "  타점 수             : {}개", "  네트 걸림           : {}건"
+    top, bottom, wide, thin = "상단(블루)", "하단(골드)", "═" * 55, "─" * 55
+    listed = lambda line, *order: F.array_sort(F.collect_list(F.struct(*order, line.alias("line"))))
+    one = F.format_string("    #%02d  %6.2fs  %s", "hit_number", "time_sec", F.when(F.col("owner") == "top", top).otherwise(bottom))
+    d = videos.select("video_id").join(hits.groupBy("video_id").agg(listed(one, "hit_number").alias("h")), "video_id", "left")
+    if faults is None:
+        d = d.withColumn("f", F.lit(None).cast("array<struct<time_sec:double,frame:int,line:string>>"))
+    else:
+        one = F.format_string("    %6.2fs  clearance=%+.1fpx  shuttle_y=%.1f  net_y=%.1f", "time_sec", "clearance_px", "shuttle_y", "net_top_y_at_x")
+        d = d.join(faults.groupBy("video_id").agg(listed(one, "time_sec", "frame").alias("f")), "video_id", "left")
+    lines = lambda c: F.transform(F.coalesce(c, F.array()), lambda x: x["line"])
+    count = lambda text, c: F.concat(F.lit(text.split("{}")[0]), F.coalesce(F.size(c), F.lit(0)).cast("string"), F.lit(text.split("{}")[1]))
+    head = F.array(F.lit(wide), F.concat(F.lit("  "), "video_id"), F.lit(wide), count(counted[0], "h"), count(counted[1], "f"), F.lit(thin))
+    told = F.when(F.size("f") > 0, F.concat(F.array(F.lit(thin), F.lit("  [NET_FAULT]")), lines(F.col("f")))).otherwise(F.array())
+    return d.select("video_id", F.array_join(F.concat(head, lines(F.col("h")), told, F.array(F.lit(wide))), "\n").alias("summary"))
+
+
 def failures(failed: DataFrame) -> DataFrame:
     """failed(video_id, error) -> (video_id, body): the message of each video that could not be analysed."""
     error = F.to_json(F.struct(F.coalesce(F.col("error").cast("string"), F.lit("")).alias("error")))

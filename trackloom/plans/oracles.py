@@ -318,6 +318,36 @@ _STEPS |= {
 }
 
 
+# Nets of the calibrated videos; a sloped net's crossings follow the same steps as a level one's.
+_STEPS |= {
+    "cal": """
+  SELECT video_id, (yr - yl) / (xr - xl) AS slope, yl - (yr - yl) / (xr - xl) * xl AS intercept, (xl + xr) / 2 AS center FROM (
+    SELECT v.video_id, t.* FROM videos v JOIN (VALUES (0, 200::DOUBLE, 46::DOUBLE, 1080::DOUBLE, 56::DOUBLE), (2, 300, 55, 900, 47)) t(k, xl, yl, xr, yr) ON v.video_id::INT % 4 = t.k)""",
+    "s_changes": f"""
+  SELECT video_id, frame AS "trigger", round_even(fb + t * (frame - fb), 0)::INT AS frame, CASE WHEN above THEN 'bottom_to_top' ELSE 'top_to_bottom' END AS direction,
+    xb + t * (x - xb) AS cross_x
+  FROM (SELECT *, CASE WHEN abs((y - yb) - slope * (x - xb)) < 1e-6 THEN 0.5 ELSE greatest(0.0, least(1.0, (nb - yb) / nullif((y - yb) - slope * (x - xb), 0))) END AS t FROM (
+    SELECT *, y < net AS above, lag(y) OVER {_W} AS yb, lag(x) OVER {_W} AS xb, lag(frame) OVER {_W} AS fb, lag(net) OVER {_W} AS nb
+    FROM (SELECT p.*, slope, slope * x + intercept AS net FROM points p JOIN cal USING (video_id))) WHERE above <> (yb < nb))""",
+    "s_changes_in": _STEPS["changes_in"].replace("changes", "s_changes"),
+    "s_cool_walk": _STEPS["cool_walk"].replace("changes_in", "s_changes_in").replace("cool_walk", "s_cool_walk"),
+    "s_crossings": _STEPS["crossings"].replace("changes_in", "s_changes_in").replace("cool_walk", "s_cool_walk"),
+    "faults": """
+  SELECT c.video_id, c.frame, c.time_sec, n.center AS crossing_x, f.y AS shuttle_y, n.slope * n.center + n.intercept AS net_top_y_at_x
+  FROM s_crossings c JOIN frames f USING (video_id, frame) JOIN cal n USING (video_id)""",
+}
+_CANVAS = [(20 + x / 6.1 * 320, 580 - y / 13.4 * 560) for x, y in _COURT]
+_USER = {k: (_solve(c, _CANVAS), _solve(c, [(0, 0), (1, 0), (1, 1), (0, 1)])) for k, c in (
+    (0, [(400, 46), (880, 48), (1050, 96), (200, 94)]), (1, [(360, 44), (920, 44), (1100, 97), (180, 97)]),
+)}
+
+
+def _by_video(which: int, part: int) -> str:
+    """A projected coordinate by the map of the video's own corners, rounded for the comparison."""
+    own = " ".join(f"WHEN {k} THEN {_project(maps[which], 'x', 'y')[part]}" for k, maps in _USER.items())
+    return f"round(CASE video_id::INT % 4 {own} ELSE {_project((_TO_MAP, _TO_UNIT)[which], 'x', 'y')[part]} END, 7) + 0.0::DOUBLE"
+
+
 def _sql(final: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(f"{name} AS ({text})" for name, text in _STEPS.items()) + "\n" + final
 
@@ -403,6 +433,32 @@ ORACLES: dict[str, str] = {
             ('line', 0, 12.64, 6.1, 12.64, '#FFFFFF', 1), ('line', 0, 13.4, 6.1, 13.4, '#FFFFFF', 1), ('line', 0, 6.7, 6.1, 6.7, '#FF5000', 2)) t(primitive, a, b, c, d, color, thickness)""",
         "timeline_row": """SELECT video_id, trunc(time_sec)::INT AS timestamp, printf('%02d:%02d', trunc(time_sec)::INT // 60, trunc(time_sec)::INT % 60) AS "displayTime",
             'NET_FAULT' AS "eventType", '네트 걸림' AS "eventTitle", '셔틀콕이 네트 상단보다 0.0px 낮은 위치를 통과하려 했습니다.' AS "eventDescription" FROM crossings""",
+        "calibrated_points": f"""SELECT video_id, frame, CASE WHEN video_id::INT % 4 < 2 THEN 'user_singles' ELSE 'auto_ratio' END AS coordinate_mode,
+            {_by_video(0, 0)} AS mx, {_by_video(0, 1)} AS my, {_by_video(1, 0)} AS nx, {_by_video(1, 1)} AS ny FROM points""",
+        "owner_threshold": """SELECT video_id, round(CASE video_id::INT % 4 WHEN 0 THEN ((46 + 48) / 2.0 + (96 + 94) / 2.0) / 2 WHEN 1 THEN ((44 + 44) / 2.0 + (97 + 97) / 2.0) / 2
+            WHEN 2 THEN (55 + 47) / 2.0 ELSE 46.0 END::DOUBLE, 6) AS owner_y FROM videos""",
+        "sloped_changes": 'SELECT video_id, "trigger", frame, direction, round(cross_x, 6) AS cross_x FROM s_changes',
+        "sloped_crossings": "SELECT video_id, frame, round(time_sec, 6) AS time_sec, direction, hitter_side, receiver_side, true AS is_fault FROM s_crossings",
+        "fault_rows": """SELECT video_id, frame, round_even(time_sec, 3) AS time_sec, round_even(crossing_x, 1) AS crossing_x, round_even(shuttle_y, 1) AS shuttle_y,
+            round_even(net_top_y_at_x, 1) AS net_top_y_at_x, 0.0::DOUBLE AS clearance_px FROM faults""",
+        "fault_flag": "SELECT f.video_id, f.frame, EXISTS (SELECT 1 FROM faults h WHERE h.video_id = f.video_id AND abs(h.frame - f.frame) <= 3) AS fault FROM frames f",
+        "fault_timeline": """SELECT video_id, trunc(time_sec)::INT AS timestamp, printf('%02d:%02d', trunc(time_sec)::INT // 60, trunc(time_sec)::INT % 60) AS "displayTime",
+            'NET_FAULT' AS "eventType", '네트 걸림' AS "eventTitle", '셔틀콕이 네트 상단보다 0.0px 낮은 위치를 통과하려 했습니다.' AS "eventDescription" FROM faults""",
+        "fault_callback": """SELECT video_id, frame, round_even(time_sec, 3) AS time_sec, round_even(crossing_x, 1) AS crossing_x, round_even(shuttle_y, 1) AS shuttle_y,
+            round_even(net_top_y_at_x, 1) AS net_top_y_at_x FROM faults""",
+        "floor_bypass": """SELECT j.video_id, j.frame, round(j.impulse, 6) AS impulse, CASE WHEN j.dropped = 'floor' AND b.frame IS NOT NULL THEN
+              CASE WHEN iy < -2 AND oy > 2 AND abs(ox - ix) < 4 THEN 'apex' ELSE 'scored' END ELSE coalesce(j.dropped, 'scored') END AS dropped
+            FROM judged j JOIN turns t USING (video_id, frame) LEFT JOIN (
+              SELECT DISTINCT q.video_id, q.frame FROM judged q JOIN videos v USING (video_id) JOIN kp k ON k.frame = q.frame AND q.frame < v.n_frames
+              WHERE k.i IN (9, 10) AND k.conf >= 0.3 AND k.x > 0 AND k.y > 0 AND sqrt((k.x - q.x) ** 2 + (k.y - q.y) ** 2) < 100) b USING (video_id, frame)""",
+        "summary_text": """SELECT v.video_id, repeat('═', 55) || chr(10) || '  ' || v.video_id || chr(10) || repeat('═', 55) || chr(10) || '  타점 수             : ' || coalesce(h.n, 0) || '개' || chr(10)
+              || '  네트 걸림           : ' || coalesce(f.n, 0) || '건' || chr(10) || repeat('─', 55) || chr(10) || coalesce(h.told || chr(10), '')
+              || coalesce(repeat('─', 55) || chr(10) || '  [NET_FAULT]' || chr(10) || f.told || chr(10), '') || repeat('═', 55) AS summary
+            FROM videos v
+            LEFT JOIN (SELECT video_id, count(*) AS n, string_agg(printf('    #%02d  %6.2fs  ', hit_number, time_sec) || CASE side WHEN 'top' THEN '상단(블루)' ELSE '하단(골드)' END, chr(10) ORDER BY hit_number) AS told
+              FROM alternated GROUP BY video_id) h USING (video_id)
+            LEFT JOIN (SELECT video_id, count(*) AS n, string_agg(printf('    %6.2fs  clearance=+0.0px  shuttle_y=%.1f  net_y=%.1f', time_sec, shuttle_y, net_top_y_at_x), chr(10) ORDER BY time_sec, frame) AS told
+              FROM faults GROUP BY video_id) f USING (video_id)""",
         "top_scores": "SELECT video_id, frame, round(score, 6) AS score FROM (SELECT * FROM scores WHERE score > 0 ORDER BY score DESC, video_id, frame LIMIT 20)",
         "removed_points": "SELECT video_id, frame FROM points EXCEPT ALL SELECT video_id, frame FROM cleaned",
     }.items()

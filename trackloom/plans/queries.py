@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,6 +103,22 @@ class Clip:
     def on_map(self):
         return self._get("on_map", lambda: players.minimap_players(self.pose, self.maps), kept=False)
 
+    @property
+    def calibration(self):
+        return self._get("calibration", lambda: adapters.events_calibration(self.videos), kept=False)
+
+    @property
+    def sloped(self):
+        """Crossings of the calibrated nets. A crossing is where the path meets the net, so only a tolerance below
+        zero takes it for a fault; it does so for all, and the fault tables have rows."""
+        nets = analysis.nets(self.calibration).drop("center_x")
+        return self._get("sloped", lambda: crossings.net_crossings(self.frames, self.videos, nets, replace(C, fault_tolerance=-0.5)), kept=False)
+
+    @property
+    def faults(self):
+        net = analysis.nets(self.calibration)
+        return crossings.net_faults(self.sloped, self.frames, net.drop("center_x"), net.select("video_id", "center_x"))
+
     @property
     def view(self):
         return self._get("view", lambda: players.view_maps(self.maps, self.videos), kept=False)
@@ -401,6 +419,70 @@ def removed_points(c: Clip) -> DataFrame:
     return c.points.select("video_id", "frame").exceptAll(c.cleaned.select("video_id", "frame"))
 
 
+def _places(c: Clip, maps: DataFrame, places: int = 7):
+    p = c.points.join(maps.select("video_id", "to_minimap", "to_normalized", "coordinate_mode"), "video_id")
+    (mx, my), (nx, ny) = project(F.col("to_minimap"), F.col("x"), F.col("y")), project(F.col("to_normalized"), F.col("x"), F.col("y"))
+    return p.select("video_id", "frame", "coordinate_mode", *((F.round(v, places) + F.lit(0.0)).alias(n) for n, v in (("mx", mx), ("my", my), ("nx", nx), ("ny", ny))))
+
+
+@query
+def calibrated_points(c: Clip) -> DataFrame:
+    """Points through the maps of the users' own corners, and of default ones where a video has none."""
+    return _places(c, analysis.calibrated(c.videos, c.calibration))
+
+
+@query
+def owner_threshold(c: Clip) -> DataFrame:
+    return peaks.owner_thresholds(c.videos, c.calibration).select("video_id", _r("owner_y"))
+
+
+@query
+def sloped_changes(c: Clip) -> DataFrame:
+    found = crossings.side_changes(c.frames, analysis.nets(c.calibration).drop("center_x"))
+    return found.select("video_id", "trigger", "frame", "direction", _r("cross_x"))
+
+
+@query
+def sloped_crossings(c: Clip) -> DataFrame:
+    return c.sloped.select("video_id", "frame", _r("time_sec"), "direction", "hitter_side", "receiver_side", "is_fault")
+
+
+@query
+def fault_rows(c: Clip) -> DataFrame:
+    return analysis.fault_rows(c.faults).withColumn("clearance_px", F.col("clearance_px") + F.lit(0.0))  # no -0.0
+
+
+@query
+def fault_flag(c: Clip) -> DataFrame:
+    return players.near_event(c.frames, c.faults, 3, "fault")
+
+
+@query
+def fault_timeline(c: Clip) -> DataFrame:
+    return analysis.timeline_rows(c.faults).drop("eventScore")
+
+
+@query
+def fault_callback(c: Clip) -> DataFrame:
+    """The faults of the success messages as rows, read back from the JSON itself."""
+    kind = "netFaultEvents array<struct<frame:int,time_sec:double,crossing_x:double,shuttle_y:double,net_top_y_at_x:double>>"
+    b = analysis.callbacks(c.videos, rallies.alternate_owners(c.rallied), c.faults).select("video_id", F.from_json("body", kind).alias("b"))
+    return b.select("video_id", F.explode("b.netFaultEvents").alias("e")).select("video_id", "e.*")
+
+
+@query
+def floor_bypass(c: Clip) -> DataFrame:
+    """The filters with wrists at hand: a wrist within reach lifts the floor filter."""
+    judged = impulse.judged_points(c.cleaned, c.params, pose.wrist_points(c.pose))
+    return judged.select("video_id", "frame", _r("impulse"), F.coalesce("dropped", F.lit("scored")).alias("dropped"))
+
+
+@query
+def summary_text(c: Clip) -> DataFrame:
+    shown = c.faults.withColumn("clearance_px", F.round("clearance_px", 6) + F.lit(0.0))
+    return analysis.summaries(c.videos, rallies.alternate_owners(c.rallied), shown)
+
+
 def long_hits(spark, sf_dir: str) -> DataFrame:
     """Hits of the long line-item videos: the detection at its full length."""
     clip = adapters.LINEITEM

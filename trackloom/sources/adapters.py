@@ -76,3 +76,17 @@ def embedding_pose(spark: SparkSession, sf_dir: str, videos: DataFrame) -> DataF
     # The same persons in every video: an equi-join on the frame, not a product.
     spans = videos.select("video_id", F.explode(F.sequence(F.lit(0), F.col("n_frames") - 1)).alias("frame"))
     return spans.join(persons, "frame").select("video_id", "frame", "person_idx", "track_id", "keypoints")
+
+
+#: Court corners (TL, TR, BR, BL) and net points of the calibrated videos, by the video's number modulo 4: both,
+#: corners alone, a net alone; the rest have no calibration.
+CORNERS = {0: ((400, 46), (880, 48), (1050, 96), (200, 94)), 1: ((360, 44), (920, 44), (1100, 97), (180, 97))}
+NETS = {0: ((200, 46), (1080, 56)), 2: ((300, 55), (900, 47))}
+
+
+def events_calibration(videos: DataFrame) -> DataFrame:
+    """(video_id, corners, net) of the videos that have a calibration."""
+    k = F.pmod(F.col("video_id").cast("int"), F.lit(4))
+    at = lambda p: F.struct(F.lit(float(p[0])).alias("x"), F.lit(float(p[1])).alias("y"))
+    given = lambda table: F.coalesce(*(F.when(k == n, F.array(*map(at, places))) for n, places in table.items()))
+    return videos.filter(k < 3).select("video_id", given(CORNERS).alias("corners"), given(NETS).alias("net"))
