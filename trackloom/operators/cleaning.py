@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.config import CONFIG, Config
@@ -31,11 +31,12 @@ def typical_steps(points: DataFrame) -> DataFrame:
     )
 
 
-def _clean_once(points: DataFrame, c: Config) -> DataFrame:
-    """One pass over (video_id, frame, x, y, typical): detours of one and of two points, then speeds."""
+def detours(points: DataFrame, c: Config) -> DataFrame:
+    """(video_id, frame, x, y, typical, k, n, ...) with `one` and `two`, where a detour of one and of two points begins,
+    and the speeds `s_in` and `s_out`."""
     x, y = F.col("x"), F.col("y")
     at = lambda name, j: F.lead(name, j).over(by_frame()) if j > 0 else F.lag(name, -j).over(by_frame())
-    p = numbered(points).withColumns({f"{name}{tag}": at(name, j) for name in ("x", "y") for tag, j in (("_b", -1), ("_a", 1), ("_aa", 2))})
+    p = points.withColumns({f"{name}{tag}": at(name, j) for name in ("x", "y") for tag, j in (("_b", -1), ("_a", 1), ("_aa", 2))})
     p = p.withColumns(
         {
             "d_in": distance(F.col("x_b"), F.col("y_b"), x, y),
@@ -56,13 +57,21 @@ def _clean_once(points: DataFrame, c: Config) -> DataFrame:
     p = p.withColumn("one", F.coalesce(one, F.lit(False)))
     two = (F.col("k") >= 1) & (F.col("k") <= F.col("n") - 3) & ~F.col("one") & ~F.lead("one").over(by_frame())
     two &= (ratio(F.col("d_in") + F.col("d_out") + F.col("d_next"), "d_wide") > c.detour) & (F.greatest("d_in", "d_next") > least)
-    p = p.withColumn("two", F.coalesce(two, F.lit(False)))
+    return p.withColumn("two", F.coalesce(two, F.lit(False)))
+
+
+def spikes(p: DataFrame, c: Config, settled: Column | None = None, before: Column | None = None) -> DataFrame:
+    """detours' rows and the median speed `usual` -> with `gone`, what a pass removes.
+
+    In a block of a video, `settled` tells the rows whose neighbours are all there, and `before` is the place of the
+    last one without `two` ahead of them."""
+    warm, inner = F.col("k") < c.warmup, (F.col("k") >= 1) & (F.col("k") <= F.col("n") - 2)
     # A detour of two takes its next point along, so in a run of such starts every other one counts.
-    since = F.col("k") - F.last(F.when(~F.col("two"), F.col("k")), True).over(by_frame())
+    plain = ~F.col("two") if settled is None else ~F.col("two") & settled
+    last = F.last(F.when(plain, F.col("k")), True).over(by_frame())
+    since = F.col("k") - (last if before is None else F.coalesce(last, before))
     p = p.withColumn("pair", F.col("two") & (since % 2 == 1))
     p = p.withColumn("spike", F.col("one") | F.col("pair") | F.coalesce(F.lag("pair").over(by_frame()), F.lit(False)))
-    typical = F.coalesce(F.median(F.when(F.col("s_in") > 0, F.col("s_in"))).over(video()), F.lit(1.0))
-    p = p.withColumn("usual", typical)
     limit = F.col("usual") * F.when(warm, c.speed_ratio_warmup).otherwise(c.speed_ratio)
     fast = (F.col("s_in") > limit) & (F.col("s_out") > limit) | (F.greatest("s_in", "s_out") > F.col("usual") * c.speed_extreme)
     p = p.withColumn("spike", F.col("spike") | F.coalesce(inner & fast, F.lit(False)))
@@ -72,7 +81,14 @@ def _clean_once(points: DataFrame, c: Config) -> DataFrame:
     p = p.withColumn("start", F.last(calm, True).over(by_frame()))
     run = F.count("*").over(Window.partitionBy("video_id", "start")) - 1
     gone = F.col("spike") & (run < c.longest_spike) & (F.col("n") >= 4)
-    return p.withColumn("gone", gone).filter("NOT gone").select("video_id", "frame", "x", "y", "typical")
+    return p.withColumn("gone", gone)
+
+
+def _clean_once(points: DataFrame, c: Config) -> DataFrame:
+    """One pass over (video_id, frame, x, y, typical): detours of one and of two points, then speeds."""
+    p = detours(numbered(points), c)
+    p = p.withColumn("usual", F.coalesce(F.median(F.when(F.col("s_in") > 0, F.col("s_in"))).over(video()), F.lit(1.0)))
+    return spikes(p, c).filter("NOT gone").select("video_id", "frame", "x", "y", "typical")
 
 
 def clean(points: DataFrame, config: Config = CONFIG) -> DataFrame:
@@ -90,6 +106,11 @@ def adaptive_parameters(cleaned: DataFrame, videos: DataFrame) -> DataFrame:
         F.count("*").alias("points"), F.median("gap").alias("gap"), F.first("typical").alias("typical"),
         (F.max("y") - F.min("y")).alias("span"),
     )
+    return parameters(stats, videos)
+
+
+def parameters(stats: DataFrame, videos: DataFrame) -> DataFrame:
+    """The same from what is known of each video's cleaned points: stats(video_id, points, gap, typical, span)."""
     s = videos.join(stats, "video_id", "left").withColumn("adapts", F.coalesce(F.col("points") >= 5, F.lit(False)))
     ratio = clip(F.col("gap") / 1.5, 1.0, 4.0)
     scale = F.col("fps") / 30.0

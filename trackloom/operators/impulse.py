@@ -19,14 +19,21 @@ def judged_points(cleaned: DataFrame, params: DataFrame, wrists: DataFrame | Non
 
     wrists(video_id, frame, wx, wy) lifts the floor filter where a wrist is within reach.
     """
-    c = config
-    at = lambda name, j: F.lead(name, j).over(by_frame()) if j > 0 else F.lag(name, -j).over(by_frame())
     whole = by_frame().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    p = numbered(cleaned.select("video_id", "frame", "x", "y")).withColumns(
-        {f"{name}_{tag}": at(name, j) for name in ("frame", "x", "y") for tag, j in (("pre", -2), ("post", 2))}
-        | {"x_end": F.last("x").over(whole), "y_end": F.last("y").over(whole)}
-    )
+    p = neighbours(numbered(cleaned.select("video_id", "frame", "x", "y"))).withColumns({"x_end": F.last("x").over(whole), "y_end": F.last("y").over(whole)})
     p = p.join(params, "video_id").join(percentile_by_rank(cleaned.join(params.select("video_id", "floor_pct"), "video_id"), "y", "floor_pct"), "video_id")
+    return judged_neighbours(p, cleaned, wrists, config)
+
+
+def neighbours(points: DataFrame) -> DataFrame:
+    """points with the frame and place of the second point before and after each."""
+    at = lambda name, j: F.lead(name, j).over(by_frame()) if j > 0 else F.lag(name, -j).over(by_frame())
+    return points.withColumns({f"{name}_{tag}": at(name, j) for name in ("frame", "x", "y") for tag, j in (("pre", -2), ("post", 2))})
+
+
+def judged_neighbours(p: DataFrame, cleaned: DataFrame, wrists: DataFrame | None = None, config: Config = CONFIG) -> DataFrame:
+    """judged_points from neighbours' rows with k, n, the video's last point (x_end, y_end), its parameters and `limit`."""
+    c = config
     p = p.filter("k >= 2 AND k < n - 2").withColumns({"dt_in": F.col("frame") - F.col("frame_pre"), "dt_out": F.col("frame_post") - F.col("frame")})
     for axis in ("x", "y"):
         p = p.withColumns({

@@ -91,7 +91,11 @@ def strongest(peaks: DataFrame, gap: int = CONFIG.nms_frames) -> DataFrame:
 
 def find_peaks(scores: DataFrame, params: DataFrame, config: Config = CONFIG) -> DataFrame:
     """(video_id, frame, score): fence, local maxima of enough height, distance, prominence, then the stronger of neighbours."""
-    tall = ridges(suppressed(scores, config), "work", "height").filter("work >= height")
+    return chosen(ridges(suppressed(scores, config), "work", "height").filter("work >= height"), params, config)
+
+
+def chosen(tall: DataFrame, params: DataFrame, config: Config = CONFIG) -> DataFrame:
+    """Of maxima (video_id, frame, work, prominence) those that are far enough apart, prominent, and stronger than their neighbours."""
     far = apart(tall.withColumnRenamed("work", "score"), params)
     return strongest(far.filter(F.col("prominence") >= config.prominence), config.nms_frames)
 

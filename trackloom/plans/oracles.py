@@ -579,4 +579,5 @@ ORACLES |= {
     ),
     "long_crossings": _long(_sql("SELECT video_id, frame, round(time_sec, 6) AS time_sec, direction FROM crossings")),
     "long_hits": _long(_sql("SELECT video_id, hit_number, frame, round(time_sec, 6) AS time_sec, round(score, 6) AS score, owner FROM hits")),
+    "split_hits": _long(_sql("SELECT video_id, hit_number, frame, round(time_sec, 6) AS time_sec, round(score, 6) AS score, owner FROM hits")),
 }

@@ -11,7 +11,7 @@ from trackloom.config import CONFIG as C
 from trackloom.functions.geometry import project, quad_of, signed_distance
 from trackloom.functions.stages import keep
 from trackloom.operators import cleaning, crossings, impulse, owners, peaks, players, pose, rallies, render
-from trackloom.plans import analysis
+from trackloom.plans import analysis, blocks
 from trackloom.sources import adapters
 from trackloom.sources.adapters import EVENTS
 
@@ -502,4 +502,13 @@ def long_crossings(spark, sf_dir: str) -> DataFrame:
     return crossings.net_crossings(frames, videos, nets).select("video_id", "frame", _r("time_sec"), "direction")
 
 
-QUERIES |= {"long_hits": long_hits, "long_crossings": long_crossings}
+def split_hits(spark, sf_dir: str) -> DataFrame:
+    """long_hits with every video cut into blocks of 64 points, so that each has many."""
+    clip = adapters.LINEITEM
+    frames = keep(adapters.lineitem_frames(spark, sf_dir))
+    videos = adapters.videos_of(frames, clip)
+    found = blocks.detect(frames, videos, videos.select("video_id", F.lit(clip.net_y).alias("owner_y")), size=64)
+    return found.select("video_id", "hit_number", "frame", _r("time_sec"), _r("score"), "owner")
+
+
+QUERIES |= {"long_hits": long_hits, "split_hits": split_hits, "long_crossings": long_crossings}

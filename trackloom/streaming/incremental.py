@@ -58,11 +58,3 @@ def stream_rallies(hits: DataFrame, gap_sec: float = CONFIG.rally_gap_sec, late:
     wait = f"{int(gap_sec * 1_000_000) + 1} microseconds"
     s = stamped.groupBy("video_id", F.session_window("at", wait).alias("w")).agg(F.count("*").alias("hits"), F.max("at").alias("last"))
     return s.select("video_id", F.unix_micros("w.start").alias("start_us"), F.unix_micros("last").alias("end_us"), "hits")
-
-
-def write_documents(documents: DataFrame, path: str, checkpoint: str):
-    """Starts a sink that writes each micro-batch's JSON documents as text files."""
-    return (
-        documents.select("document").writeStream.outputMode("append").option("checkpointLocation", checkpoint)
-        .foreachBatch(lambda df, n: df.write.mode("append").text(path)).trigger(availableNow=True).start()
-    )
