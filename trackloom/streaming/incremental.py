@@ -1,4 +1,4 @@
-"""Operators that can run on unbounded frames: crossings and held values, one state per video.
+"""Operators that can run on unbounded frames: crossings, rallies, held places and trails.
 
 What needs a whole video (fences, medians, percentiles, the last point) stays with the batch plans.
 """
@@ -58,3 +58,46 @@ def stream_rallies(hits: DataFrame, gap_sec: float = CONFIG.rally_gap_sec, late:
     wait = f"{int(gap_sec * 1_000_000) + 1} microseconds"
     s = stamped.groupBy("video_id", F.session_window("at", wait).alias("w")).agg(F.count("*").alias("hits"), F.max("at").alias("last"))
     return s.select("video_id", F.unix_micros("w.start").alias("start_us"), F.unix_micros("last").alias("end_us"), "hits")
+
+
+_HELD = "video_id string, side string, frame int, mx int, my int, trail_x array<int>, trail_y array<int>"
+_HELD_STATE = (
+    "seen int, xs array<int>, ys array<int>, at array<long>, frames array<int>, mx array<int>, my array<int>"
+)
+
+
+def stream_players(players: DataFrame, late: str = "10 seconds", idle: float = 60.0, hold: int = CONFIG.ghost, length: int = CONFIG.trail) -> DataFrame:
+    """A stream of (video_id, side, frame, at timestamp, mx, my), without a place (null) where nobody was found ->
+    per row the held place (the last one seen at most `hold` frames ago, else null) and the trail, the last `length` places.
+
+    `at` is the event's time and grows with the frame. Rows wait until the watermark, `late` behind the latest time, has
+    passed them and come out in order of their frames, whatever the order in which they arrived; a row that arrives
+    behind the watermark is dropped. The state of a side is its trail and the rows that wait; it goes once its video has been
+    silent for `idle` seconds of event time, and a side that comes back then begins anew.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        mark = state.getCurrentWatermarkMs()
+        seen, xs, ys, *waiting = state.get if state.exists else (None, [], [], [], [], [], [])
+        xs, ys, rows = list(xs), list(ys), list(zip(*waiting))
+        if not state.hasTimedOut:
+            for pdf in batches:
+                new = zip((pdf["at"].astype("int64") // 1_000_000 if pdf["at"].dtype == "datetime64[ns]" else pdf["at"].astype("datetime64[ms]").astype("int64")).tolist(), pdf["frame"].tolist(), pdf["mx"].tolist(), pdf["my"].tolist())
+                rows += [(at, f, None if pd.isna(x) else int(x), None if pd.isna(x) else int(y)) for at, f, x, y in new if at > mark]
+        rows.sort(key=lambda r: r[:2])
+        ready, rows, out = [r for r in rows if r[0] <= mark], [r for r in rows if r[0] > mark], []
+        for _, frame, x, y in ready:
+            if x is not None:
+                xs, ys, seen = [*xs, x][-length:], [*ys, y][-length:], frame
+            held = seen is not None and frame - seen <= hold
+            out.append((*key, frame, xs[-1] if held else None, ys[-1] if held else None, xs, ys))
+        if state.hasTimedOut and not ready and not rows:
+            state.remove()
+        else:
+            state.update((seen, xs, ys, *(map(list, zip(*rows)) if rows else ([], [], [], []))))
+            state.setTimeoutTimestamp(max(mark + 1, rows[0][0] if rows else mark + int(1000 * idle)))
+        frame = pd.DataFrame(out, columns=["video_id", "side", "frame", "mx", "my", "trail_x", "trail_y"])
+        yield frame.astype({"mx": "Int32", "my": "Int32"})
+
+    stamped = players.select("video_id", "side", "frame", "at", "mx", "my").withWatermark("at", late)
+    return stamped.groupBy("video_id", "side").applyInPandasWithState(step, _HELD, _HELD_STATE, "append", GroupStateTimeout.EventTimeTimeout)
