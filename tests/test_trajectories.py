@@ -314,4 +314,10 @@ def test_whole_analysis(spark):
     doc = out["documents"].first().document
     assert '"coordinate_mode":"user_singles"' in doc and '"net_fault_events":[]' in doc
     assert out["court_players"].count() > 0 and out["hit_markers"].count() >= 0 and out["marks"].count() >= 0
+    n = out["hits"].count()
+    assert out["ghosts"].count() == 2 * len(points) and out["ghosts"].filter("at IS NOT NULL").count() > 0
+    assert out["player_trails"].filter("size(trail) = 30").count() > 0 and out["bones"].count() >= 0 and out["shuttle_trail"].count() > 0
+    assert out["overlays"].filter("layer = 'impact'").count() == n and out["impacts"].filter("impact").count() >= n and out["fault_flags"].filter("fault").count() == 0
+    told = out["summaries"].first().summary.split("\n")
+    assert told[3].endswith(f" {n}개") and told[4].endswith(" 0건") and len(told) == 7 + n
     assert '"totalHits":' in analysis.callbacks(v, out["hits"], out["faults"]).first().body

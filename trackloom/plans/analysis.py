@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from trackloom.config import CONFIG, Config
 from trackloom.functions.geometry import corner, homographies, net_line
 from trackloom.functions.stages import keep
-from trackloom.operators import cleaning, crossings, impulse, owners, peaks, players, pose, rallies
+from trackloom.operators import cleaning, crossings, impulse, owners, peaks, players, pose, rallies, render
 from trackloom.sources.trajectories import normalised
 
 
@@ -69,7 +69,8 @@ def nets(calibration: DataFrame) -> DataFrame:
 
 
 def analyze(frames: DataFrame, videos: DataFrame, calibration: DataFrame | None = None, pose_rows: DataFrame | None = None, config: Config = CONFIG) -> dict[str, DataFrame]:
-    """The whole analysis: crossings, faults, hits, drops, player and marker tables, result documents.
+    """The whole analysis: crossings, faults, hits, drops, player, ghost, trail, bone and marker tables, overlays,
+    result documents and summaries.
 
     Hits get owners by crossings, by pose and by near misses that a wrist confirms, and then
     alternate in each rally. Tables that need a pose are absent without one.
@@ -90,13 +91,18 @@ def analyze(frames: DataFrame, videos: DataFrame, calibration: DataFrame | None
         hits = keep(pose.rescue_hits(hits, found.scores, found.params, frames, pose_rows, videos, owner_y, config))
     rallied = keep(rallies.alternate_owners(rallies.rallies(hits, videos, config)))
     drops = keep(rallies.judge_drops(rallies.landings(rallies.last_hits(rallied), found.points, videos), maps))
-    out = {"hits": rallied, "drops": drops, "maps": maps, "params": found.params, "scores": found.scores, "marks": rallies.drop_marks(frames, drops, rallied)}
+    marks = rallies.drop_marks(frames, drops, rallied)
+    out = {"hits": rallied, "drops": drops, "maps": maps, "params": found.params, "scores": found.scores, "marks": marks}
+    out |= {"shuttle_trail": players.shuttle_trail(found.points), "impacts": players.near_event(frames, hits, 2, "impact"), "summaries": summaries(videos, rallied, faults)}
     if crossed is not None:
-        out |= {"crossings": crossed, "faults": faults}
+        out |= {"crossings": crossed, "faults": faults, "fault_flags": players.near_event(frames, faults, 3, "fault")}
     if pose_rows is not None:
         view = players.view_maps(maps, videos, config)
         on_map = players.minimap_players(pose_rows, maps, config)
-        out |= {"minimap_players": on_map, "court_players": players.court_players(pose_rows, view, videos, config), "hit_markers": players.hit_markers(rallied, frames, on_map)}
+        markers = players.hit_markers(rallied, frames, on_map)
+        out |= {"minimap_players": on_map, "court_players": players.court_players(pose_rows, view, videos, config), "hit_markers": markers}
+        out |= {"ghosts": players.ghosts(frames, on_map.withColumn("at", F.struct("mx", "my")), "at"), "player_trails": players.player_trails(on_map, config.trail)}
+        out |= {"bones": render.bone_segments(pose_rows, view), "overlays": render.overlays(frames, rallied, drops, markers, marks)}
     out["documents"] = documents(videos, rallied, drops, maps, faults)
     return out
 
