@@ -265,7 +265,8 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs in which no item is found, with all their columns."""
+    """The rows of docs in which no item is found, with all their columns, of which none may be `__bad` or `__key`.
+    An empty table gives an empty one; texts of any length are searched whole; repeated rows stay or go together."""
     bad = contaminations(docs, benchmark).select(F.col("key").alias("__bad")).distinct()
     return docs.withColumn("__key", row_key()).join(bad, F.col("__key") == F.col("__bad"), "left_anti").drop("__key")
 

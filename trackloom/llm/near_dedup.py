@@ -335,7 +335,8 @@ def keep_one(docs: DataFrame, k: int = 5) -> DataFrame:
     """docs with one row of each group left, that with the smallest doc_id, and every row without words.
 
     Groups are those of near_duplicate_groups. Of repeated rows, or rows of one group that all have
-    no doc_id, one stays. All columns stay, whatever their names.
+    no doc_id, one stays. All columns stay; `__chosen` and `__key` must not be among them. Rows are told apart
+    by a 64-bit hash of id and text: of two unlike rows that shared one, one would go.
     """
     groups = near_duplicate_groups(docs, k).filter("component IS NOT NULL")
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "key"))["key"]
