@@ -1,6 +1,6 @@
-"""Operators that can run on unbounded frames: crossings, rallies, held places and trails.
+"""Operators with small state on unbounded frames: crossings, rallies, held places and trails.
 
-What needs a whole video (fences, medians, percentiles, the last point) stays with the batch plans.
+What looks ahead or at medians is in `detection`; fences and peaks stay with the batch plans.
 """
 
 from __future__ import annotations

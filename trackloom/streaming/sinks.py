@@ -14,6 +14,11 @@ def _committed(spark: SparkSession, path: str) -> bool:
     return file.getFileSystem(spark._jsc.hadoopConfiguration()).exists(file)
 
 
+def committed(spark: SparkSession, number: int, query: str, path: str) -> bool:
+    """True if the batch has its line in the ledger."""
+    return _committed(spark, f"{path}/ledger/query={query}/batch={number}/_SUCCESS")
+
+
 def commit(batch: DataFrame, number: int, query: str, path: str) -> bool:
     """Writes a batch's rows under path/data and then its line under path/ledger; False if that line is there already.
 
@@ -22,7 +27,7 @@ def commit(batch: DataFrame, number: int, query: str, path: str) -> bool:
     whole or not at all.
     """
     spark, key = batch.sparkSession, f"query={query}/batch={number}"
-    if _committed(spark, f"{path}/ledger/{key}/_SUCCESS"):
+    if committed(spark, number, query, path):
         return False
     batch.write.mode("overwrite").parquet(f"{path}/data/{key}")
     rows = spark.read.schema(batch.schema).parquet(f"{path}/data/{key}").count()
