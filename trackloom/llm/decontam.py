@@ -25,6 +25,8 @@ from trackloom.llm.near_dedup import BLOCK, mix
 
 #: Tokens in a window, and the fewest of them that must be ordinary words where placeholders may differ.
 WINDOW, LEAST_LITERAL = 8, 5
+#: An item without such a window (full of numbers, say) has longer ones, or itself as a whole, of this many ordinary words.
+WIDE, LEAST_DENSE = 16, 3
 #: The membership filter has this many bits whatever the benchmark's size: 2 MB to broadcast.
 FILTER_BITS = 1 << 24
 #: Words that a task remembers at most; they are then forgotten, which changes no result.
@@ -116,28 +118,40 @@ class Canonical:
         self.opens = len(own) > 0 and flags[0] & 4 > 0 and not self.slot[0]
 
     def opening(self) -> Canonical:
-        """The tokens of the first window, with the first as a name."""
+        """The tokens of the first windows, with the first as a name."""
         out = copy(self)
-        out.own, out.code, out.slot = self.own[:WINDOW], self.code[:WINDOW].copy(), self.slot[:WINDOW].copy()
+        out.own, out.code, out.slot = self.own[:WIDE], self.code[:WIDE].copy(), self.slot[:WIDE].copy()
         out.code[0], out.slot[0] = _NAME, self.own[0]
         return out
 
-    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def windows(self, width: int, dense: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Starts, hashes, plain and template of all windows. A plain window is hashed by its words, each
-        start has one; another by its placeholders, if it has any and enough ordinary words. A template
-        is a window with enough of them."""
+        start has one up to WINDOW; another by its placeholders, if it has any and enough ordinary words. A template
+        is a window with enough of them; `dense` asks for LEAST_DENSE whatever the width."""
         n = len(self.code)
         if not 0 < width <= n:
             return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, bool), np.empty(0, bool)
         filled = np.concatenate([[0], np.cumsum(self.slot != 0)])
         slots = filled[width:] - filled[:-width]
         template = width - slots >= LEAST_LITERAL * width / WINDOW
-        starts, hashes = np.arange(n - width + 1), _roll(self.own, width)
-        other = np.flatnonzero(template & (slots > 0))
+        other = np.flatnonzero(((width - slots >= LEAST_DENSE) if dense else template) & (slots > 0))
+        if width > WINDOW:
+            starts, hashes, template = np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, bool)
+        else:
+            starts, hashes = np.arange(n - width + 1), _roll(self.own, width)
+        whole = len(starts)
         if len(other):
             starts, hashes = np.concatenate([starts, other]), np.concatenate([hashes, _roll(self.code, width)[other]])
             template = np.concatenate([template, np.ones(len(other), bool)])
-        return starts, mix(hashes), np.arange(len(starts)) < len(slots), template
+        return starts, mix(hashes), np.arange(len(starts)) < whole, template
+
+    def shapes(self) -> list[tuple[int, bool]]:
+        """An item's windows as widths, with true for those that ask for LEAST_DENSE."""
+        width = min(WINDOW, len(self.code))
+        if self.windows(width)[3].any():
+            return [(width, False)]
+        wide = min(WIDE, len(self.code))
+        return [(width, True)] if wide == width else [(width, False), (wide, True)]
 
 
 def _emit(rows: list, ids: list) -> pa.RecordBatch:
@@ -149,8 +163,8 @@ def _emit(rows: list, ids: list) -> pa.RecordBatch:
 _WINDOWS = "key long, start int, window long, plain boolean, template boolean, slots array<long>"
 
 
-def _windows(membership=None, widths: tuple[int, ...] = ()):
-    """Rows of windows with their start and slots: of a document's windows of those widths that are in the
+def _windows(membership=None, shapes: tuple[tuple[int, bool], ...] = ()):
+    """Rows of windows with their start and slots: of a document's windows of those shapes (width, dense) that are in the
     filter; without a filter of an item's, a shorter item being one window. A first token that may be a
     name is taken both ways."""
 
@@ -160,11 +174,11 @@ def _windows(membership=None, widths: tuple[int, ...] = ()):
             rows, ids = [], []
             for key, text in zip(batch.column("key").to_pylist(), batch.column("text")):
                 canonical = Canonical(text.as_py(), lexicon)
-                for reading, width in product(
+                for reading, (width, dense) in product(
                     [canonical, canonical.opening()] if canonical.opens else [canonical],
-                    widths if bits is not None else [min(WINDOW, len(canonical.code))],
+                    shapes if bits is not None else canonical.shapes(),
                 ):
-                    starts, hashes, plain, template = reading.windows(width)
+                    starts, hashes, plain, template = reading.windows(width, dense)
                     hit = np.full(len(starts), True) if reading is canonical else (starts == 0) & ~plain
                     if bits is not None:
                         at = hashes % np.uint64(FILTER_BITS)
@@ -200,7 +214,8 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     last_token, changed_slots (placeholders with another value), verbatim. A passage is one window
     or more that agree with an item on one diagonal, in their words or in a template. If some placeholder differs, LEAST_CHANGED
     windows are needed (or all of the item's templates), and values must map one to one throughout; else the
-    windows whose slots or words are equal count alone. Null and empty texts give nothing, on either
+    windows whose slots or words are equal count alone. An item in which no WINDOW tokens hold LEAST_LITERAL ordinary words has
+    templates of WIDE tokens, or of all it has, with LEAST_DENSE of them; with fewer it is found word for word only. Null and empty texts give nothing, on either
     side; repeated rows of one id and text are found once. An item without an id is found too, with a
     null item_id, unless its text has an id in another row. Other columns are ignored.
     """
@@ -219,10 +234,14 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         )
         .distinct()
     ).persist()
-    widths = tuple(sorted(r["w"] for r in items.select(F.size("item_slots").alias("w")).distinct().collect()))
+    # At most WIDE widths, whatever the benchmark's size.
+    width = F.size("item_slots")
+    literal = width - F.size(F.filter("item_slots", lambda s: s != 0))
+    dense = F.col("item_template") & (literal < LEAST_LITERAL * width / WINDOW)
+    shapes = tuple(sorted((r["w"], r["dense"]) for r in items.groupBy(width.alias("w")).agg(F.max(dense).alias("dense")).collect()))
     counts = items.groupBy("item").agg(F.count_distinct(F.when(F.col("item_template"), F.col("item_start"))).alias("item_windows"))
     membership = spark.sparkContext.broadcast(_filter(items))
-    hits = keyed.select("key", "text").mapInArrow(_windows(membership, widths), _WINDOWS).distinct().join(items, "window").persist()
+    hits = keyed.select("key", "text").mapInArrow(_windows(membership, shapes), _WINDOWS).distinct().join(items, "window").persist()
     hits = hits.withColumns(
         {"diagonal": F.col("start") - F.col("item_start"), "same": F.col("plain") | (F.col("slots") == F.col("item_slots"))}
     )
