@@ -16,7 +16,7 @@ def test_names():
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", ["hits", "net_crossings", "traj_params", "landing", "player_select", "court_player_select", "drop_verdict", "api_document", "callback_body", "draw_commands", "court_lines", "alternation_fix", "rescue", "hits_json"])
+@pytest.mark.parametrize("name", ["hits", "net_crossings", "traj_params", "landing", "player_select", "court_player_select", "drop_verdict", "api_document", "callback_body", "draw_commands", "court_lines", "alternation_fix", "rescue", "hits_json", "view_court", "frame_overlays", "player_dots"])
 def test_against_sql(spark, name):
     import duckdb
 

@@ -317,6 +317,10 @@ def test_whole_analysis(spark):
     n = out["hits"].count()
     assert out["ghosts"].count() == 2 * len(points) and out["ghosts"].filter("at IS NOT NULL").count() > 0
     assert out["player_trails"].filter("size(trail) = 30").count() > 0 and out["bones"].count() >= 0 and out["shuttle_trail"].count() > 0
+    drawn = {r["layer"]: r["n"] for r in out["frame_overlays"].groupBy("layer").agg(F.count("*").alias("n")).collect()}
+    assert drawn["impact"] == drawn["tint"] == out["impacts"].filter("impact").count() and drawn["frame"] == out["impacts"].count()
+    assert drawn.get("fault", 0) == out["fault_flags"].filter("fault").count() and out["view_court"].filter("z = 13").count() == 1
+    assert out["player_dots"].count() == 3 * out["ghosts"].filter("at IS NOT NULL").count()
     assert out["overlays"].filter("layer = 'impact'").count() == n and out["impacts"].filter("impact").count() >= n and out["fault_flags"].filter("fault").count() == 0
     told = out["summaries"].first().summary.split("\n")
     assert told[3].endswith(f" {n}개") and told[4].endswith(" 0건") and len(told) == 7 + n

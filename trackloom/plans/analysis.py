@@ -103,6 +103,8 @@ def analyze(frames: DataFrame, videos: DataFrame, calibration: DataFrame | None
         out |= {"minimap_players": on_map, "court_players": players.court_players(pose_rows, view, videos, config), "hit_markers": markers}
         out |= {"ghosts": players.ghosts(frames, on_map.withColumn("at", F.struct("mx", "my")), "at"), "player_trails": players.player_trails(on_map, config.trail)}
         out |= {"bones": render.bone_segments(pose_rows, view), "overlays": render.overlays(frames, rallied, drops, markers, marks)}
+        out |= {"player_dots": render.player_dots(out["ghosts"]), "view_court": render.view_court(view, calibration)}
+    out["frame_overlays"] = render.frame_overlays(frames, videos, rallied, faults, calibration)
     out["documents"] = documents(videos, rallied, drops, maps, faults)
     return out
 

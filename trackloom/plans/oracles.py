@@ -552,6 +552,25 @@ def _long(text: str) -> str:
     return text
 
 
+def _pixel(x: float, y: float, up: int = 0) -> str:
+    """A place of the court in metres as a pixel of the view, as text."""
+    px, py = _project(_VIEW, f"{x}::FLOAT::DOUBLE", f"{y}::FLOAT::DOUBLE")
+    return f"trunc({px}::FLOAT)::INT || ',' || (trunc({py}::FLOAT)::INT - {up})"
+
+
+def _foot(x: float, up: int = 0) -> str:
+    return f"({_pixel(x, 6.7, up)})"
+
+
+def _court_rows() -> str:
+    """The court's floors, outline and lines in the order of drawing, as rows."""
+    doubles, singles = ([(a, 13.4), (b, 13.4), (b, 0), (a, 0)] for a, b in ((0, 6.1), (0.46, 5.64)))
+    rows = [("fill", doubles, "#1B401A", -1), ("fill", singles, "#327330", -1), ("outline", doubles, "#FFFFFF", 2)]
+    lines = [[(x, 13.4), (x, 0)] for x in (0.46, 5.64)] + [[(0, y), (6.1, y)] for y in (0.76, 12.64, 4.72, 8.68)] + [[(3.05, 13.4), (3.05, 8.68)], [(3.05, 4.72), (3.05, 0)]]
+    rows += [("line", line, "#FFFFFF", 2) for line in lines]
+    return ", ".join(f"({z}, '{kind}', {' || chr(32) || '.join(_pixel(*p) for p in places)}, '{color}', {width})" for z, (kind, places, color, width) in enumerate(rows))
+
+
 ORACLES |= {
     "point_in_court": _sql(f"SELECT video_id, frame, round({_away(_QUAD, _PX, _PY)}, 4) AS away, {_away(_QUAD, _PX, _PY)} >= 0 AS inside, {_away(_QUAD, _PX, _PY)} >= -30 AS near FROM points"),
     "court_player_select": _sql("SELECT video_id, frame, side, person_idx, tx, ty FROM stood_top UNION ALL SELECT video_id, frame, side, person_idx, tx, ty FROM stood_bottom"),
@@ -577,6 +596,30 @@ ORACLES |= {
             'bwf_x': round_even(cx, 3), 'bwf_y': round_even(cy, 3), 'last_hit_number': last_hit_number, 'last_hit_owner': last_hit_owner}} ORDER BY rally_idx) AS drops
           FROM courted GROUP BY video_id) d USING (video_id)"""
     ),
+    "view_court": _sql(
+        f"""SELECT video_id, z::INT AS z, primitive, points, color, thickness FROM videos CROSS JOIN (VALUES {_court_rows()}) s(z, primitive, points, color, thickness)
+        UNION ALL SELECT video_id, 11 + i, 'line', CASE i WHEN 0 THEN l || ' ' || r WHEN 1 THEN fl || ' ' || l ELSE fr || ' ' || r END, '#FF5000', CASE i WHEN 0 THEN 6 ELSE 3 END
+        FROM (SELECT video_id, {_foot(0)} AS fl, {_foot(6.1)} AS fr,
+            CASE video_id::INT % 4 WHEN 0 THEN '200,406' WHEN 2 THEN '300,415' ELSE {_foot(0, 250)} END AS l,
+            CASE video_id::INT % 4 WHEN 0 THEN '1080,416' WHEN 2 THEN '900,407' ELSE {_foot(6.1, 250)} END AS r FROM videos) CROSS JOIN (VALUES (0), (1), (2)) n(i)"""
+    ),
+    "frame_overlays": _sql(
+        """SELECT video_id, frame, 'shuttle' AS layer, '' AS text, trunc(x)::INT AS x1, trunc(y)::INT AS y1, -1 AS x2, -1 AS y2, '#FFD700' AS color, 7 AS size FROM frames WHERE x > 0 AND y > 0
+        UNION ALL SELECT video_id, frame, 'net', '', 200, 46, 1080, 56, '#3B82F6', 2 FROM frames WHERE video_id::INT % 4 = 0
+        UNION ALL SELECT video_id, frame, 'net', '', 300, 55, 900, 47, '#3B82F6', 2 FROM frames WHERE video_id::INT % 4 = 2
+        UNION ALL SELECT video_id, frame, layer, text, x1, y1, -1, -1, '#3B82F6', size FROM (
+            SELECT DISTINCT f.video_id, f.frame FROM frames f JOIN hits h ON h.video_id = f.video_id AND abs(h.frame - f.frame) <= 2)
+          CROSS JOIN (VALUES ('impact', 'IMPACT', 550, 130, 5), ('tint', '', -1, -1, 60)) l(layer, text, x1, y1, size)
+        UNION ALL SELECT DISTINCT f.video_id, f.frame, 'fault', 'NET FAULT', 510, 180, -1, -1, '#FF0000', 5 FROM frames f JOIN faults h ON h.video_id = f.video_id AND abs(h.frame - f.frame) <= 3
+        UNION ALL SELECT video_id, frame, 'frame', 'F:' || frame, 20, 50, -1, -1, '#C8C8C8', 2 FROM frames"""
+    ),
+    "player_dots": _sql(
+        """SELECT video_id, frame, side, z, coalesce(mx, m1, m2, m3) AS x, coalesce(my, n1, n2, n3) AS y, radius, CASE WHEN z > 0 THEN '#FFFFFF' WHEN side = 'top' THEN '#3B82F6' ELSE '#F59E0B' END AS color, thickness
+        FROM (SELECT f.video_id, f.frame, s.side, o.mx, lag(o.mx, 1) OVER w AS m1, lag(o.mx, 2) OVER w AS m2, lag(o.mx, 3) OVER w AS m3, o.my, lag(o.my, 1) OVER w AS n1, lag(o.my, 2) OVER w AS n2, lag(o.my, 3) OVER w AS n3
+          FROM frames f CROSS JOIN (VALUES ('top'), ('bottom')) s(side) LEFT JOIN on_map o ON o.video_id = f.video_id AND o.frame = f.frame AND o.side = s.side
+          WINDOW w AS (PARTITION BY f.video_id, s.side ORDER BY f.frame)) CROSS JOIN (VALUES (0, 9, -1), (1, 9, 2), (2, 4, -1)) r(z, radius, thickness)
+        WHERE coalesce(mx, m1, m2, m3) IS NOT NULL"""
+    ),
     "long_crossings": _long(_sql("SELECT video_id, frame, round(time_sec, 6) AS time_sec, direction FROM crossings")),
     "long_hits": _long(_sql("SELECT video_id, hit_number, frame, round(time_sec, 6) AS time_sec, round(score, 6) AS score, owner FROM hits")),
     "split_hits": _long(_sql("SELECT video_id, hit_number, frame, round(time_sec, 6) AS time_sec, round(score, 6) AS score, owner FROM hits")),

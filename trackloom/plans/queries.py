@@ -381,6 +381,23 @@ def draw_commands(c: Clip) -> DataFrame:
     return render.overlays(c.frames, c.hits, c.drops, players.hit_markers(rallies.alternate_owners(c.rallied), c.frames, c.on_map), rallies.drop_marks(c.frames, c.drops, c.rallied))
 
 
+@query
+def view_court(c: Clip) -> DataFrame:
+    """Each video's court view, its points as text, with the nets that the calibration gives."""
+    told = F.array_join(F.transform("points", lambda p: F.concat_ws(",", p["x"], p["y"])), " ")
+    return render.view_court(c.view, c.calibration).withColumn("points", told)
+
+
+@query
+def frame_overlays(c: Clip) -> DataFrame:
+    return render.frame_overlays(c.frames, c.videos, c.hits, c.faults, c.calibration).fillna(-1)
+
+
+@query
+def player_dots(c: Clip) -> DataFrame:
+    return render.player_dots(players.ghosts(c.frames, c.on_map.withColumn("at", F.struct("mx", "my")), "at"))
+
+
 @query
 def hits_json(c: Clip) -> DataFrame:
     return analysis.documents(c.videos, rallies.alternate_owners(c.rallied), c.drops, c.maps)
