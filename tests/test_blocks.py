@@ -7,9 +7,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from trackloom.config import CONFIG
 from trackloom.functions.ranks import ranked
 from trackloom.functions.stages import Shelf
-from trackloom.operators import cleaning
+from trackloom.operators import cleaning, peaks
 from trackloom.plans import analysis, blocks
 from trackloom.sources.trajectories import FRAMES, VIDEOS
 
@@ -65,6 +66,24 @@ def test_hits_in_blocks_equal_hits_of_whole_videos(spark, clips):
     assert blocks.detect(frames.filter("false"), videos, owner_y).count() == 0
 
 
+def test_stretches_over_several_blocks_and_partitions(spark):
+    """One long stretch a video, cut into many blocks, which a join without a broadcast deals over partitions."""
+    rng = random.Random(3)
+    rows = [(f"v{j}", i, 0.0 if i in (0, 399) else rng.uniform(1.0, 9.0)) for j in range(6) for i in range(400)]
+    scores = spark.createDataFrame(rows, "video_id string, frame int, score double")
+    plain = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in plain}
+    try:
+        for k, v in plain.items():
+            spark.conf.set(k, v)
+        columns = ("video_id", "frame", "work", "prominence", "height")
+        found = _rows(blocks._ridges(Shelf(spark), scores, CONFIG, 16), *columns)
+        assert found and found == _rows(peaks.ridges(peaks.suppressed(scores), "work", "height"), *columns)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_a_block_holds_its_size_and_its_halo(spark):
     """A video of 50,000 frames, of which some are missing, in blocks of 1,000: places are gapless, blocks bounded."""
     points = spark.range(50_000).filter("id % 7 <> 3").select(F.lit("long").alias("video_id"), F.col("id").cast("int").alias("frame"), F.lit(1.0).alias("x"), F.lit(1.0).alias("y"))
