@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from trackloom.functions.folds import after_cooldown, keep_apart, strongest_apart
 from trackloom.functions.geometry import court_to_canvas, homographies, net_line, normalized_to_minimap, project, project_pixel, signed_distance
 from trackloom.operators import cleaning, crossings, owners, peaks, players, pose, rallies, render
-from trackloom.plans import analysis
+from trackloom.plans import analysis, queries
 from trackloom.sources import trajectories
 from trackloom.sources.trajectories import FRAMES, POSE, VIDEOS
 
@@ -285,6 +285,25 @@ def test_pose(spark):
     assert {r.frame for r in pose.near_misses(scores, h, params).collect()} == {49, 50}
 
 
+def test_trails_are_the_last_detections(spark):
+    seen = [(v, f, side, f * 3 % 50, f % 40) for v, n in (("a", 95), ("b", 5), ("c", 30)) for f in range(n) for side in ("top", "bottom") if side == "top" or f % 3]
+    rows = spark.createDataFrame(seen, "video_id string, frame int, side string, mx int, my int")
+    for length in (30, 7, 1):
+        got = {(r.video_id, r.frame, r.side): [tuple(p) for p in r.trail] for r in players.player_trails(rows, length).collect()}
+        want = {(v, f, s): [(x, y) for w, g, t, x, y in seen if (w, t) == (v, s) and g <= f][-length:] for v, f, s, _, _ in seen}
+        assert got == want
+
+
+@pytest.mark.parametrize("name", ["body_center", "player_trail", "bone_segments", "pose_owner"])
+def test_poses_of_all_frames_are_not_kept(spark, monkeypatch, name):
+    """Poses are many times wider than what is read off them; none of the tables written down holds key points."""
+    written = []
+    for module in (queries, analysis, players):
+        monkeypatch.setattr(module, "keep", lambda df, own=module.keep: written.append(df.columns) or own(df))
+    assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").columns[0] == "video_id"
+    assert written and not any("keypoints" in columns for columns in written)
+
+
 def test_court_players(spark):
     maps = players.view_maps(analysis.calibrated(video(spark), spark.createDataFrame([("v", CORNERS, None)], trajectories.CALIBRATION)), video(spark))
     at = lambda x, y: person(k15=(x, y, 0.9), k16=(x, y, 0.9))
