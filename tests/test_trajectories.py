@@ -304,6 +304,16 @@ def test_poses_of_all_frames_are_not_kept(spark, monkeypatch, name):
     assert written and not any("keypoints" in columns for columns in written)
 
 
+def test_court_test_stays_out_of_joins(spark):
+    """The long test of a place against the court is worked out once a row, not in the join's own condition."""
+    maps = players.view_maps(analysis.calibrated(video(spark), None), video(spark))
+    rows = spark.createDataFrame([("v", 10, 0, 1, person(k15=(600, 600, 0.9), k16=(600, 600, 0.9)))], POSE)
+    for found in (players.minimap_players(rows, maps), players.court_players(rows, maps, video(spark))):
+        plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        joins = [line for line in plan if "Join" in line]
+        assert joins and not [line for line in joins if "SQRT" in line.upper() or "lambdafunction" in line]
+
+
 def test_court_players(spark):
     maps = players.view_maps(analysis.calibrated(video(spark), spark.createDataFrame([("v", CORNERS, None)], trajectories.CALIBRATION)), video(spark))
     at = lambda x, y: person(k15=(x, y, 0.9), k16=(x, y, 0.9))
