@@ -682,6 +682,23 @@ def test_lm_probabilities_by_hand(monkeypatch):
     assert abs(sum(np.exp(plain(0, s)) for s in range(vocab.edge)) - 1) < 1e-9
 
 
+def test_lm_steps_use_their_memory_again():
+    """A step takes no fresh memory of the size of its scores, and what an earlier step left there doesn't matter."""
+    import tracemalloc
+
+    vocab = lm_score.vocabulary(np.arange(5000, 0, -1), 60)
+    rng = np.random.default_rng(3)
+    weights = lm_score.unpack(lm_score.initial_weights(vocab), 60)
+    long, short = (rng.integers(0, vocab.edge, n + 2 * lm_score.SIDE) for n in (lm_score.STEP, 50))
+    first = lm_score.gradient(weights, long).copy()
+    lm_score.gradient(weights, short)
+    tracemalloc.start()
+    again = lm_score.gradient(weights, long)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * lm_score.STEP * 60 and np.array_equal(first, again)
+
+
 def test_lm_context_matters(spark):
     """A common word among words of its own language is likelier than the same word among another's."""
     rng = random.Random(4)

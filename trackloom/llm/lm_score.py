@@ -37,11 +37,14 @@ STEP, MEMO = 4096, 1 << 19
 _OFFSETS = [o for o in range(2 * SIDE + 1) if o != SIDE]
 #: Weights in a row when networks are summed; steps that a task should have at least.
 BLOCK, STEPS = 4096, 100
+#: Steps' words that are scored together.
+TOGETHER = 4
 
 
-def split(text: str | None) -> list[bytes]:
-    """The words of a text, A-Z lower-cased."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+def splits(texts: pa.Array) -> Iterator[list[bytes]]:
+    """The words of each text, A-Z lower-cased; their bytes are taken as they lie in the column."""
+    for text in texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()):
+        yield (text.as_py() or b"").lower().split()
 
 
 def shape(word: bytes) -> int:
@@ -61,8 +64,8 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
 
         total: Counter = Counter()
         for batch in batches:
-            for text in batch.column("text"):
-                total.update(split(text.as_py()))
+            for words in splits(batch.column("text")):
+                total.update(words)
                 if len(total) > MEMO:
                     yield rows(total)
                     total = Counter()
@@ -171,11 +174,54 @@ def unpack(flat: np.ndarray, side: int) -> list[np.ndarray]:
     return out
 
 
+_ROOM: dict[tuple, np.ndarray] = {}
+
+
+def room(name: str, *size: int, like: np.ndarray) -> np.ndarray:
+    """An array of that size and of like's kind, its numbers unset. The next call under that name takes the same memory:
+    asking the system for fresh memory at every step cost more than the arithmetic on it."""
+    n, key = int(np.prod(size)), (name, like.dtype.char)
+    if key not in _ROOM or len(_ROOM[key]) < n:
+        _ROOM[key] = np.empty(n, like.dtype)
+    return _ROOM[key][:n].reshape(size)
+
+
+def _taken(name: str, rows: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return np.take(rows, places, 0, out=room(name, len(places), rows.shape[1], like=rows), mode="clip")
+
+
 def _window(embed: np.ndarray, padded: np.ndarray) -> np.ndarray:
     """The neighbours' vectors side by side, at every inner place of a padded sequence of symbols."""
     n = len(padded) - 2 * SIDE
-    vectors = embed[padded]
-    return np.concatenate([vectors[o : o + n] for o in _OFFSETS], 1)
+    vectors, window = _taken("vectors", embed, padded), room("window", n, 2 * SIDE * EMBED, like=embed)
+    for k, o in enumerate(_OFFSETS):
+        window[:, k * EMBED : (k + 1) * EMBED] = vectors[o : o + n]
+    return window
+
+
+def _hidden(window: np.ndarray, into: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """The hidden state and a last column of ones, by which scores of their own are added in the same product."""
+    sums, hidden = room("sums", len(window), HIDDEN, like=into), room("hidden", len(window), HIDDEN + 1, like=into)
+    np.clip(np.add(np.matmul(window, into, out=sums), bias, out=sums), -15, 15, out=sums)
+    # tanh(x) = 1 - 2 / (exp(2x) + 1), in half of np.tanh's time
+    np.add(np.exp(np.multiply(sums, 2, out=sums), out=sums), 1, out=sums)
+    np.subtract(1, np.divide(2, sums, out=sums), out=hidden[:, :-1])
+    hidden[:, -1] = 1
+    return hidden
+
+
+def _class_scores(hidden: np.ndarray, out: np.ndarray, out_bias: np.ndarray) -> np.ndarray:
+    return np.matmul(hidden, np.vstack([out, out_bias]), out=room("first", len(hidden), len(out_bias), like=hidden))
+
+
+def _word_scores(h: np.ndarray, parts: list[tuple[int, slice]], inner: np.ndarray, inner_bias: np.ndarray) -> np.ndarray:
+    """Of the words of each row's class; rows of a class stand together."""
+    side = len(inner)
+    both, z = room("both", side, HIDDEN + 1, side, like=h), room("second", len(h), side, like=h)
+    both[:, :-1], both[:, -1] = inner, inner_bias
+    for c, part in parts:
+        np.matmul(h[part], both[c], out=z[part])
+    return z
 
 
 def _by_class(target: np.ndarray, side: int) -> tuple[np.ndarray, list[tuple[int, slice]]]:
@@ -201,68 +247,112 @@ def log_probabilities(weights: list[np.ndarray], padded: np.ndarray, target: np.
     """Of the symbol at every inner place, given the neighbours."""
     embed, into, bias, out, out_bias, inner, inner_bias = weights
     side = len(inner)
-    hidden = np.tanh(_window(embed, padded) @ into + bias)
-    z = hidden @ out + out_bias
-    p, total = _probabilities(z)
+    hidden = _hidden(_window(embed, padded), into, bias)
+    p, total = _probabilities(_class_scores(hidden, out, out_bias))
     logs = np.log(p[np.arange(len(target)), _first_class(target, side)] / total)
     places, parts = _by_class(target, side)
     if len(places):
-        h, z = hidden[places], np.empty((len(places), side), hidden.dtype)
-        for c, part in parts:
-            z[part] = h[part] @ inner[c] + inner_bias[c]
-        p, total = _probabilities(z)
+        p, total = _probabilities(_word_scores(_taken("own", hidden, places), parts, inner, inner_bias))
         logs[places] += np.log(p[np.arange(len(places)), target[places] % side] / total)
     return logs
 
 
 def gradient(weights: list[np.ndarray], padded: np.ndarray) -> np.ndarray:
-    """Of the mean negative log-probability of the real words (boundaries have the number after the last symbol)."""
+    """Of the mean negative log-probability of the real words (boundaries have the number after the last symbol).
+    The next call takes the same memory for its result."""
     embed, into, bias, out, out_bias, inner, inner_bias = weights
     side, edge, n = len(inner), len(embed) - 1, len(padded) - 2 * SIDE
+    flat = room("gradient", sum(w.size for w in weights), like=embed)
+    flat[:] = 0
+    g_embed, g_into, g_bias, g_out, g_out_bias, g_inner, g_scores = unpack(flat, side)
     target = padded[SIDE : SIDE + n]
     window = _window(embed, padded)
-    hidden = np.tanh(window @ into + bias)
+    hidden = _hidden(window, into, bias)
     real = np.flatnonzero(target < edge)
     mean = 1 / max(1, len(real))
     share = np.zeros(n, hidden.dtype)
     share[real] = mean
-    delta, total = _probabilities(hidden @ out + out_bias)
+    delta, total = _probabilities(_class_scores(hidden, out, out_bias))
     delta *= (share / total)[:, None]
     delta[real, _first_class(target[real], side)] -= mean
-    back = delta @ out.T
-    g_inner, g_scores = np.zeros_like(inner), np.zeros_like(inner_bias)
+    back = np.matmul(delta, out.T, out=room("back", n, HIDDEN, like=hidden))
     places, parts = _by_class(target, side)
     if len(places):
-        h, z = hidden[places], np.empty((len(places), side), hidden.dtype)
-        for c, part in parts:
-            z[part] = h[part] @ inner[c] + inner_bias[c]
-        z, total = _probabilities(z)
+        h = _taken("own", hidden, places)
+        z, total = _probabilities(_word_scores(h, parts, inner, inner_bias))
         z *= (mean / total)[:, None]
         z[np.arange(len(places)), target[places] % side] -= mean
+        pulled, both = room("pulled", len(places), HIDDEN, like=hidden), room("pulls", HIDDEN + 1, side, like=hidden)
         for c, part in parts:
-            g_inner[c], g_scores[c] = h[part].T @ z[part], z[part].sum(0)
-            h[part] = z[part] @ inner[c].T
-        back[places] += h
-    back *= 1 - hidden * hidden
-    pull = back @ into.T
-    vectors = np.zeros((len(padded), EMBED), hidden.dtype)
+            np.matmul(h[part].T, z[part], out=both)
+            g_inner[c], g_scores[c] = both[:-1], both[-1]
+            np.matmul(z[part], inner[c].T, out=pulled[part])
+        back[places] += pulled
+    state, slope = hidden[:, :-1], room("sums", n, HIDDEN, like=hidden)
+    np.subtract(1, np.multiply(state, state, out=slope), out=slope)
+    back *= slope
+    pull = np.matmul(back, into.T, out=room("pull", n, 2 * SIDE * EMBED, like=hidden))
+    vectors = room("spread", len(padded), EMBED, like=hidden)
+    vectors[:] = 0
     for k, o in enumerate(_OFFSETS):
         vectors[o : o + n] += pull[:, k * EMBED : (k + 1) * EMBED]
     order = np.argsort(padded, kind="stable")
     starts = np.flatnonzero(np.diff(padded[order], prepend=-1))
-    g_embed = np.zeros_like(embed)
-    g_embed[padded[order[starts]]] = np.add.reduceat(vectors[order], starts, 0)
-    parts = (g_embed, window.T @ back, back.sum(0), hidden.T @ delta, delta.sum(0), g_inner, g_scores)
-    return np.concatenate([g.reshape(-1) for g in parts])
+    g_embed[padded[order[starts]]] = np.add.reduceat(_taken("vectors", vectors, order), starts, 0)
+    np.matmul(window.T, back, out=g_into)
+    np.sum(back, 0, out=g_bias)
+    ends = hidden.T @ delta
+    g_out[:], g_out_bias[:] = ends[:-1], ends[-1]
+    return flat
 
 
-def sequences(texts: pa.Array, words: Words, vocab: Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
-    """(padded symbols, places, words) of each text."""
+def descend(own: np.ndarray, g: np.ndarray, first: np.ndarray, second: np.ndarray, step: int) -> None:
+    """A step of Adam, in place; g is used up."""
+    spare = room("spare", len(own), like=own)
+    np.multiply(first, 0.9, out=first)
+    np.add(first, np.multiply(g, 0.1, out=spare), out=first)
+    np.multiply(g, g, out=g)
+    np.multiply(second, 0.99, out=second)
+    np.add(second, np.multiply(g, 0.01, out=g), out=second)
+    np.sqrt(np.divide(second, 1 - 0.99**step, out=g), out=g)
+    np.add(g, 1e-8, out=g)
+    np.divide(first, g, out=g)
+    np.subtract(own, np.multiply(g, 0.01 / (1 - 0.9**step), out=g), out=own)
+
+
+def encoded(docs: DataFrame, shared: Broadcast) -> DataFrame:
+    """(row, doc_id, n_tokens, places, others, times) of each row of docs, checkpointed: the places in the vocabulary of
+    its words in order, and the words that the vocabulary doesn't hold with their numbers. Texts are split here once,
+    for training and scores."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words(shared.value)
+        for batch in batches:
+            places, others = [], []
+            for names in splits(batch.column("text")):
+                places.append(known.of(names))
+                others.append(Counter(names[i] for i in np.flatnonzero(places[-1] >= known.held)))
+            n = [len(own) for own in places]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"), pa.array(n, pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(np.concatenate([*places, np.empty(0, np.int32)]))),
+                    pa.array([list(o) for o in others], pa.list_(pa.binary())), pa.array([list(o.values()) for o in others], pa.list_(pa.int64())),
+                ],
+                ["doc_id", "n_tokens", "places", "others", "times"],
+            )
+
+    rows = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, places array<int>, others array<binary>, times array<long>")
+    return checkpoint(rows.withColumn("row", F.monotonically_increasing_id()))  # the number of a row must not change
+
+
+def sequences(places: pa.ListArray, vocab: Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(padded symbols, places) of each text."""
     edge = np.full(SIDE, vocab.edge, np.int32)
-    for text in texts:
-        names = split(text.as_py())
-        own = words.of(names)
-        yield np.concatenate([edge, vocab.symbols[own], edge]), own, names
+    ends, values = places.offsets.to_numpy(), places.values.to_numpy()
+    for start, end in zip(ends[:-1], ends[1:]):
+        own = values[start:end]
+        yield np.concatenate([edge, vocab.symbols[own], edge]), own
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,34 +367,25 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays(columns, ["block", "weights", "n"])
 
 
-def train(docs: DataFrame, shared: Broadcast, rounds: int = 1) -> np.ndarray:
-    """Rounds of one pass over all documents. A task sends its weights times its words, BLOCK weights a row;
+def train(rows: DataFrame, shared: Broadcast, rounds: int = 1) -> np.ndarray:
+    """Rounds of one pass over all documents, as encoded. A task sends its weights times its words, BLOCK weights a row;
     tasks sum them by block, so that the driver gets one network a round."""
     flat = initial_weights(shared.value)
     for _ in range(rounds):
 
         def run(batches: Iterator[pa.RecordBatch], start: np.ndarray = flat) -> Iterator[pa.RecordBatch]:
             own, vocab, seen = start.copy(), shared.value, 0
-            known, weights = Words(vocab), unpack(own, vocab.side)
+            weights = unpack(own, vocab.side)
             first, second, step = np.zeros_like(own), np.zeros_like(own), 0
             waiting, size = [], 0
 
             def learn(padded: np.ndarray) -> None:
                 nonlocal step
                 step += 1
-                g = gradient(weights, padded)
-                np.multiply(first, 0.9, out=first)
-                np.add(first, 0.1 * g, out=first)
-                np.multiply(g, g, out=g)
-                np.multiply(second, 0.99, out=second)
-                np.add(second, np.multiply(g, 0.01, out=g), out=second)
-                np.sqrt(second / (1 - 0.99**step), out=g)
-                np.add(g, 1e-8, out=g)
-                np.divide(first, g, out=g)
-                np.subtract(own, np.multiply(g, 0.01 / (1 - 0.9**step), out=g), out=own)
+                descend(own, gradient(weights, padded), first, second, step)
 
             for batch in batches:
-                for padded, words, _ in sequences(batch.column("text"), known, vocab):
+                for padded, words in sequences(batch.column("places"), vocab):
                     seen += len(words)
                     for at in range(0, len(words), STEP):  # long texts in steps that overlap by their edges
                         waiting.append(padded[at : at + STEP + 2 * SIDE])
@@ -323,9 +404,9 @@ def train(docs: DataFrame, shared: Broadcast, rounds: int = 1) -> np.ndarray:
                 )
 
         kind = "block int, weights array<double>, n long"
-        rows = docs.select("text").mapInArrow(run, kind).repartition("block").mapInArrow(_added, kind).toArrow().sort_by("block").to_pylist()
-        if rows:
-            flat = np.concatenate([np.array(r["weights"]) / r["n"] for r in rows]).astype(np.float32)
+        parts = rows.select("places").mapInArrow(run, kind).repartition("block").mapInArrow(_added, kind).toArrow().sort_by("block").to_pylist()
+        if parts:
+            flat = np.concatenate([np.array(r["weights"]) / r["n"] for r in parts]).astype(np.float32)
     return flat
 
 
@@ -349,7 +430,7 @@ def log_likelihoods(weights: list[np.ndarray], vocab: Vocabulary, texts: Iterabl
             own = places[at : at + STEP]
             waiting.append((row, padded[at : at + len(own) + 2 * SIDE], own))
             size += len(own)
-            if size >= STEP:
+            if size >= TOGETHER * STEP:
                 add()
                 waiting, size = [], 0
     if waiting:
@@ -366,32 +447,16 @@ def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     """
     vocab, rare, words = learned_vocabulary(corpus_counts(docs))
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
-    flat = train(docs.coalesce(max(1, words // (STEPS * STEP))), shared)  # small parts of a small table learn together
+    rows = encoded(docs, shared)
+    flat = train(rows.coalesce(max(1, words // (STEPS * STEP))), shared)  # small parts of a small table learn together
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, vocab = unpack(flat, shared.value.side), shared.value
-        known = Words(vocab)
         for batch in batches:
-            n, others = [], []
-
-            def each(texts: pa.Array = batch.column("text"), n: list = n, others: list = others) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-                for padded, places, names in sequences(texts, known, vocab):
-                    n.append(len(names))
-                    others.append(list(Counter(names[i] for i in np.flatnonzero(places >= known.held)).items()))
-                    yield padded, places
-
-            logs = log_likelihoods(weights, vocab, each(), batch.num_rows)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(logs, pa.float64()),
-                    pa.array([[w for w, _ in o] for o in others], pa.list_(pa.binary())),
-                    pa.array([[k for _, k in o] for o in others], pa.list_(pa.int64())),
-                ],
-                ["doc_id", "n_tokens", "held", "others", "times"],
-            )
+            logs = log_likelihoods(weights, vocab, sequences(batch.column("places"), vocab), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*map(batch.column, ("row", "doc_id", "n_tokens")), pa.array(logs, pa.float64())], ["row", "doc_id", "n_tokens", "held"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, held double, others array<binary>, times array<long>")
-    rows = checkpoint(rows.withColumn("row", F.monotonically_increasing_id()))  # the number of a row must not change
+    held = rows.select("row", "doc_id", "n_tokens", "places").mapInArrow(run, "row long, doc_id long, n_tokens long, held double")
     terms = (
         rows.select("row", F.explode(F.arrays_zip("others", "times")).alias("o"))
         .select("row", F.col("o.others").alias("word"), F.col("o.times").alias("times"))
@@ -399,7 +464,7 @@ def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     )
     log_prob = F.col("held") + F.coalesce("joined", F.lit(0.0))
     return (
-        rows.select("row", "doc_id", "n_tokens", "held").join(terms, "row", "left")
+        held.join(terms, "row", "left")
         .select("doc_id", "n_tokens", log_prob.alias("log_prob"), (log_prob / F.greatest("n_tokens", F.lit(1))).alias("mean_log_prob"))
     )
 
