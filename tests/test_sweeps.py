@@ -163,3 +163,14 @@ def test_a_binned_join_makes_rows_by_its_result(spark):
     assert inside(p, s, F.col("low"), F.col("low") + 9).count() == 10_000
     plan = inside(p, s, F.col("low"), F.col("low") + 9)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan and "bin" in plan
+
+
+def test_columns_as_lists():
+    import pyarrow as pa
+
+    from trackloom.functions.sweeps import listed
+
+    nan = float("nan")
+    for values, kind in (([1, None, 3], pa.int32()), ([0.5, None, nan, 0.0], pa.float64()), ([], pa.float64()), (["a", "b", "a"], pa.string()), (["a", None], pa.string()), ([None, None], pa.float64())):
+        column = pa.array(values, kind)
+        assert repr(listed(column)) == repr(column.to_pylist()) and repr(listed(column[1:])) == repr(column[1:].to_pylist())

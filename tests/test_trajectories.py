@@ -304,6 +304,28 @@ def test_poses_of_all_frames_are_not_kept(spark, monkeypatch, name):
     assert written and not any("keypoints" in columns for columns in written)
 
 
+def test_cleaning_sorts_once(spark):
+    """All windows of both passes go by frame: no video's rows are sorted anew for a run of spikes."""
+    points = frames_of(spark, [(i, 10 + (90 if i in (7, 12, 13, 20, 21, 22) else 0), 5 + i % 3) for i in range(30)]).withColumn("typical", F.lit(1.0))
+    numbered = cleaning.detours(cleaning.numbered(points), cleaning.CONFIG).withColumn("usual", F.lit(1.0))
+    plan = cleaning.spikes(numbered, cleaning.CONFIG)._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert len([line for line in plan if "Sort [" in line]) == 1
+
+
+@pytest.mark.parametrize("flags", ["0110100", "0111011", "0111100", "0000111", "01", "0111", "010", "0101011"])
+def test_runs_of_spikes_by_hand(spark, flags):
+    """Speeds that are far too high make spikes; runs of 3 and more stay, wherever they end."""
+    rows = [("v", i, i, len(flags), 10.0**6 if f == "1" else 1.0) for i, f in enumerate(flags)]
+    p = spark.createDataFrame(rows, "video_id string, frame int, k int, n int, s_in double")
+    p = p.withColumns({"s_out": F.lit(1.0), "usual": F.lit(1.0), "one": F.lit(False), "two": F.lit(False)})
+    got = {r.frame for r in cleaning.spikes(p, cleaning.CONFIG).filter("gone").collect()}
+    flagged = lambda k: 0 < k < len(flags) - 1 and flags[k] == "1"
+    everywhere = {r.frame for r in cleaning.spikes(p, cleaning.CONFIG).filter("spike").collect()}
+    run = lambda k: next(b - a - 1 for a in range(k, -1, -1) if a not in everywhere for b in range(k, len(flags) + 1) if b not in everywhere)
+    assert {k for k in range(len(flags)) if flagged(k)} <= everywhere
+    assert got == ({k for k in everywhere if run(k) < cleaning.CONFIG.longest_spike} if len(flags) >= 4 else set())
+
+
 def test_court_test_stays_out_of_joins(spark):
     """The long test of a place against the court is worked out once a row, not in the join's own condition."""
     maps = players.view_maps(analysis.calibrated(video(spark), None), video(spark))
