@@ -6,8 +6,10 @@ import hashlib
 import random
 import re
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from trackloom.llm import decontam, fertility, language, licenses, lm_score, mixing, near_dedup, quality_crf, secrets, token_counts
@@ -629,6 +631,41 @@ def test_decontamination_of_items_full_of_numbers(spark):
     assert not {d for d, i in got if d % 4 == 2}
 
 
+def test_decontamination_reads_words_all_at_once():
+    """Calls of Python don't grow with the distinct words of a text: ten or so for each took most of the operator's time."""
+    import cProfile
+
+    nothing = SimpleNamespace(value=bytes(decontam.FILTER_BITS // 8))
+
+    def calls(n):
+        texts = [" ".join(f"{chr(97 + i % 26)}w{i} Name{i}, {i}" for i in range(n)), "short"]
+        batch = pa.RecordBatch.from_arrays([pa.array([1, 2], pa.int64()), pa.array(texts)], ["key", "text"])
+        profile = cProfile.Profile()
+        profile.runcall(lambda: list(decontam._windows(nothing, ((8, False),))(iter([batch]))))
+        return sum(e.callcount for e in profile.getstats())
+
+    assert calls(8000) < calls(2000) + 1000
+
+
+def test_decontamination_tokens_of_odd_words():
+    """Texts that are read together, against the plain rules word by word; as many hashes as words."""
+    rng = random.Random(52)
+    odd = "Anna ANNA aNNa km K \u212a 12 1.5 $5, -3 3% 12:30 1e5 ... . ! a.b a.b. don't (x) \"Hi.\" Hi!)' Hi., end. É. Éa éA ΣΑΣ Σα İx \U0001d400b A1 A1b Ab1 A-b hours % '' "
+    odd = odd.split() + ["x" * 64, "x" * 65, "X" + "y" * 80, "é" * 40, "a\0", "\0", "abcdefgh", "abcdefghi", "\x7f"]
+    texts = [" ".join(rng.choices(odd, k=rng.choice([0, 1, 2, 9, 40]))) for _ in range(200)] + ["", " \n", "... !", None]
+    tokens = decontam.Canonical([t if t is None else t.encode() for t in texts])
+    marks = {int(decontam._NUM): "number", int(decontam._UNIT): "unit", int(decontam._NAME): "name"}
+    hashes = {}
+    for i, text in enumerate(texts):
+        want, here = _tokens(text or ""), np.flatnonzero(tokens.text == i)
+        assert [marks.get(c) for c in tokens.code[here].tolist()] == [kind for _, kind, _ in want]
+        assert [s != 0 for s in tokens.slot[here].tolist()] == [bool(kind) for _, kind, _ in want]
+        assert len(here) == 0 or here[0] == tokens.first[i]
+        for (low, *_), own in zip(want, tokens.own[here].tolist()):
+            assert hashes.setdefault(low, own) == own
+    assert len(set(hashes.values())) == len(hashes) > 30
+
+
 def test_lm_gradient_and_likelihood():
     vocab = lm_score.vocabulary(np.sort(np.arange(1, 500) % 97 + 1)[::-1], 3)
     assert len(set(vocab.symbols)) == 9 + lm_score.SHARED + lm_score.SHAPES == vocab.edge

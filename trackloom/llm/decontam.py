@@ -9,19 +9,17 @@ a copy word for word is found however many numbers and names it has.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from copy import copy
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.llm.common import row_key
-from trackloom.llm.near_dedup import BLOCK, mix
+from trackloom.llm.near_dedup import mix
 
 #: Tokens in a window, and the fewest of them that must be ordinary words where placeholders may differ.
 WINDOW, LEAST_LITERAL = 8, 5
@@ -29,8 +27,10 @@ WINDOW, LEAST_LITERAL = 8, 5
 WIDE, LEAST_DENSE = 16, 3
 #: The membership filter has this many bits whatever the benchmark's size: 2 MB to broadcast.
 FILTER_BITS = 1 << 24
-#: Words that a task remembers at most; they are then forgotten, which changes no result.
-MEMO = 1 << 19
+#: Bytes of text that a task reads at once, and rows that it gives at once.
+BLOCK, AT_ONCE = 1 << 20, 50_000
+#: Longer words, in bytes, are hashed one by one.
+LONG = 64
 #: A passage whose text differs in its slots needs this many windows on its diagonal.
 LEAST_CHANGED = 3
 
@@ -40,127 +40,166 @@ UNITS = frozenset(
     b" days day weeks week months month years year percent % dollars dollar euros euro cents cent usd eur gbp"
     b" mph kph degrees degree c f k w kw v hz mb gb tb meters metres kilometers kilometres miles grams pounds".split()
 )
-_NUMBER = re.compile(rb"[+-]?[$]?\d[\d.,:/]*%?$")
 _EDGE = b"""!"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"""
-_NUM, _NAME, _UNIT = (xxhash.xxh3_64_intdigest(b"\0" + x) for x in (b"number", b"name", b"unit"))
+_NUM, _NAME, _UNIT = (np.uint64(xxhash.xxh3_64_intdigest(b"\0" + x)) for x in (b"number", b"name", b"unit"))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+#: What a byte is, in bits: white space, stripped from words, none of a number's, A-Z, a-z, beyond ASCII, ends a sentence, may close it.
+_SPACE, _STRIPPED, _OTHER, _UPPER, _LOWER, _BEYOND, _STOP, _CLOSER = (1 << k for k in range(8))
+_KINDS = np.array(
+    [
+        _SPACE * (b in b" \t\n\r\v\f") | _STRIPPED * (b in _EDGE) | _OTHER * (b not in b"0123456789.,:/") | _UPPER * (65 <= b <= 90)
+        | _LOWER * (97 <= b <= 122) | _BEYOND * (b > 127) | _STOP * (b in b".!?") | _CLOSER * (b in b"\"')]")
+        for b in range(256)
+    ],
+    np.uint8,
+)
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
-def _classify(raw: bytes) -> tuple[int, int]:
-    """(hash of the lower-cased core, flags): number 1, unit 2, capitalised 4, ends a sentence 8, no core 16."""
-    core = raw.strip(_EDGE)
-    flags = 8 * (raw.rstrip(b"\"')]")[-1:] in (b".", b"!", b"?"))
-    if not core:
-        return 0, 16 | flags
-    text = core.decode("utf-8", "replace")
-    low = text.lower().encode()
-    if _NUMBER.match(core):
-        flags |= 1
-    elif low in UNITS:
-        flags |= 2
-    if len(text) > 1 and text[0].isupper() and text[1:].islower():
-        flags |= 4
-    return xxhash.xxh3_64_intdigest(low), flags
-
-
-class Lexicon:
-    """Remembers what words are: a code for each, with its hash and flags in arrays."""
-
-    def __init__(self) -> None:
-        self.codes: dict[bytes, int] = {}
-        self.hashes, self.flags = np.empty(0, np.uint64), np.empty(0, np.int64)
-
-    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.codes) > MEMO:
-            self.__init__()
-        if new := list(set(words).difference(self.codes)):
-            self.codes.update(zip(new, range(len(self.codes), len(self.codes) + len(new))))
-            if len(self.codes) > len(self.hashes):
-                room = 2 * len(self.codes) - len(self.hashes)
-                self.hashes = np.concatenate([self.hashes, np.empty(room, np.uint64)])
-                self.flags = np.concatenate([self.flags, np.empty(room, np.int64)])
-            at = slice(len(self.codes) - len(new), len(self.codes))
-            hashes, flags = zip(*map(_classify, new))
-            self.hashes[at], self.flags[at] = hashes, flags
-        codes = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
-        return self.hashes[codes], self.flags[codes]
+def _power(k: int) -> np.uint64:
+    return np.uint64(pow(int(_BASE), k, 1 << 64))
+
+
+def _hashes(low: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of words that stand lower-cased in `low`, 8 bytes a step; `low` has 8 bytes more than its words."""
+    size = ends - starts
+    eights = np.ndarray(len(low) - 7, "<u8", low, strides=(1,))
+    step = lambda h, at, left: mix(h ^ (eights[at] & _FIRST_BYTES[np.minimum(left, 8)]))
+    out, more = step(size.astype(np.uint64) * _BASE, starts, size), np.flatnonzero(size > 8)
+    for k in range(8, LONG, 8):
+        if not len(more):
+            break
+        out[more] = step(out[more], starts[more] + k, size[more] - k)
+        more = more[size[more] > k + 8]
+    for i in more.tolist():
+        out[i] = xxhash.xxh3_64_intdigest(low[starts[i] : ends[i]])
+    return out
+
+
+def _hash_all(low: bytes) -> np.ndarray:
+    """Hashes of lower-cased words that a line feed each ends."""
+    ends = np.flatnonzero(np.frombuffer(low, np.uint8) == 10)
+    return _hashes(low + b"\0" * 8, np.concatenate([[0], ends[:-1] + 1]), ends)
+
+
+_UNIT_HASHES = _hash_all(b"".join(u + b"\n" for u in sorted(UNITS)))
 
 
 def _roll(code: np.ndarray, width: int) -> np.ndarray:
     """Polynomial hashes of all runs of `width` codes, by doubling; the width counts too."""
-    power = lambda k: np.uint64(pow(int(_BASE), k, 1 << 64))
     h, have = code, 1
     for bit in bin(width)[3:]:
-        h, have = h[:-have] * power(have) + h[have:], 2 * have
+        h, have = h[:-have] * _power(have) + h[have:], 2 * have
         if bit == "1":
             h, have = h[:-1] * _BASE + code[have:], have + 1
-    return h + np.uint64(width) * power(width)
+    return h + np.uint64(width) * _power(width)
 
 
 class Canonical:
-    """Canonical tokens of a text: `own` (hash of the word), `code` (hash or placeholder), `slot` (what a
-    placeholder stands for, else 0). `opens` tells if the first token may be a name; it isn't taken as one."""
-
-    def __init__(self, text: str | None, lexicon: Lexicon):
-        own, flags = lexicon((text or "").encode("utf-8", "surrogatepass").split())
-        if (flags & 16).any():
-            solid = (flags & 16) == 0
-            own, flags = own[solid], flags[solid]
-        number, unit, name = (flags & 1) > 0, (flags & 2) > 0, (flags & 4) > 0
-        unit[1:] &= number[:-1]
-        unit[:1] = False
-        name[1:] &= (flags[:-1] & 8) == 0
-        name[:1] = False
-        self.own, self.code = own, own.copy()
+    """Canonical tokens of texts (UTF-8), those of one after those of the other: `text` (its place in the list), `own` (hash
+    of the lower-cased word), `code` (hash or placeholder), `slot` (what a placeholder stands for, else 0). `first` tells where
+    each text's tokens begin, `opens` has the first tokens that may be a name; they aren't taken as one. Words are read all at
+    once, as arrays over their bytes, as a corpus has too many distinct ones for a memory of them to help."""
+
+    def __init__(self, texts: list[bytes | None]):
+        texts = [t or b"" for t in texts]
+        block = b"".join([b"\n", *(part for t in texts for part in (t, b"\n")), b"\0" * 8])
+        kinds = _KINDS[np.frombuffer(block, np.uint8)[:-8]]
+        solid = (kinds & (_SPACE | _STRIPPED)) == 0
+        turns = np.flatnonzero(solid[1:] != solid[:-1]) + 1
+        starts, ends = turns[::2], turns[1::2]
+        if len(starts):
+            # Stripped bytes inside a word part it in runs; those with no white space between them are one.
+            last = np.flatnonzero(np.bitwise_or.reduceat(kinds, ends) & _SPACE)
+            starts, ends = starts[np.concatenate([[0], last[:-1] + 1])], ends[last]
+            rest = np.bitwise_or.reduceat(kinds, np.stack([starts + 1, ends], 1).ravel())[::2]
+            rest[ends - starts == 1] = 0
+        else:
+            rest = np.empty(0, np.uint8)
+        begin = kinds[starts]
+        number = ((begin | rest) & _OTHER) == 0  # a word begins with a digit if it does with a number's character
+        name = ((begin & _UPPER) > 0) & ((rest & (_UPPER | _LOWER)) == _LOWER)
+        self.own = _hashes(block.lower(), starts, ends)
+        beyond = np.flatnonzero((begin | rest) & _BEYOND)
+        if len(beyond):
+            words = [block[s:e] for s, e in zip(starts[beyond].tolist(), ends[beyond].tolist())]
+            read = (b"\n".join(words) + b"\n").decode("utf-8", "replace")
+            self.own[beyond] = _hash_all(read.lower().encode())
+            name[beyond] = [w[0].isupper() and w[1:].islower() for w in read.split("\n")[:-1]]
+
+        cuts = np.searchsorted(starts, np.cumsum([1, *(len(t) + 1 for t in texts)]))
+        self.first, self.text = cuts[:-1], np.repeat(np.arange(len(texts)), np.diff(cuts))
+        heads = self.first[np.diff(cuts) > 0]
+        after = lambda mask: np.concatenate([[False], mask[:-1]]) if len(mask) else mask
+        self.opens = heads[name[heads]]
+        name &= ~after(self._stops(kinds, ends))
+        name[heads] = False
+        unit = after(number)
+        unit[heads] = False
+        unit[unit] = np.isin(self.own[unit], _UNIT_HASHES)
+        unit &= ~number
+        self.code, self.slot = self.own.copy(), np.where(number | unit | name, self.own, np.uint64(0))
         for which, mark in ((name, _NAME), (unit, _UNIT), (number, _NUM)):
             self.code[which] = mark
-        self.slot = np.where(number | unit | name, own, np.uint64(0))
-        self.opens = len(own) > 0 and flags[0] & 4 > 0 and not self.slot[0]
-
-    def opening(self) -> Canonical:
-        """The tokens of the first windows, with the first as a name."""
-        out = copy(self)
-        out.own, out.code, out.slot = self.own[:WIDE], self.code[:WIDE].copy(), self.slot[:WIDE].copy()
-        out.code[0], out.slot[0] = _NAME, self.own[0]
+
+    @staticmethod
+    def _stops(kinds: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """True for the words that end a sentence: what was stripped from their end ends so, but for what may close it."""
+        out = (kinds[ends] & _SPACE) == 0
+        spaces = np.flatnonzero(kinds & _SPACE)
+        marks = np.concatenate([[0], np.flatnonzero((kinds & (_STRIPPED | _CLOSER)) == _STRIPPED)])  # 0: before any word
+        tail = ends[out]
+        found = marks[np.searchsorted(marks, spaces[np.searchsorted(spaces, tail)]) - 1]
+        out[out] = (found >= tail) & ((kinds[found] & _STOP) > 0)
         return out
 
-    def windows(self, width: int, dense: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Starts, hashes, plain and template of all windows. A plain window is hashed by its words, each
-        start has one up to WINDOW; another by its placeholders, if it has any and enough ordinary words. A template
-        is a window with enough of them; `dense` asks for LEAST_DENSE whatever the width."""
-        n = len(self.code)
-        if not 0 < width <= n:
-            return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, bool), np.empty(0, bool)
+    def windows(self, width: int, dense: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, bool, np.ndarray, bool]]:
+        """Starts, hashes, plain, template, opening of windows, kind by kind. A plain window is hashed by its words, each
+        start has one up to WINDOW; another by its placeholders, if it has any and enough ordinary words, and an opening one
+        with its text's first token as a name. A template is a window with enough of them; `dense` asks for LEAST_DENSE
+        whatever the width."""
+        n = len(self.code) - width + 1
+        if width < 1 or n < 1:
+            return
+        within = self.text[width - 1 :] == self.text[:n]
         filled = np.concatenate([[0], np.cumsum(self.slot != 0)])
         slots = filled[width:] - filled[:-width]
-        template = width - slots >= LEAST_LITERAL * width / WINDOW
-        other = np.flatnonzero(((width - slots >= LEAST_DENSE) if dense else template) & (slots > 0))
-        if width > WINDOW:
-            starts, hashes, template = np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, bool)
-        else:
-            starts, hashes = np.arange(n - width + 1), _roll(self.own, width)
-        whole = len(starts)
-        if len(other):
-            starts, hashes = np.concatenate([starts, other]), np.concatenate([hashes, _roll(self.code, width)[other]])
-            template = np.concatenate([template, np.ones(len(other), bool)])
-        return starts, mix(hashes), np.arange(len(starts)) < whole, template
+        literal = width - slots
+        template = literal >= LEAST_LITERAL * width / WINDOW
+        least = LEAST_DENSE if dense else LEAST_LITERAL * width / WINDOW
+        if width <= WINDOW:
+            at = np.flatnonzero(within)
+            yield at, mix(_roll(self.own, width)[at]), True, template[at], False
+        other = np.flatnonzero(within & (literal >= least) & (slots > 0))
+        opens = self.opens[self.opens < n]
+        opens = opens[within[opens] & (literal[opens] - 1 >= least)]
+        if len(other) or len(opens):
+            rolled = _roll(self.code, width)
+            yield other, mix(rolled[other]), False, np.ones(len(other), bool), False
+            named = rolled[opens] + (_NAME - self.code[opens]) * _power(width - 1)
+            yield opens, mix(named), False, np.ones(len(opens), bool), True
 
     def shapes(self) -> list[tuple[int, bool]]:
-        """An item's windows as widths, with true for those that ask for LEAST_DENSE."""
+        """A lone item's windows as widths, with true for those that ask for LEAST_DENSE."""
         width = min(WINDOW, len(self.code))
-        if self.windows(width)[3].any():
+        if any(template.any() for _, _, plain, template, _ in self.windows(width) if plain):
             return [(width, False)]
         wide = min(WIDE, len(self.code))
         return [(width, True)] if wide == width else [(width, False), (wide, True)]
 
 
-def _emit(rows: list, ids: list) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int64(), pa.bool_(), pa.bool_(), pa.list_(pa.int64()))
-    columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *columns], ["key", "start", "window", "plain", "template", "slots"])
+_WINDOWS = "key long, start int, window long, plain boolean, template boolean, slots array<long>"
 
 
-_WINDOWS = "key long, start int, window long, plain boolean, template boolean, slots array<long>"
+def _blocks(batch: pa.RecordBatch, size: int) -> Iterator[tuple[np.ndarray, list[bytes | None]]]:
+    """Keys and texts of a batch, about `size` bytes at a time; a longer text is read alone, whole."""
+    keys, column = batch.column("key").to_numpy(zero_copy_only=False), batch.column("text").cast(pa.large_binary())
+    lengths = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    at = 0
+    while at < len(keys):
+        to = max(at + 1, int(np.searchsorted(lengths, (lengths[at - 1] if at else 0) + size, "right")))
+        yield keys[at:to], column.slice(at, to - at).to_pylist()
+        at = to
 
 
 def _windows(membership=None, shapes: tuple[tuple[int, bool], ...] = ()):
@@ -168,30 +207,46 @@ def _windows(membership=None, shapes: tuple[tuple[int, bool], ...] = ()):
     filter; without a filter of an item's, a shorter item being one window. A first token that may be a
     name is taken both ways."""
 
+    def known(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        at = hashes % np.uint64(FILTER_BITS)
+        return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+    def rows(keys: np.ndarray, tokens: Canonical, shape: tuple[int, bool], bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        width = shape[0]
+        for starts, hashes, plain, template, opening in tokens.windows(*shape):
+            if bits is not None:
+                hit = known(bits, hashes)
+                starts, hashes, template = starts[hit], hashes[hit], template[hit]
+            for k in range(0, len(starts), AT_ONCE):
+                s, part = starts[k : k + AT_ONCE], slice(k, k + AT_ONCE)
+                slots = tokens.slot[s[:, None] + np.arange(width)]
+                if opening:
+                    slots[:, 0] = tokens.own[s]
+                text = tokens.text[s]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(keys[text], pa.int64()), pa.array(s - tokens.first[text], pa.int32()), pa.array(hashes[part].view(np.int64)),
+                        pa.array(np.full(len(s), plain)), pa.array(template[part]),
+                        pa.ListArray.from_arrays(np.arange(len(s) + 1, dtype=np.int32) * width, slots.ravel().view(np.int64)),
+                    ],
+                    ["key", "start", "window", "plain", "template", "slots"],
+                )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, lexicon = membership and np.frombuffer(membership.value, np.uint8), Lexicon()
+        bits = membership and np.frombuffer(membership.value, np.uint8)
         for batch in batches:
-            rows, ids = [], []
-            for key, text in zip(batch.column("key").to_pylist(), batch.column("text")):
-                canonical = Canonical(text.as_py(), lexicon)
-                for reading, (width, dense) in product(
-                    [canonical, canonical.opening()] if canonical.opens else [canonical],
-                    shapes if bits is not None else canonical.shapes(),
-                ):
-                    starts, hashes, plain, template = reading.windows(width, dense)
-                    hit = np.full(len(starts), True) if reading is canonical else (starts == 0) & ~plain
-                    if bits is not None:
-                        at = hashes % np.uint64(FILTER_BITS)
-                        hit &= (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                    starts, hashes, plain, template = starts[hit], hashes[hit], plain[hit], template[hit]
-                    slots, signed = reading.slot.view(np.int64), hashes.view(np.int64)
-                    for s, h, p, t in zip(starts.tolist(), signed.tolist(), plain.tolist(), template.tolist()):
-                        rows.append((s, h, p, t, slots[s : s + width].tolist()))
-                        ids.append(key)
-                if len(rows) > 50_000:
-                    yield _emit(rows, ids)
-                    rows, ids = [], []
-            yield _emit(rows, ids)
+            ready, n = [], 0
+            for keys, texts in _blocks(batch, BLOCK if membership else 1):
+                tokens = Canonical(texts)
+                for shape in shapes if membership else tokens.shapes():
+                    for part in rows(keys, tokens, shape, bits):
+                        ready.append(part)
+                        n += len(part)
+                        if n >= AT_ONCE:
+                            yield from pa.Table.from_batches(ready).combine_chunks().to_batches()
+                            ready, n = [], 0
+            if ready:
+                yield from pa.Table.from_batches(ready).combine_chunks().to_batches()
 
     return run
 
