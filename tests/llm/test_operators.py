@@ -736,6 +736,36 @@ def test_lm_steps_use_their_memory_again():
     assert peak < 4 * lm_score.STEP * 60 and np.array_equal(first, again)
 
 
+def test_lm_words_are_read_together(monkeypatch):
+    """Words, counts and places are those of bytes.split, however many bytes or words are taken at once, without an object a word."""
+    import tracemalloc
+
+    odd = [None, "", " ", "\t\n\x0b\x0c\r ", "  A b C\u0085d  x\x1c\x1fy ", "ÄÖ ß İ K\x00z", "a", "A" * 50, "b a B ", "abcd q" * 9]
+    plain = [(text or "").encode().lower().split() for text in odd]
+    every = [w for words in plain for w in words]
+    vocab = lm_score.vocabulary(np.array([9, 5]), 1, pa.array([b"a", b"b"], pa.binary()))
+    places = [{b"a": 0, b"b": 1}.get(w, 2 + 2 * min(len(w) // 4, 3) + (not w.isalpha())) for w in every]
+    for kind in (pa.string(), pa.large_string()):
+        for size in (1, 20, 1 << 23):
+            monkeypatch.setattr(lm_score, "READ", size)
+            parts = list(lm_score.splits(pa.array(odd, kind)))
+            assert [n for _, counts in parts for n in counts] == [len(words) for words in plain]
+            assert [w for words, _ in parts for w in words.to_pylist()] == every
+            assert [p for words, _ in parts for p in vocab.places(words).tolist()] == places
+            for most in (0, 3, 100):
+                batches = [pa.RecordBatch.from_arrays([pa.array(texts, kind)], ["text"]) for texts in (odd[:6], [], odd[6:], odd)]
+                total: dict = {}
+                for row in (r for b in lm_score.counted(iter(batches), most) for r in b.to_pylist()):
+                    total[row["word"]] = total.get(row["word"], 0) + row["n"]
+                assert total == {w: 2 * every.count(w) for w in every}
+    long = pa.array([" ".join(f"w{i}" for i in range(200_000))])
+    tracemalloc.start()
+    assert sum(counts.sum() for _, counts in lm_score.splits(long)) == 200_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5_000_000  # one bytes object a word takes 8 MB and more
+
+
 def test_lm_context_matters(spark):
     """A common word among words of its own language is likelier than the same word among another's."""
     rng = random.Random(4)

@@ -19,6 +19,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +34,9 @@ SHARED, SHAPES = 8, 8
 EMBED, HIDDEN, SIDE = 8, 24, 2
 #: Words of a training step, and words that a task remembers at most (forgetting changes no result).
 STEP, MEMO = 4096, 1 << 19
+#: Bytes of text whose words are found at once (a text is never cut, so a longer one takes more), and numbers of a network that
+#: take a step at once, so that they stay in a core's own cache.
+READ, NUMBERS = 1 << 23, 1 << 14
 #: Offsets of the neighbours in a padded sequence.
 _OFFSETS = [o for o in range(2 * SIDE + 1) if o != SIDE]
 #: Weights in a row when networks are summed; steps that a task should have at least.
@@ -41,37 +45,54 @@ BLOCK, STEPS = 4096, 100
 TOGETHER = 4
 
 
-def splits(texts: pa.Array) -> Iterator[list[bytes]]:
-    """The words of each text, A-Z lower-cased; their bytes are taken as they lie in the column."""
-    for text in texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()):
-        yield (text.as_py() or b"").lower().split()
+def splits(texts: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """(the words of some texts, one after the other, and how many each text has), A-Z lower-cased. Words are found by Arrow
+    for READ bytes of text at once, as a Python object for each of them cost more than all that was done with it."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = np.cumsum(sizes) // READ
+    starts = np.flatnonzero(np.diff(part, prepend=-1))
+    for start, end in zip(starts, [*starts[1:], len(texts)]):
+        found = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts[start:end], "")))
+        words, ends = found.values.cast(pa.binary()), found.offsets.to_numpy()
+        real = pc.greater(pc.binary_length(words), 0)  # there is an empty one beside white space at either end
+        yield words.filter(real), np.diff(np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])[ends])
 
 
-def shape(word: bytes) -> int:
-    """One of SHAPES, by length and by whether there is anything but letters of ASCII."""
-    return 2 * min(len(word) // 4, SHAPES // 2 - 1) + (not word.isalpha())
+def shape(words: pa.Array) -> np.ndarray:
+    """Of each word one of SHAPES, by length and by whether there is anything but letters of ASCII."""
+    letters = pc.ascii_is_alpha(pc.cast(words, pa.string(), safe=False)).to_numpy(zero_copy_only=False)
+    return 2 * np.minimum(pc.binary_length(words).to_numpy() // 4, SHAPES // 2 - 1) + ~letters
 
 
-def corpus_counts(docs: DataFrame) -> DataFrame:
-    """(word, shape, n): how often each word occurs in all documents, one row per word, checkpointed."""
+def counted(batches: Iterator[pa.RecordBatch], most: int = MEMO) -> Iterator[pa.RecordBatch]:
+    """(word, shape, n) of a part of the documents; a word comes again where more than `most` are to be remembered."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(total: Counter) -> pa.RecordBatch:
-            kinds = pa.array(map(shape, total), pa.int32(), size=len(total))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(total), pa.binary()), kinds, pa.array(list(total.values()), pa.int64())], ["word", "shape", "n"]
-            )
+    def added(tables: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(tables).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
-        total: Counter = Counter()
-        for batch in batches:
-            for words in splits(batch.column("text")):
-                total.update(words)
-                if len(total) > MEMO:
-                    yield rows(total)
-                    total = Counter()
-        yield rows(total)
+    def rows(total: pa.Table) -> Iterator[pa.RecordBatch]:
+        for part in total.to_batches():
+            word, n = part.columns
+            yield pa.RecordBatch.from_arrays([word, pa.array(shape(word), pa.int32()), n], ["word", "shape", "n"])
 
-    return checkpoint(docs.select("text").mapInArrow(run, "word binary, shape int, n long").groupBy("word", "shape").agg(F.sum("n").alias("n")))
+    tables: list[pa.Table] = []
+    for batch in batches:
+        for words, _ in splits(batch.column("text")):
+            counts = words.value_counts()
+            tables.append(pa.table({"word": counts.field("values"), "n": counts.field("counts")}))
+            if sum(map(len, tables)) > 2 * most:
+                tables = [added(tables)]
+            if len(tables[0]) > most:
+                yield from rows(added(tables))
+                tables = []
+    if tables:
+        yield from rows(added(tables))
+
+
+def corpus_counts(docs: DataFrame) -> DataFrame:
+    """(word, shape, n): how often each word occurs in all documents, one row per word, checkpointed."""
+    parts = docs.select("text").mapInArrow(counted, "word binary, shape int, n long")
+    return checkpoint(parts.groupBy("word", "shape").agg(F.sum("n").alias("n")))
 
 
 @dataclass
@@ -87,26 +108,19 @@ class Vocabulary:
     side: int
     first: np.ndarray
     second: np.ndarray
-    names: list[bytes] = field(default_factory=list)
+    names: pa.Array = field(default_factory=lambda: pa.array([], pa.binary()))
 
     @property
     def edge(self) -> int:
         """The symbol beyond a text's ends."""
         return self.side**2 + SHARED + SHAPES
 
-
-class Words(dict):
-    """The place in a vocabulary of each word; words that it does not hold have that of their shape."""
-
-    def __init__(self, vocab: Vocabulary):
-        super().__init__(zip(vocab.names, range(len(vocab.names))))
-        self.held = len(vocab.names)
-
-    def __missing__(self, word: bytes) -> int:
-        return self.held + shape(word)
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Of each word; words that are not held have that of their shape."""
+        out = pc.fill_null(pc.index_in(words, value_set=self.names), -1).to_numpy().copy()
+        beyond = np.flatnonzero(out < 0)
+        out[beyond] = len(self.names) + shape(words.take(pa.array(beyond)))
+        return out
 
 
 def own_side(distinct: int) -> int:
@@ -115,7 +129,7 @@ def own_side(distinct: int) -> int:
     return int(min(MOST_SIDE, max(LEAST_SIDE, 2 * distinct**0.25)))
 
 
-def vocabulary(counts: np.ndarray, side: int, names: list[bytes] | None = None, shapes: dict[int, int] | None = None) -> Vocabulary:
+def vocabulary(counts: np.ndarray, side: int, names: pa.Array | None = None, shapes: dict[int, int] | None = None) -> Vocabulary:
     """Of the words held, the commonest first, and of the occurrences of others by shape. Classes are runs of
     `side` words by rank; words beyond side * side are dealt by rank into SHARED classes of about equal mass."""
     while side and side * side > len(counts):
@@ -131,7 +145,7 @@ def vocabulary(counts: np.ndarray, side: int, names: list[bytes] | None = None,
     first = np.concatenate([inner.sum(1), beyond, [max(0.5, (shapes or {}).get(k, 0)) for k in range(SHAPES)]])
     symbols = np.concatenate([symbols, own + SHARED + np.arange(SHAPES, dtype=np.int32)])
     second = np.log(inner / inner.sum(1, keepdims=True))
-    return Vocabulary(symbols, within, side, np.log(first / first.sum()).astype(np.float32), second.astype(np.float32), names or [])
+    return Vocabulary(symbols, within, side, np.log(first / first.sum()).astype(np.float32), second.astype(np.float32), *([] if names is None else [names]))
 
 
 def learned_vocabulary(table: DataFrame) -> tuple[Vocabulary, DataFrame, int]:
@@ -144,34 +158,45 @@ def learned_vocabulary(table: DataFrame) -> tuple[Vocabulary, DataFrame, int]:
     head = table.filter(F.col("n") >= least).select("word", "n").toArrow().sort_by([("n", "descending"), ("word", "ascending")])
     rare = table.filter(F.col("n") < least)
     mass = {r["shape"]: r["mass"] for r in rare.groupBy("shape").agg(F.sum("n").alias("mass")).collect()}
-    vocab = vocabulary(head["n"].to_numpy(), own_side(int(by_count["words"].sum())), [bytes(w) for w in head["word"].to_pylist()], mass)
+    vocab = vocabulary(head["n"].to_numpy(), own_side(int(by_count["words"].sum())), pa.array(head["word"].to_pylist(), pa.binary()), mass)
     masses = F.array(*(F.lit(float(mass.get(k, 1))) for k in range(SHAPES)))
     terms = rare.select("word", F.log(F.col("n") / masses[F.col("shape")]).alias("term"))
     return vocab, terms, int((by_count["n"] * by_count["words"]).sum())
 
 
 def shapes(side: int) -> tuple:
-    """Of the arrays of a network that tells side * side words apart: symbols, window, bias, and then for
-    classes and for the words of each class what the hidden state adds to them, and their own scores."""
-    first = side + SHARED + SHAPES
-    return (side * side + SHARED + SHAPES + 1, EMBED), (2 * SIDE * EMBED, HIDDEN), (HIDDEN,), (HIDDEN, first), (first,), (side, HIDDEN, side), (side, side)
+    """Of the arrays of a network that tells side * side words apart: symbols, window, and then for classes and for the
+    words of each class what the hidden state adds to them; the last row of all but the first is a bias or scores of their own."""
+    first, words = side + SHARED + SHAPES, (side, HIDDEN + 1, side)
+    return (side * side + SHARED + SHAPES + 1, EMBED), (2 * SIDE * EMBED + 1, HIDDEN), (HIDDEN + 1, first), words
+
+
+class Network(list):
+    """The parts of a flat network, as views: symbols, window, bias, what the hidden state adds to classes, their own scores,
+    and the same two for words. `joint` has those of shapes(), where a bias lies under its matrix: one product does both."""
+
+    def __init__(self, flat: np.ndarray, side: int):
+        self.joint, at = [], 0
+        for s in shapes(side):
+            n = int(np.prod(s))
+            self.joint.append(flat[at : at + n].reshape(s))
+            at += n
+        embed, window, classes, words = self.joint
+        super().__init__([embed, window[:-1], window[-1], classes[:-1], classes[-1], words[:, :-1], words[:, -1]])
+
+
+def unpack(flat: np.ndarray, side: int) -> Network:
+    return Network(flat, side)
 
 
 def initial_weights(vocab: Vocabulary, seed: int = 11) -> np.ndarray:
     """Symbols and windows at random, scores by counts, nothing yet from the hidden state."""
     rng = np.random.default_rng(seed)
-    embed, into, bias, out, _, inner, _ = shapes(vocab.side)
-    parts = (rng.normal(0, 0.3, embed), rng.normal(0, 0.3, into), np.zeros(bias), np.zeros(out), vocab.first, np.zeros(inner), vocab.second)
-    return np.concatenate([p.reshape(-1) for p in parts]).astype(np.float32)
-
-
-def unpack(flat: np.ndarray, side: int) -> list[np.ndarray]:
-    out, at = [], 0
-    for s in shapes(side):
-        n = int(np.prod(s))
-        out.append(flat[at : at + n].reshape(s))
-        at += n
-    return out
+    flat = np.zeros(sum(int(np.prod(s)) for s in shapes(vocab.side)), np.float32)
+    embed, into, _, _, out_bias, _, inner_bias = unpack(flat, vocab.side)
+    embed[:], into[:] = rng.normal(0, 0.3, embed.shape), rng.normal(0, 0.3, into.shape)
+    out_bias[:], inner_bias[:] = vocab.first, vocab.second
+    return flat
 
 
 _ROOM: dict[tuple, np.ndarray] = {}
@@ -191,18 +216,19 @@ def _taken(name: str, rows: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 
 def _window(embed: np.ndarray, padded: np.ndarray) -> np.ndarray:
-    """The neighbours' vectors side by side, at every inner place of a padded sequence of symbols."""
+    """The neighbours' vectors side by side, at every inner place of a padded sequence of symbols, and a last column of ones."""
     n = len(padded) - 2 * SIDE
-    vectors, window = _taken("vectors", embed, padded), room("window", n, 2 * SIDE * EMBED, like=embed)
+    vectors, window = _taken("vectors", embed, padded), room("window", n, 2 * SIDE * EMBED + 1, like=embed)
     for k, o in enumerate(_OFFSETS):
         window[:, k * EMBED : (k + 1) * EMBED] = vectors[o : o + n]
+    window[:, -1] = 1
     return window
 
 
-def _hidden(window: np.ndarray, into: np.ndarray, bias: np.ndarray) -> np.ndarray:
+def _hidden(window: np.ndarray, into: np.ndarray) -> np.ndarray:
     """The hidden state and a last column of ones, by which scores of their own are added in the same product."""
     sums, hidden = room("sums", len(window), HIDDEN, like=into), room("hidden", len(window), HIDDEN + 1, like=into)
-    np.clip(np.add(np.matmul(window, into, out=sums), bias, out=sums), -15, 15, out=sums)
+    np.clip(np.matmul(window, into, out=sums), -15, 15, out=sums)
     # tanh(x) = 1 - 2 / (exp(2x) + 1), in half of np.tanh's time
     np.add(np.exp(np.multiply(sums, 2, out=sums), out=sums), 1, out=sums)
     np.subtract(1, np.divide(2, sums, out=sums), out=hidden[:, :-1])
@@ -210,17 +236,15 @@ def _hidden(window: np.ndarray, into: np.ndarray, bias: np.ndarray) -> np.ndarra
     return hidden
 
 
-def _class_scores(hidden: np.ndarray, out: np.ndarray, out_bias: np.ndarray) -> np.ndarray:
-    return np.matmul(hidden, np.vstack([out, out_bias]), out=room("first", len(hidden), len(out_bias), like=hidden))
+def _class_scores(hidden: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    return np.matmul(hidden, classes, out=room("first", len(hidden), classes.shape[1], like=hidden))
 
 
-def _word_scores(h: np.ndarray, parts: list[tuple[int, slice]], inner: np.ndarray, inner_bias: np.ndarray) -> np.ndarray:
+def _word_scores(h: np.ndarray, parts: list[tuple[int, slice]], words: np.ndarray) -> np.ndarray:
     """Of the words of each row's class; rows of a class stand together."""
-    side = len(inner)
-    both, z = room("both", side, HIDDEN + 1, side, like=h), room("second", len(h), side, like=h)
-    both[:, :-1], both[:, -1] = inner, inner_bias
+    z = room("second", len(h), len(words), like=h)
     for c, part in parts:
-        np.matmul(h[part], both[c], out=z[part])
+        np.matmul(h[part], words[c], out=z[part])
     return z
 
 
@@ -243,81 +267,83 @@ def _probabilities(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return z, z @ np.ones(z.shape[1], z.dtype)
 
 
-def log_probabilities(weights: list[np.ndarray], padded: np.ndarray, target: np.ndarray) -> np.ndarray:
+def log_probabilities(weights: Network, padded: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Of the symbol at every inner place, given the neighbours."""
-    embed, into, bias, out, out_bias, inner, inner_bias = weights
-    side = len(inner)
-    hidden = _hidden(_window(embed, padded), into, bias)
-    p, total = _probabilities(_class_scores(hidden, out, out_bias))
-    logs = np.log(p[np.arange(len(target)), _first_class(target, side)] / total)
+    embed, into, classes, words = weights.joint
+    side = len(words)
+    hidden, first = _hidden(_window(embed, padded), into), _first_class(target, side)
+    logs = np.empty(len(target), hidden.dtype)
+    for start in range(0, len(target), STEP):
+        part = slice(start, start + STEP)
+        p, total = _probabilities(_class_scores(hidden[part], classes))
+        np.log(p[np.arange(len(p)), first[part]] / total, out=logs[part])
     places, parts = _by_class(target, side)
     if len(places):
-        p, total = _probabilities(_word_scores(_taken("own", hidden, places), parts, inner, inner_bias))
+        p, total = _probabilities(_word_scores(_taken("own", hidden, places), parts, words))
         logs[places] += np.log(p[np.arange(len(places)), target[places] % side] / total)
     return logs
 
 
-def gradient(weights: list[np.ndarray], padded: np.ndarray) -> np.ndarray:
+def gradient(weights: Network, padded: np.ndarray) -> np.ndarray:
     """Of the mean negative log-probability of the real words (boundaries have the number after the last symbol).
     The next call takes the same memory for its result."""
-    embed, into, bias, out, out_bias, inner, inner_bias = weights
-    side, edge, n = len(inner), len(embed) - 1, len(padded) - 2 * SIDE
+    embed, into, classes, words = weights.joint
+    side, edge, n = len(words), len(embed) - 1, len(padded) - 2 * SIDE
     flat = room("gradient", sum(w.size for w in weights), like=embed)
     flat[:] = 0
-    g_embed, g_into, g_bias, g_out, g_out_bias, g_inner, g_scores = unpack(flat, side)
+    g_embed, g_into, g_classes, g_words = unpack(flat, side).joint
     target = padded[SIDE : SIDE + n]
     window = _window(embed, padded)
-    hidden = _hidden(window, into, bias)
-    real = np.flatnonzero(target < edge)
-    mean = 1 / max(1, len(real))
-    share = np.zeros(n, hidden.dtype)
-    share[real] = mean
-    delta, total = _probabilities(_class_scores(hidden, out, out_bias))
-    delta *= (share / total)[:, None]
-    delta[real, _first_class(target[real], side)] -= mean
-    back = np.matmul(delta, out.T, out=room("back", n, HIDDEN, like=hidden))
+    hidden = _hidden(window, into)
+    real = target < edge
+    mean = 1 / max(1, np.count_nonzero(real))
+    # by a row's scores the gradient is mean / total * (p - total at the word itself): that factor goes to the narrow sides
+    p, total = _probabilities(_class_scores(hidden, classes))
+    p[np.arange(n), _first_class(np.where(real, target, 0), side)] -= total
+    factor = (real * np.divide(mean, total, dtype=p.dtype))[:, None]
+    back = np.matmul(p, classes[:-1].T, out=room("back", n, HIDDEN, like=hidden))
+    back *= factor
+    np.matmul(np.multiply(hidden, factor, out=room("scaled", *hidden.shape, like=hidden)).T, p, out=g_classes)
     places, parts = _by_class(target, side)
     if len(places):
-        h = _taken("own", hidden, places)
-        z, total = _probabilities(_word_scores(h, parts, inner, inner_bias))
-        z *= (mean / total)[:, None]
-        z[np.arange(len(places)), target[places] % side] -= mean
-        pulled, both = room("pulled", len(places), HIDDEN, like=hidden), room("pulls", HIDDEN + 1, side, like=hidden)
+        h, pulled = _taken("own", hidden, places), room("pulled", len(places), HIDDEN, like=hidden)
+        p, total = _probabilities(_word_scores(h, parts, words))
+        p[np.arange(len(places)), target[places] % side] -= total
+        factor = np.divide(mean, total, dtype=p.dtype)[:, None]
+        h *= factor
         for c, part in parts:
-            np.matmul(h[part].T, z[part], out=both)
-            g_inner[c], g_scores[c] = both[:-1], both[-1]
-            np.matmul(z[part], inner[c].T, out=pulled[part])
+            own = p[part]
+            np.matmul(h[part].T, own, out=g_words[c])
+            np.matmul(own, words[c, :-1].T, out=pulled[part])
+        pulled *= factor
         back[places] += pulled
     state, slope = hidden[:, :-1], room("sums", n, HIDDEN, like=hidden)
     np.subtract(1, np.multiply(state, state, out=slope), out=slope)
     back *= slope
-    pull = np.matmul(back, into.T, out=room("pull", n, 2 * SIDE * EMBED, like=hidden))
+    pull = np.matmul(back, into[:-1].T, out=room("pull", n, 2 * SIDE * EMBED, like=hidden))
     vectors = room("spread", len(padded), EMBED, like=hidden)
     vectors[:] = 0
     for k, o in enumerate(_OFFSETS):
         vectors[o : o + n] += pull[:, k * EMBED : (k + 1) * EMBED]
-    order = np.argsort(padded, kind="stable")
-    starts = np.flatnonzero(np.diff(padded[order], prepend=-1))
-    g_embed[padded[order[starts]]] = np.add.reduceat(_taken("vectors", vectors, order), starts, 0)
+    order = np.argsort(padded.astype(np.int16), kind="stable")  # there are fewer symbols than 2^15
+    symbols = padded[order]
+    starts = np.flatnonzero(np.diff(symbols, prepend=-1))
+    g_embed[symbols[starts]] = np.add.reduceat(_taken("vectors", vectors, order), starts, 0)
     np.matmul(window.T, back, out=g_into)
-    np.sum(back, 0, out=g_bias)
-    ends = hidden.T @ delta
-    g_out[:], g_out_bias[:] = ends[:-1], ends[-1]
     return flat
 
 
 def descend(own: np.ndarray, g: np.ndarray, first: np.ndarray, second: np.ndarray, step: int) -> None:
-    """A step of Adam, in place; g is used up."""
-    spare = room("spare", len(own), like=own)
-    np.multiply(first, 0.9, out=first)
-    np.add(first, np.multiply(g, 0.1, out=spare), out=first)
-    np.multiply(g, g, out=g)
-    np.multiply(second, 0.99, out=second)
-    np.add(second, np.multiply(g, 0.01, out=g), out=second)
-    np.sqrt(np.divide(second, 1 - 0.99**step, out=g), out=g)
-    np.add(g, 1e-8, out=g)
-    np.divide(first, g, out=g)
-    np.subtract(own, np.multiply(g, 0.01 / (1 - 0.9**step), out=g), out=own)
+    """A step of Adam, in place, NUMBERS at once; g is used up. first and second are 10 and 100 times Adam's means, which
+    then need no factor of g."""
+    lean, root = 1 - 0.9**step, (1 - 0.99**step) ** 0.5
+    for at in range(0, len(own), NUMBERS):
+        w, d, a, b = (x[at : at + NUMBERS] for x in (own, g, first, second))
+        np.add(np.multiply(a, 0.9, out=a), d, out=a)
+        np.add(np.multiply(b, 0.99, out=b), np.multiply(d, d, out=d), out=b)
+        np.add(np.sqrt(b, out=d), 1e-7 * root, out=d)
+        np.multiply(np.divide(a, d, out=d), 0.01 * root / lean, out=d)
+        np.subtract(w, d, out=w)
 
 
 def encoded(docs: DataFrame, shared: Broadcast) -> DataFrame:
@@ -326,17 +352,22 @@ def encoded(docs: DataFrame, shared: Broadcast) -> DataFrame:
     for training and scores."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words(shared.value)
+        vocab = shared.value
         for batch in batches:
-            places, others = [], []
-            for names in splits(batch.column("text")):
-                places.append(known.of(names))
-                others.append(Counter(names[i] for i in np.flatnonzero(places[-1] >= known.held)))
-            n = [len(own) for own in places]
+            places, others = [np.empty(0, np.int32)], []
+            n: list[int] = []
+            for words, counts in splits(batch.column("text")):
+                own = vocab.places(words)
+                beyond = np.flatnonzero(own >= len(vocab.names))
+                names = words.take(pa.array(beyond)).to_pylist()
+                ends = np.searchsorted(beyond, np.cumsum([0, *counts])).tolist()
+                others += [Counter(names[a:b]) for a, b in zip(ends[:-1], ends[1:])]
+                places.append(own)
+                n += counts.tolist()
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), pa.array(n, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(np.concatenate([*places, np.empty(0, np.int32)]))),
+                    pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(np.concatenate(places))),
                     pa.array([list(o) for o in others], pa.list_(pa.binary())), pa.array([list(o.values()) for o in others], pa.list_(pa.int64())),
                 ],
                 ["doc_id", "n_tokens", "places", "others", "times"],
@@ -410,7 +441,7 @@ def train(rows: DataFrame, shared: Broadcast, rounds: int = 1) -> np.ndarray:
     return flat
 
 
-def log_likelihoods(weights: list[np.ndarray], vocab: Vocabulary, texts: Iterable[tuple[np.ndarray, np.ndarray]], count: int) -> np.ndarray:
+def log_likelihoods(weights: Network, vocab: Vocabulary, texts: Iterable[tuple[np.ndarray, np.ndarray]], count: int) -> np.ndarray:
     """Of `count` texts as (padded symbols, places): the sums over their words of the log-probability given both
     sides. Short texts share a step, long ones take steps that overlap by their edges."""
     total, waiting, size = np.zeros(count), [], 0
