@@ -244,7 +244,7 @@ def _word_scores(h: np.ndarray, parts: list[tuple[int, slice]], words: np.ndarra
     """Of the words of each row's class; rows of a class stand together."""
     z = room("second", len(h), len(words), like=h)
     for c, part in parts:
-        np.matmul(h[part], words[c], out=z[part])
+        np.dot(h[part], words[c], out=z[part])  # np.dot takes a tenth less than np.matmul for such small ones
     return z
 
 
@@ -313,8 +313,8 @@ def gradient(weights: Network, padded: np.ndarray) -> np.ndarray:
         h *= factor
         for c, part in parts:
             own = p[part]
-            np.matmul(h[part].T, own, out=g_words[c])
-            np.matmul(own, words[c, :-1].T, out=pulled[part])
+            np.dot(h[part].T, own, out=g_words[c])
+            np.dot(own, words[c, :-1].T, out=pulled[part])
         pulled *= factor
         back[places] += pulled
     state, slope = hidden[:, :-1], room("sums", n, HIDDEN, like=hidden)
