@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
@@ -66,6 +67,61 @@ def test_hits_in_blocks_equal_hits_of_whole_videos(spark, clips):
     assert blocks.detect(frames.filter("false"), videos, owner_y).count() == 0
 
 
+def test_hits_of_frames_with_holes_and_odd_places(spark, clips):
+    """Frame numbers that are left out, so that neighbours in the dense series are further apart, and infinite and missing places."""
+    frames, videos = clips
+    odd = F.when(F.col("frame") % 61 == 5, float("inf")).when(F.col("frame") % 67 == 9, float("nan")).when(F.col("frame") % 71 == 8, F.lit(None)).otherwise(F.col("x"))
+    frames = frames.withColumn("x", odd).filter("frame % 7 <> 3 AND frame <> 0 AND frame NOT BETWEEN 200 AND 290")
+    owner_y = videos.select("video_id", F.lit(330.0).alias("owner_y"))
+    columns = ("video_id", "hit_number", "frame", "time_sec", "score", "owner")
+    whole = _rows(analysis.detect(frames, videos, owner_y, alternation=False).hits, *columns)
+    assert whole and _rows(blocks.detect(frames, videos, owner_y, size=16), *columns) == whole
+
+
+def test_the_disk_holds_few_tables_at_a_time(spark, clips, monkeypatch):
+    """At any time at most two tables of about all points are kept, and ranks are written of a small part of them."""
+    frames, videos = clips
+    points, held, ranks, put, drop = cleaning.valid_points(frames).count(), {}, [], Shelf.put, Shelf.drop
+
+    def counted(shelf, name, df):
+        out = put(shelf, name, df)
+        held[name] = out.count()
+        ranks.extend(held[name] for _ in [0] if "at" in out.columns or "__at" in out.columns)
+        full.append(sorted(n for n, rows in held.items() if rows > 0.5 * points))
+        return out
+
+    def dropped(shelf, *names):
+        drop(shelf, *names)
+        for n in names:
+            held.pop(n, None)
+
+    full: list = []
+    monkeypatch.setattr(Shelf, "put", counted)
+    monkeypatch.setattr(Shelf, "drop", dropped)
+    assert blocks.detect(frames, videos, videos.select("video_id", F.lit(330.0).alias("owner_y")), size=44).count()
+    assert max(map(len, full)) == 2, max(full, key=len)
+    assert ranks and sum(ranks) < points
+    assert set(held) == {"hits"}
+
+
+def test_quantiles_are_exact_for_any_values(spark):
+    """Equal values, values in one bin, odd and even counts, infinity, and shares that differ by video."""
+    rng = random.Random(5)
+    values = {"wide": [rng.lognormvariate(0, 40) for _ in range(301)], "even": [rng.uniform(1, 900) for _ in range(200)], "one bin": [rng.uniform(100, 101) for _ in range(150)],
+              "equal": [7.0] * 90, "two": [1.0, 1e300], "lone": [3.5], "far": [1e-320, 2.0, float("inf")]}
+    rows = spark.createDataFrame([(v, x) for v, xs in values.items() for x in xs], "video_id string, v double").repartition(3)
+    own = {v: 100.0 * i / len(values) for i, v in enumerate(values)}
+    of = spark.createDataFrame(list(own.items()), "video_id string, own double")
+    shares = {"q1": F.lit(0.25), "half": F.lit(0.5), "own": F.col("own") / 100.0}
+    found = {r["video_id"]: r for r in blocks.quantiles(Shelf(spark), rows, "v", shares, "test", of.select("video_id", "own")).collect()}
+    for v, xs in values.items():
+        xs = sorted(xs)
+        for name, share in (("q1", 0.25), ("half", 0.5), ("own", own[v] / 100.0)):
+            pos = (len(xs) - 1) * share
+            low, high = xs[math.floor(pos)], xs[math.ceil(pos)]
+            assert found[v][name] == low + (high - low) * (pos - math.floor(pos)), (v, name)
+
+
 def test_stretches_over_several_blocks_and_partitions(spark):
     """One long stretch a video, cut into many blocks, which a join without a broadcast deals over partitions."""
     rng = random.Random(3)
